@@ -1,8 +1,9 @@
 """The wire contract of one event line, as column expressions.
 
-A line goes through three column stages, each built on the one before, so that the
-JSON text is tokenised once for its values and once for its property names:
-``parse_line`` -> ``normalize`` -> ``line_fault`` / ``flatten_event``.
+A line goes through a chain of array transforms, each built on the one before:
+``parse_line`` -> ``extract`` -> ``convert`` -> ``line_fault`` / ``flatten_event``. The
+text is tokenised once for its values and once for its property names, and because
+nothing inside a lambda is shared, every costly value gets a stage of its own.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ def parse_line(line: Column) -> Column:
     )
 
 
-def normalize(parsed: Column) -> Column:
-    """Struct(well_formed, keys, verdict_keys, and one field per wire property)."""
+def extract(parsed: Column) -> Column:
+    """Struct of the plain values of the line; null where the JSON type is wrong."""
     doc = F.get(parsed["docs"], F.lit(0))
     marker = F.get(parsed["docs"], F.lit(1))["toolVersion"]
     well_formed = (
@@ -102,6 +103,22 @@ def normalize(parsed: Column) -> Column:
     return F.struct(*columns)
 
 
+def convert(values: Column) -> Column:
+    """The same struct with the timestamp as an instant and the verdicts as counts."""
+    columns = [values[name].alias(name) for name in ["well_formed", "keys", "schemaVersion"]]
+    for name in _TEXT_FIELDS:
+        columns.append(values[name].alias(name))
+        columns.append(values[f"{name}_null"].alias(f"{name}_null"))
+    columns.append(to_utc(values["timestamp"]).alias("instant"))
+    for name in _VERDICTS:
+        members = [_as_int(F.try_element_at(values[name], F.lit(m))).alias(m) for m in VERDICT_FIELDS]
+        columns.append(F.when(values[name].isNotNull(), F.struct(*members)).alias(name))
+        columns.append(F.map_keys(values[name]).alias(f"{name}_keys"))
+    for name in _MAPS + list(_NUMBERS):
+        columns.append(values[name].alias(name))
+    return F.struct(*columns)
+
+
 def _literal_list(names: list[str]) -> Column:
     return F.array(*[F.lit(name) for name in names])
 
@@ -118,16 +135,21 @@ def has_supported_version(n: Column) -> Column:
     return _false(n["schemaVersion"] >= 1)
 
 
+def _in_wire_order(n: Column) -> Column:
+    """A client that keeps the frozen order needs no set comparison."""
+    return _false(n["keys"] == _literal_list(WIRE_FIELDS))
+
+
 def has_required_fields(n: Column) -> Column:
-    return _false(F.size(F.array_except(_literal_list(WIRE_FIELDS), n["keys"])) == 0)
+    return _in_wire_order(n) | _false(F.size(F.array_except(_literal_list(WIRE_FIELDS), n["keys"])) == 0)
 
 
 def has_only_known_fields(n: Column) -> Column:
     """Version 1 admits no undeclared property, nor one inside a verdict object."""
-    known = F.size(F.array_except(n["keys"], _literal_list(WIRE_FIELDS))) == 0
+    known = _in_wire_order(n) | (F.size(F.array_except(n["keys"], _literal_list(WIRE_FIELDS))) == 0)
     for name in _VERDICTS:
-        extra = F.array_except(F.map_keys(n[name]), _literal_list(VERDICT_FIELDS))
-        known = known & F.coalesce(F.size(extra) == 0, F.lit(True))
+        keys, declared = n[f"{name}_keys"], _literal_list(VERDICT_FIELDS)
+        known = known & (F.coalesce(keys == declared, F.lit(True)) | (F.size(F.array_except(keys, declared)) == 0))
     return _false(n["schemaVersion"] > 1) | _false(known)
 
 
@@ -138,11 +160,11 @@ def has_no_null_text(n: Column) -> Column:
     return ~found
 
 
-def _verdict_ok(verdict: Column) -> Column:
-    ok = verdict.isNotNull()
-    for name in VERDICT_FIELDS:
-        absent = ~F.map_contains_key(verdict, name)
-        ok = ok & (absent | _as_int(F.try_element_at(verdict, F.lit(name))).isNotNull())
+def _verdict_ok(n: Column, name: str) -> Column:
+    """An absent member is fine, one that is no int32 is not."""
+    ok = n[name].isNotNull()
+    for member in VERDICT_FIELDS:
+        ok = ok & (n[name][member].isNotNull() | ~F.array_contains(n[f"{name}_keys"], member))
     return _false(ok)
 
 
@@ -151,7 +173,7 @@ def has_right_types(n: Column) -> Column:
     for name in _TEXT_FIELDS + list(_NUMBERS):
         ok = ok & n[name].isNotNull()
     for name in _VERDICTS:
-        ok = ok & _verdict_ok(n[name])
+        ok = ok & _verdict_ok(n, name)
     for name in _MAPS:
         ok = ok & _false(~F.exists(F.map_values(n[name]), lambda v: v.isNull()))
     return ok
@@ -163,18 +185,20 @@ def has_guid(n: Column) -> Column:
 
 def to_utc(text: Column) -> Column:
     """UTC instant at microseconds; text without an offset counts as UTC."""
-    zoned = text.rlike(r"T.*(Z|[+-]\d{2}(:\d{2})?)\z")
+    sign = [F.substring(text, -6, 1), F.substring(text, -3, 1)]
+    zoned = text.endswith("Z") | sign[0].isin("+", "-") | sign[1].isin("+", "-")
     full = (
-        F.when(zoned, text)
-        .when(text.contains("T"), F.concat(text, F.lit("Z")))
-        .otherwise(F.concat(text, F.lit("T00:00:00Z")))
+        F.when(~text.contains("T"), F.concat(text, F.lit("T00:00:00Z")))
+        .when(~zoned, F.concat(text, F.lit("Z")))
+        .otherwise(text)
     )
-    micros = F.regexp_replace(full, r"(\.\d{6})\d+", "$1")
+    # Only a fraction beyond microseconds makes the text longer than this.
+    micros = F.when(F.length(text) > 26, F.regexp_replace(full, r"(\.\d{6})\d+", "$1")).otherwise(full)
     return F.when(text.rlike(_ISO), micros.try_cast("timestamp"))
 
 
 def has_timestamp(n: Column) -> Column:
-    return to_utc(n["timestamp"]).isNotNull()
+    return n["instant"].isNotNull()
 
 
 # In the order a line meets them; the first that fails names the fault.
@@ -200,13 +224,13 @@ def line_fault(normalized: Column) -> Column:
 def flatten_event(n: Column) -> Column:
     """Flat event struct in table order; absent verdict members count as zero."""
     verdicts = [
-        F.coalesce(_as_int(F.try_element_at(n[source], F.lit(member))), F.lit(0)).alias(f"{prefix}_{column}")
+        F.coalesce(n[source][member], F.lit(0)).alias(f"{prefix}_{column}")
         for prefix, source in [("step", "stepVerdicts"), ("scenario", "scenarioVerdicts")]
         for member, column in zip(VERDICT_FIELDS, ["pass", "fail", "env_error", "inconclusive"])
     ]
     return F.struct(
         F.lower(n["installId"]).alias("install_id"),
-        to_utc(n["timestamp"]).alias("event_timestamp"),
+        n["instant"].alias("event_timestamp"),
         n["schemaVersion"].alias("schema_version"),
         n["toolVersion"].alias("tool_version"),
         n["engineVersion"].alias("engine_version"),
@@ -221,11 +245,14 @@ def flatten_event(n: Column) -> Column:
     )
 
 
+def normalized_lines(lines: Column) -> Column:
+    return F.transform(F.transform(F.transform(lines, parse_line), extract), convert)
+
+
 def checked_lines(lines: Column) -> Column:
     """array<struct<fault, event>> for an array of lines."""
-    normalized = F.transform(F.transform(lines, parse_line), normalize)
     return F.transform(
-        normalized,
+        normalized_lines(lines),
         lambda n: F.struct(line_fault(n).alias("fault"), flatten_event(n).alias("event")),
     )
 
