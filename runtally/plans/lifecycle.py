@@ -81,9 +81,10 @@ def drop_old_partitions(store: Store, as_of: datetime, retention_days: int | Non
     keep = store.options.retention_days if retention_days is None else retention_days
     expired = materialize(expired_days(store, as_of, keep), "expired")
     # One name per calendar day.
-    days = [row["day"] for row in expired.collect()]
-    for day in days:
-        store.drop_partition("telemetry_event", {"part": f"{day:%Y%m%d}"})
+    days = {f"{row['day']:%Y%m%d}" for row in expired.collect()}
+    store.drop_partitions(
+        "telemetry_event", [leaf for leaf in store.leaves("telemetry_event") if leaf["part"] in days]
+    )
     if days:
         store.append(
             "partition_log",

@@ -41,8 +41,13 @@ class Store:
         at = f" LOCATION '{location}'" if location else ""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}`{at}")
         for table, (columns, parts) in TABLES.items():
-            by = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet{by}")
+            # An overwrite replaces the partitions it has rows for, never the whole table.
+            how = (
+                f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({', '.join(parts)})"
+                if parts
+                else ""
+            )
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet {how}")
         return self
 
     # -- reads ---------------------------------------------------------------
@@ -95,9 +100,7 @@ class Store:
 
     def replace_partitions(self, table: str, rows: DataFrame) -> None:
         """Overwrite the partitions that ``rows`` has rows for, and no others."""
-        self._shaped(table, rows).write.option("partitionOverwriteMode", "dynamic").insertInto(
-            self.name(table), overwrite=True
-        )
+        self._shaped(table, rows).write.insertInto(self.name(table), overwrite=True)
 
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         """Columns in table order; partitions gathered into files of a sensible size.
@@ -108,9 +111,19 @@ class Store:
         ordered = rows.select(*self.table(table).columns)
         return ordered.hint("rebalance", *[F.col(p) for p in parts]) if parts else ordered
 
-    def drop_partition(self, table: str, values: dict[str, object]) -> None:
-        spec = ", ".join(f"{name}='{value}'" for name, value in values.items())
-        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({spec})")
+    def drop_partitions(self, table: str, leaves: list[dict[str, object]]) -> None:
+        """Drop storage partitions with their files, all in one catalog call."""
+        specs = [
+            "PARTITION (" + ", ".join(f"{name}='{value}'" for name, value in leaf.items()) + ")"
+            for leaf in leaves
+        ]
+        if specs:
+            self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {', '.join(specs)}")
+
+    def leaves(self, table: str) -> list[dict[str, str]]:
+        """Storage partitions of a table, from the catalog alone."""
+        rows = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
+        return [dict(step.split("=", 1) for step in row[0].split("/")) for row in rows]
 
     def delete_rows(self, table: str, doomed, scope: DataFrame | None = None) -> int:
         """Delete the rows for which ``doomed(df)`` adds a true ``_doomed`` flag.
@@ -139,9 +152,8 @@ class Store:
         if partial:
             survivors = flag(source.where(leaf.isin(partial))).where(~F.col("_doomed"))
             self.replace_partitions(table, survivors)
-        for row in touched:
-            if row["doomed"] == row["total"]:
-                self.drop_partition(table, {p: row[p] for p in parts})
+        emptied = [{p: row[p] for p in parts} for row in touched if row["doomed"] == row["total"]]
+        self.drop_partitions(table, emptied)
         return sum(row["doomed"] for row in touched)
 
     def request_forget(self, requests: DataFrame) -> None:

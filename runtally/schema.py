@@ -78,6 +78,8 @@ FLAT_EVENT = (
 )
 FLAT_EVENT_COLUMNS = [column.split()[0] for column in FLAT_EVENT.split(", ")]
 
+_COUNTS = ", ".join(f"{name} bigint" for name in ["events", "runs", "scenarios", *VERDICT_COLUMNS])
+
 # name -> (columns, partition columns)
 TABLES = {
     "telemetry_event": (
@@ -105,4 +107,13 @@ TABLES = {
         "as_of timestamp, step string, ok boolean, rows bigint, error string",
         [],
     ),
+    # Stored copies of the dashboard rollups, kept fresh by the streaming ingest.
+    "run_daily": (
+        f"day timestamp, {_COUNTS}, startup_ms_p50 double, startup_ms_p95 double, "
+        "time_to_first_test_ms_p50 double, time_to_first_test_ms_p95 double, "
+        "distinct_installs bigint, rollup_day string",
+        ["rollup_day"],
+    ),
+    "step_family_daily": ("day timestamp, family string, n bigint, rollup_day string", ["rollup_day"]),
+    "step_provider_daily": ("day timestamp, provider string, n bigint, rollup_day string", ["rollup_day"]),
 }

@@ -31,12 +31,7 @@ def refresh_rollups(store: Store, days: list) -> None:
     scope = store.events(min(days), max(days)).where(F.to_date("event_timestamp").isin(days))
     for table, rollup in ROLLUPS.items():
         rows = rollup(scope).withColumn("rollup_day", F.date_format("day", "yyyyMMdd"))
-        name = store.name(table)
-        if store.spark.catalog.tableExists(f"{store.database}.{table}"):
-            ordered = rows.select(*store.table(table).columns)
-            ordered.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
-        else:
-            rows.write.partitionBy("rollup_day").format("parquet").saveAsTable(name)
+        store.replace_partitions(table, rows)
 
 
 def stream_ingest(
