@@ -1,9 +1,13 @@
-"""The wire contract of one event line, as column expressions.
+"""The wire contract of one event line, as SQL expressions.
 
 A line goes through a chain of array transforms, each built on the one before:
 ``parse_line`` -> ``extract`` -> ``convert`` -> ``line_fault`` / ``flatten_event``. The
 text is tokenised once for its values and once for its property names, and because
 nothing inside a lambda is shared, every costly value gets a stage of its own.
+
+The pieces are SQL text over a lambda variable: the whole check is some four hundred
+function calls, which Spark parses in milliseconds, while building as many Column
+objects from Python takes seconds per micro-batch.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ _TYPES = (
     | _NUMBERS
 )
 _DOCUMENTS = "array<struct<" + ",".join(f"{name}:{_TYPES[name]}" for name in WIRE_FIELDS) + ">>"
-_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
 # ISO 8601 with a 'T'; date alone or minutes precision allowed, offset up to 14 hours.
 _ISO = (
@@ -37,173 +41,151 @@ _ISO = (
 )
 
 
-def _false(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+def _names(names: list[str]) -> str:
+    return "array(" + ", ".join(f"'{name}'" for name in names) + ")"
+
+
+_DECLARED = _names(WIRE_FIELDS)
+_DECLARED_VERDICTS = _names(VERDICT_FIELDS)
 
 
-def _is_type(value: Column, name: str) -> Column:
-    return _false(F.schema_of_variant(value) == name)
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def _as_int(value: Column) -> Column:
+def _as_int(value: str) -> str:
     """Int32 of a VARIANT that holds an integral JSON number; null otherwise."""
-    return F.when(_is_type(value, "BIGINT"), F.try_variant_get(value, "$", "int"))
+    return f"if(schema_of_variant({value}) = 'BIGINT', try_variant_get({value}, '$', 'int'), null)"
 
 
-def _as_text(value: Column) -> Column:
-    return F.when(_is_type(value, "STRING"), F.try_variant_get(value, "$", "string"))
+def _as_text(value: str) -> str:
+    return f"if(schema_of_variant({value}) = 'STRING', try_variant_get({value}, '$', 'string'), null)"
 
 
-def _last_wins(entries: Column) -> Column:
+def _last_wins(entries: str) -> str:
     """Map with each repeated key reduced to its last value."""
-    keys = F.map_keys(entries)
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-    last = F.filter(
-        F.map_entries(entries),
-        lambda entry, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), entry["key"]),
+    keys = f"map_keys({entries})"
+    return (
+        f"if(size(array_distinct({keys})) < size({keys}), map_from_entries(filter(map_entries({entries}), "
+        f"(e, i) -> not array_contains(slice({keys}, i + 2, size({keys})), e.key))), {entries})"
     )
-    return F.when(repeated, F.map_from_entries(last)).otherwise(entries)
 
 
-def parse_line(line: Column) -> Column:
+def parse_line(line: str) -> str:
     """Struct(keys, tag, docs).
 
     ``from_json`` ignores whatever follows the first complete value. The line is
     therefore put in an array in front of a marker derived from the line itself: only
     a line that is exactly one JSON value leaves the marker as second element.
     """
-    tag = F.xxhash64(line).cast("string")
-    boxed = F.concat(F.lit("["), line, F.lit(',{"toolVersion":"'), tag, F.lit('"}]'))
-    return F.struct(
-        F.json_object_keys(line).alias("keys"),
-        tag.alias("tag"),
-        F.from_json(boxed, _DOCUMENTS, _STRICT_JSON).alias("docs"),
+    tag = f"cast(xxhash64({line}) as string)"
+    boxed = f"""concat('[', {line}, ',{{"toolVersion":"', {tag}, '"}}]')"""
+    return _struct(
+        keys=f"json_object_keys({line})",
+        tag=tag,
+        docs=f"from_json({boxed}, '{_DOCUMENTS}', {STRICT_JSON})",
     )
 
 
-def extract(parsed: Column) -> Column:
+def extract(p: str) -> str:
     """Struct of the plain values of the line; null where the JSON type is wrong."""
-    doc = F.get(parsed["docs"], F.lit(0))
-    marker = F.get(parsed["docs"], F.lit(1))["toolVersion"]
-    well_formed = (
-        (F.size(parsed["docs"]) == 2)
-        & doc.isNotNull()
-        & (_as_text(marker) == parsed["tag"])
-        & parsed["keys"].isNotNull()
-    )
-    columns = [_false(well_formed).alias("well_formed"), parsed["keys"].alias("keys")]
-    columns.append(_as_int(doc["schemaVersion"]).alias("schemaVersion"))
+    doc, marker = f"get({p}.docs, 0)", f"get({p}.docs, 1).toolVersion"
+    fields = {
+        "well_formed": f"coalesce(size({p}.docs) = 2 and {doc} is not null and {_as_text(marker)} = {p}.tag "
+        f"and {p}.keys is not null, false)",
+        "keys": f"{p}.keys",
+        "schemaVersion": _as_int(f"{doc}.schemaVersion"),
+    }
     for name in _TEXT_FIELDS:
-        columns.append(_as_text(doc[name]).alias(name))
-        columns.append(_false(F.is_variant_null(doc[name])).alias(f"{name}_null"))
+        fields[name] = _as_text(f"{doc}.{name}")
+    nulls = " or ".join(f"coalesce(is_variant_null({doc}.{name}), false)" for name in _TEXT_FIELDS)
+    fields["null_text"] = nulls
     for name in _VERDICTS + _MAPS:
-        columns.append(_last_wins(doc[name]).alias(name))
+        fields[name] = _last_wins(f"{doc}.{name}")
     for name in _NUMBERS:
-        columns.append(doc[name].alias(name))
-    return F.struct(*columns)
+        fields[name] = f"{doc}.{name}"
+    return _struct(**fields)
 
 
-def convert(values: Column) -> Column:
+def convert(v: str) -> str:
     """The same struct with the timestamp as an instant and the verdicts as counts."""
-    columns = [values[name].alias(name) for name in ["well_formed", "keys", "schemaVersion"]]
-    for name in _TEXT_FIELDS:
-        columns.append(values[name].alias(name))
-        columns.append(values[f"{name}_null"].alias(f"{name}_null"))
-    columns.append(to_utc(values["timestamp"]).alias("instant"))
+    kept = ["well_formed", "keys", "schemaVersion", *_TEXT_FIELDS, "null_text", *_MAPS, *_NUMBERS]
+    fields = {name: f"{v}.{name}" for name in kept}
+    fields["instant"] = utc_instant(f"{v}.timestamp")
     for name in _VERDICTS:
-        members = [_as_int(F.try_element_at(values[name], F.lit(m))).alias(m) for m in VERDICT_FIELDS]
-        columns.append(F.when(values[name].isNotNull(), F.struct(*members)).alias(name))
-        columns.append(F.map_keys(values[name]).alias(f"{name}_keys"))
-    for name in _MAPS + list(_NUMBERS):
-        columns.append(values[name].alias(name))
-    return F.struct(*columns)
+        counts = _struct(**{m: _as_int(f"try_element_at({v}.{name}, '{m}')") for m in VERDICT_FIELDS})
+        fields[name] = f"if({v}.{name} is not null, {counts}, null)"
+        fields[f"{name}_keys"] = f"map_keys({v}.{name})"
+    return _struct(**fields)
 
 
-def _literal_list(names: list[str]) -> Column:
-    return F.array(*[F.lit(name) for name in names])
+def has_schema_version(n: str) -> str:
+    return f"coalesce(array_contains({n}.keys, 'schemaVersion'), false)"
 
 
-def has_schema_version(n: Column) -> Column:
-    return _false(F.array_contains(n["keys"], "schemaVersion"))
+def has_integer_version(n: str) -> str:
+    return f"{n}.schemaVersion is not null"
 
 
-def has_integer_version(n: Column) -> Column:
-    return n["schemaVersion"].isNotNull()
+def has_supported_version(n: str) -> str:
+    return f"coalesce({n}.schemaVersion >= 1, false)"
 
 
-def has_supported_version(n: Column) -> Column:
-    return _false(n["schemaVersion"] >= 1)
-
-
-def _in_wire_order(n: Column) -> Column:
+def has_required_fields(n: str) -> str:
     """A client that keeps the frozen order needs no set comparison."""
-    return _false(n["keys"] == _literal_list(WIRE_FIELDS))
-
-
-def has_required_fields(n: Column) -> Column:
-    return _in_wire_order(n) | _false(F.size(F.array_except(_literal_list(WIRE_FIELDS), n["keys"])) == 0)
+    return f"coalesce({n}.keys = {_DECLARED} or size(array_except({_DECLARED}, {n}.keys)) = 0, false)"
 
 
-def has_only_known_fields(n: Column) -> Column:
+def has_only_known_fields(n: str) -> str:
     """Version 1 admits no undeclared property, nor one inside a verdict object."""
-    known = _in_wire_order(n) | (F.size(F.array_except(n["keys"], _literal_list(WIRE_FIELDS))) == 0)
+    known = [f"({n}.keys = {_DECLARED} or size(array_except({n}.keys, {_DECLARED})) = 0)"]
     for name in _VERDICTS:
-        keys, declared = n[f"{name}_keys"], _literal_list(VERDICT_FIELDS)
-        known = known & (F.coalesce(keys == declared, F.lit(True)) | (F.size(F.array_except(keys, declared)) == 0))
-    return _false(n["schemaVersion"] > 1) | _false(known)
-
-
-def has_no_null_text(n: Column) -> Column:
-    found = F.lit(False)
-    for name in _TEXT_FIELDS:
-        found = found | n[f"{name}_null"]
-    return ~found
+        keys = f"{n}.{name}_keys"
+        known.append(
+            f"coalesce({keys} = {_DECLARED_VERDICTS} or size(array_except({keys}, {_DECLARED_VERDICTS})) = 0, true)"
+        )
+    return f"(coalesce({n}.schemaVersion > 1, false) or coalesce({' and '.join(known)}, false))"
 
 
-def _verdict_ok(n: Column, name: str) -> Column:
-    """An absent member is fine, one that is no int32 is not."""
-    ok = n[name].isNotNull()
-    for member in VERDICT_FIELDS:
-        ok = ok & (n[name][member].isNotNull() | ~F.array_contains(n[f"{name}_keys"], member))
-    return _false(ok)
+def has_no_null_text(n: str) -> str:
+    return f"not {n}.null_text"
 
 
-def has_right_types(n: Column) -> Column:
-    ok = F.lit(True)
-    for name in _TEXT_FIELDS + list(_NUMBERS):
-        ok = ok & n[name].isNotNull()
+def has_right_types(n: str) -> str:
+    """All values present in their type; an absent verdict member is fine, a wrong one is not."""
+    ok = [f"{n}.{name} is not null" for name in [*_TEXT_FIELDS, *_NUMBERS, *_VERDICTS]]
     for name in _VERDICTS:
-        ok = ok & _verdict_ok(n, name)
-    for name in _MAPS:
-        ok = ok & _false(~F.exists(F.map_values(n[name]), lambda v: v.isNull()))
-    return ok
+        for member in VERDICT_FIELDS:
+            absent = f"not array_contains({n}.{name}_keys, '{member}')"
+            ok.append(f"({n}.{name}.{member} is not null or {absent})")
+    ok += [f"not exists(map_values({n}.{name}), x -> x is null)" for name in _MAPS]
+    return f"coalesce({' and '.join(ok)}, false)"
 
 
-def has_guid(n: Column) -> Column:
-    return _false(n["installId"].rlike(GUID))
+def has_guid(n: str) -> str:
+    return f"coalesce({n}.installId rlike r'{GUID}', false)"
 
 
-def to_utc(text: Column) -> Column:
+def utc_instant(text: str) -> str:
     """UTC instant at microseconds; text without an offset counts as UTC."""
-    sign = [F.substring(text, -6, 1), F.substring(text, -3, 1)]
-    zoned = text.endswith("Z") | sign[0].isin("+", "-") | sign[1].isin("+", "-")
+    zoned = f"(endswith({text}, 'Z') or substring({text}, -6, 1) in ('+', '-') or substring({text}, -3, 1) in ('+', '-'))"
     full = (
-        F.when(~text.contains("T"), F.concat(text, F.lit("T00:00:00Z")))
-        .when(~zoned, F.concat(text, F.lit("Z")))
-        .otherwise(text)
+        f"case when not contains({text}, 'T') then concat({text}, 'T00:00:00Z') "
+        f"when not {zoned} then concat({text}, 'Z') else {text} end"
     )
-    # Only a fraction beyond microseconds makes the text longer than this.
-    micros = F.when(F.length(text) > 26, F.regexp_replace(full, r"(\.\d{6})\d+", "$1")).otherwise(full)
-    return F.when(text.rlike(_ISO), micros.try_cast("timestamp"))
+    # Spark wants seconds before an offset, and at most the microseconds kept anyway.
+    seconds = f"if(substring({full}, 17, 1) = ':', {full}, concat(left({full}, 16), ':00', substring({full}, 17)))"
+    micros = rf"if(length({text}) > 26, regexp_replace({full}, r'(\.\d{{6}})\d+', '$1'), {seconds})"
+    return f"if({text} rlike r'{_ISO}', try_cast({micros} as timestamp), null)"
 
 
-def has_timestamp(n: Column) -> Column:
-    return n["instant"].isNotNull()
+def has_timestamp(n: str) -> str:
+    return f"{n}.instant is not null"
 
 
 # In the order a line meets them; the first that fails names the fault.
 CHECKS = [
-    ("malformed_json", lambda n: n["well_formed"]),
+    ("malformed_json", lambda n: f"{n}.well_formed"),
     ("missing_schema_version", has_schema_version),
     ("schema_version_not_integer", has_integer_version),
     ("schema_version_below_one", has_supported_version),
@@ -216,45 +198,49 @@ CHECKS = [
 ]
 
 
-def line_fault(normalized: Column) -> Column:
+def line_fault(n: str) -> str:
     """Name of the first broken rule, or null for a good line."""
-    return F.coalesce(*[F.when(~check(normalized), F.lit(name)) for name, check in CHECKS])
+    return "case " + " ".join(f"when not ({check(n)}) then '{name}'" for name, check in CHECKS) + " end"
 
 
-def flatten_event(n: Column) -> Column:
+def flatten_event(n: str) -> str:
     """Flat event struct in table order; absent verdict members count as zero."""
-    verdicts = [
-        F.coalesce(n[source][member], F.lit(0)).alias(f"{prefix}_{column}")
+    verdicts = {
+        f"{prefix}_{column}": f"coalesce({n}.{source}.{member}, 0)"
         for prefix, source in [("step", "stepVerdicts"), ("scenario", "scenarioVerdicts")]
         for member, column in zip(VERDICT_FIELDS, ["pass", "fail", "env_error", "inconclusive"])
-    ]
-    return F.struct(
-        F.lower(n["installId"]).alias("install_id"),
-        n["instant"].alias("event_timestamp"),
-        n["schemaVersion"].alias("schema_version"),
-        n["toolVersion"].alias("tool_version"),
-        n["engineVersion"].alias("engine_version"),
-        n["dotnetVersion"].alias("dotnet_version"),
-        n["runCount"].alias("run_count"),
-        n["scenarioCount"].alias("scenario_count"),
-        *verdicts,
-        n["stepFamilies"].alias("step_families"),
-        n["stepProviders"].alias("step_providers"),
-        n["startupMs"].alias("startup_ms"),
-        n["timeToFirstTestMs"].alias("time_to_first_test_ms"),
+    }
+    return _struct(
+        install_id=f"lower({n}.installId)",
+        event_timestamp=f"{n}.instant",
+        schema_version=f"{n}.schemaVersion",
+        tool_version=f"{n}.toolVersion",
+        engine_version=f"{n}.engineVersion",
+        dotnet_version=f"{n}.dotnetVersion",
+        run_count=f"{n}.runCount",
+        scenario_count=f"{n}.scenarioCount",
+        **verdicts,
+        step_families=f"{n}.stepFamilies",
+        step_providers=f"{n}.stepProviders",
+        startup_ms=f"{n}.startupMs",
+        time_to_first_test_ms=f"{n}.timeToFirstTestMs",
     )
 
 
-def normalized_lines(lines: Column) -> Column:
-    return F.transform(F.transform(F.transform(lines, parse_line), extract), convert)
+def normalized_lines(lines: str) -> Column:
+    """Typed values of every line of an array column, given by name."""
+    return F.expr(_normalized(lines))
 
 
-def checked_lines(lines: Column) -> Column:
-    """array<struct<fault, event>> for an array of lines."""
-    return F.transform(
-        normalized_lines(lines),
-        lambda n: F.struct(line_fault(n).alias("fault"), flatten_event(n).alias("event")),
-    )
+def _normalized(lines: str) -> str:
+    parsed = f"transform({lines}, l -> {parse_line('l')})"
+    return f"transform(transform({parsed}, p -> {extract('p')}), v -> {convert('v')})"
+
+
+def checked_lines(lines: str) -> Column:
+    """array<struct<fault, event>> for an array column of lines, given by name."""
+    checked = _struct(fault=line_fault("n"), event=flatten_event("n"))
+    return F.expr(f"transform({_normalized(lines)}, n -> {checked})")
 
 
 def wire_timestamp(instant: Column) -> Column:

@@ -78,7 +78,7 @@ def judge(batches: DataFrame, options: Options, as_of: datetime | str | None = N
         *kept,
         F.when(F.col("_lines").isNotNull(), F.size("_lines")).alias("_n"),
         "_batch_fault",
-        F.when(F.col("_batch_fault").isNull(), checked_lines(F.col("_lines"))).alias("_checked"),
+        F.when(F.col("_batch_fault").isNull(), checked_lines("_lines")).alias("_checked"),
     )
     bad = F.filter(
         F.transform("_checked", lambda c, i: F.struct((i + 1).alias("line_no"), c["fault"].alias("fault"))),

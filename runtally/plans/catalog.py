@@ -35,7 +35,7 @@ PURGE_AS_OF = datetime(2024, 2, 26, 0, 0, 30, tzinfo=timezone.utc)
 REOPENED_AT = datetime(2024, 5, 1, tzinfo=timezone.utc)
 LEDGER_BEFORE = "2024-01-15"
 
-STORE_OPTIONS = Options(install_shards=4)
+STORE_OPTIONS = Options(install_shards=2)
 # Tight limits, so that the request log meets every one of them.
 REQUEST_OPTIONS = Options(max_body_bytes=40_000, max_batch_lines=25, rate_permits=12, global_rate_factor=3)
 
@@ -88,7 +88,7 @@ class Fixture:
     @property
     def normalized(self) -> DataFrame:
         lines = self.damaged.withColumn("n", F.array("line"))
-        return lines.withColumn("n", wire.normalized_lines(F.col("n"))).select(
+        return lines.withColumn("n", wire.normalized_lines("n")).select(
             "user_id", "day", "kind", F.inline(F.transform("n", lambda n: F.struct(n.alias("n"))))
         )
 
@@ -240,20 +240,19 @@ def _request_check(condition: Callable[[], Column]) -> Callable[[Fixture], DataF
     return lambda f: _posts(f).select("req_id", condition().alias("ok"))
 
 
-def _line_check(condition: Callable[[Column], Column]) -> Callable[[Fixture], DataFrame]:
+def _line_check(condition: Callable[[str], str]) -> Callable[[Fixture], DataFrame]:
     return lambda f: f.normalized.select(
-        "user_id", "day", (F.col("n")["well_formed"] & condition(F.col("n"))).alias("ok")
+        "user_id", "day", F.expr(f"n.well_formed and {condition('n')}").alias("ok")
     )
 
 
 def parse_events(f: Fixture) -> DataFrame:
-    return f.normalized.select("user_id", "day", "kind", wire.line_fault(F.col("n")).alias("fault"))
+    return f.normalized.select("user_id", "day", "kind", F.expr(wire.line_fault("n")).alias("fault"))
 
 
 def flatten_event(f: Fixture) -> DataFrame:
-    n = F.col("n")
     good = f.normalized.select(
-        "user_id", "day", wire.line_fault(n).alias("fault"), wire.flatten_event(n).alias("event")
+        "user_id", "day", F.expr(wire.line_fault("n")).alias("fault"), F.expr(wire.flatten_event("n")).alias("event")
     ).where(F.col("fault").isNull())
     return _with_maps(good.select("user_id", "day", "event.*"), "user_id", "day")
 
@@ -262,7 +261,8 @@ def default_verdicts(f: Fixture) -> DataFrame:
     """Lines stripped down to one verdict member: the others read as zero."""
     cut = F.regexp_replace(F.col("line"), r'"scenarioVerdicts":\{"pass":(\d+)[^}]*\}', '"scenarioVerdicts":{"pass":$1}')
     lines = f.runs.withColumn("line", wire.encode_event()).select("user_id", "day", cut.alias("line"))
-    events = lines.select("user_id", "day", F.inline(wire.checked_lines(F.array("line"))))
+    boxed = lines.select("user_id", "day", F.array("line").alias("lines"))
+    events = boxed.select("user_id", "day", F.inline(wire.checked_lines("lines")))
     return events.select("user_id", "day", "fault", *[f"event.{c}" for c in VERDICT_COLUMNS if c.startswith("scenario")])
 
 
@@ -270,7 +270,9 @@ def to_utc(f: Fixture) -> DataFrame:
     """Local times at +05:30 with seven fraction digits, read back as UTC instants."""
     local = F.date_format(F.col("event_timestamp") + F.expr("INTERVAL 330 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     sent = F.concat(local, F.lit("7+05:30"))
-    return f.runs.select("user_id", "day", wire.to_utc(sent).alias("event_timestamp"))
+    return f.runs.select("user_id", "day", sent.alias("sent")).select(
+        "user_id", "day", F.expr(wire.utc_instant("sent")).alias("event_timestamp")
+    )
 
 
 def encode_event(f: Fixture) -> DataFrame:
@@ -538,7 +540,7 @@ _FIXTURE_QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     ),
     "parse_events": parse_events,
     "check_schema_version": _line_check(
-        lambda n: wire.has_schema_version(n) & wire.has_integer_version(n) & wire.has_supported_version(n)
+        lambda n: " and ".join([wire.has_schema_version(n), wire.has_integer_version(n), wire.has_supported_version(n)])
     ),
     "check_required_fields": _line_check(wire.has_required_fields),
     "check_unknown_fields_v1": _line_check(wire.has_only_known_fields),

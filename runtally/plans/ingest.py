@@ -27,6 +27,17 @@ def received_day(column: str = "received_at"):
     return F.date_format(column, "yyyyMMdd")
 
 
+def _stored_beside(store: Store, routed: DataFrame) -> DataFrame:
+    """Stored events in the storage partitions that some new events belong to."""
+    stored = store.table("telemetry_event")
+    if not store.leaves("telemetry_event"):
+        return stored.where("false")
+    # At most one row per registered day and shard.
+    touched = routed.select("part", "shard").distinct().collect()
+    leaf = F.concat_ws("/", "part", F.col("shard").cast("string"))
+    return stored.where(leaf.isin([f"{row['part']}/{row['shard']}" for row in touched]))
+
+
 def ingest(store: Store, batches: DataFrame, as_of: datetime | str | None = None) -> IngestRun:
     """Store the new events of raw batches; running it again adds nothing.
 
@@ -51,12 +62,8 @@ def ingest(store: Store, batches: DataFrame, as_of: datetime | str | None = None
 
     # Layer 2: a natural key counts once, over the run and the partitions it touches.
     routed = dedup.route_partition(kept, store.registered_days(), store.options.install_shards)
-    # At most one row per registered day and shard.
-    touched = routed.select("part", "shard").distinct().collect()
-    leaf = F.concat_ws("/", "part", F.col("shard").cast("string"))
-    stored = store.table("telemetry_event").where(leaf.isin([f"{r['part']}/{r['shard']}" for r in touched]))
     clashes = materialize(
-        dedup.conflicts(routed, EVENT_KEY, dedup.EVENT_ORDER, stored), "event-conflicts"
+        dedup.conflicts(routed, EVENT_KEY, dedup.EVENT_ORDER, _stored_beside(store, routed)), "event-conflicts"
     )
     new_events = dedup.keep_first(routed, clashes, EVENT_KEY, dedup.EVENT_ORDER)
 

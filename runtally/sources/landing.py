@@ -22,7 +22,7 @@ def read_body_files(spark: SparkSession, path: str, stream: bool = False) -> Dat
     Convenient for small drops; at volume land parquet, which packs many bodies per file.
     """
     reader = spark.readStream if stream else spark.read
-    bodies = reader.schema("value string").option("wholetext", True).text(path)
+    bodies = reader.schema("value string").text(path, wholetext=True)
     file_name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
     return bodies.select(
         F.regexp_extract(file_name, r"^(.*)\.ndjson$", 1).alias("idempotency_key"),
