@@ -64,15 +64,30 @@ def distinct_installs_approx(events: DataFrame, rsd: float = 0.02) -> DataFrame:
     )
 
 
-def _coarse(value: Column) -> Column:
-    """Order-preserving bucket of a bigint: its sign, bit length and ten leading bits.
+# Order-preserving bucket of a bigint: its sign, bit length and ten leading bits. At most
+# about 58,000 buckets exist, each spanning under 0.2% of its values' size.
+_SIZE = "abs(greatest(value, -9223372036854775807))"
+_DROPPED = f"greatest(length(bin({_SIZE})) - 10, 0)"
+_BUCKET = f"({_DROPPED} * 1024 + shiftright({_SIZE}, {_DROPPED})) * if(value < 0, -1, 1)"
 
-    At most about 58,000 buckets exist, each spanning under 0.2% of its values' size.
-    """
-    size = F.abs(F.greatest(value, F.lit(-(2**63) + 1)))
-    drop = F.greatest(F.length(F.bin(size)) - 10, F.lit(0))
-    bucket = drop * 1024 + F.call_function("shiftright", size, drop)
-    return F.when(value < 0, -bucket).otherwise(bucket)
+
+def _wanted_ranks() -> str:
+    """The ranks each percentile interpolates between, counted from zero."""
+    ranks = [
+        f"named_struct('p', '{name}', 'side', '{side}', 'rank', cast({rounding}((total - 1) * {p}D) as bigint), "
+        f"'share', (total - 1) * {p}D - floor((total - 1) * {p}D))"
+        for name, p in PROBABILITIES.items()
+        for side, rounding in [("low", "floor"), ("high", "ceil")]
+    ]
+    return f"array({', '.join(ranks)})"
+
+
+def _interpolated(metric: str, p: str) -> str:
+    def at(side: str, column: str) -> str:
+        return f"max(if(metric = '{metric}' and p = '{p}' and side = '{side}', {column}, null))"
+
+    low, high = f"cast({at('low', 'value')} as double)", f"cast({at('high', 'value')} as double)"
+    return f"{low} + ({high} - {low}) * {at('low', 'share')}"
 
 
 def timing_percentiles(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -84,71 +99,37 @@ def timing_percentiles(rows: DataFrame, keys: list[str], metrics: list[str]) ->
     3. Walk the values of just those buckets.
     """
     by = [*keys, "metric"]
+    pairs = ", ".join(f"named_struct('metric', '{m}', 'value', cast({m} as bigint))" for m in metrics)
     counts = (
-        rows.select(
-            *keys,
-            F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])),
-        )
-        .where(F.col("value").isNotNull())
+        rows.selectExpr(*keys, f"inline(array({pairs}))")
+        .where("value is not null")
         .groupBy(*by, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", _coarse(F.col("value")))
-    )
-    in_group = Window.partitionBy(*by)
-    buckets = (
-        counts.groupBy(*by, "bucket")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("total", F.sum("n").over(in_group))
-        .withColumn("upto", F.sum("n").over(in_group.orderBy("bucket")))
+        .agg(F.expr("count(1) as n"))
+        .withColumn("bucket", F.expr(_BUCKET))
     )
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("p"),
-                F.lit(side).alias("side"),
-                rounding((F.col("total") - 1) * F.lit(p)).cast("bigint").alias("rank"),
-                ((F.col("total") - 1) * F.lit(p) - F.floor((F.col("total") - 1) * F.lit(p))).alias("share"),
-            )
-            for name, p in PROBABILITIES.items()
-            for side, rounding in [("low", F.floor), ("high", F.ceil)]
-        ]
-    )
-    start = F.col("upto") - F.col("n")
+    group = f"partition by {', '.join(by)}"
     wanted = (
-        buckets.select(
+        counts.groupBy(*by, "bucket")
+        .agg(F.expr("sum(n) as n"))
+        .selectExpr(
             *by,
             "bucket",
-            F.filter(ranks, lambda r: (r["rank"] >= start) & (r["rank"] < F.col("upto"))).alias("ranks"),
-            start.alias("start"),
+            f"sum(n) over ({group}) as total",
+            f"sum(n) over ({group} order by bucket) as upto",
+            f"sum(n) over ({group} order by bucket) - n as start",
         )
-        .where(F.size("ranks") > 0)
+        .selectExpr(
+            *by, "bucket", "start", f"filter({_wanted_ranks()}, r -> r.rank >= start and r.rank < upto) as ranks"
+        )
+        .where("size(ranks) > 0")
     )
-    in_bucket = Window.partitionBy(*by, "bucket").orderBy("value")
     walked = (
         counts.join(wanted, [*by, "bucket"])
-        .withColumn("upto", F.col("start") + F.sum("n").over(in_bucket))
-        .select(
-            *by,
-            "value",
-            F.inline(
-                F.filter(
-                    "ranks",
-                    lambda r: (r["rank"] >= F.col("upto") - F.col("n")) & (r["rank"] < F.col("upto")),
-                )
-            ),
-        )
+        .withColumn("upto", F.expr(f"start + sum(n) over ({group}, bucket order by value)"))
+        .selectExpr(*by, "value", "inline(filter(ranks, r -> r.rank >= upto - n and r.rank < upto))")
     )
-
-    def at(metric: str, p: str, side: str, column: str) -> Column:
-        hit = (F.col("metric") == metric) & (F.col("p") == p) & (F.col("side") == side)
-        return F.max(F.when(hit, F.col(column)))
-
-    def interpolated(metric: str, p: str) -> Column:
-        low = at(metric, p, "low", "value").cast("double")
-        high = at(metric, p, "high", "value").cast("double")
-        return (low + (high - low) * at(metric, p, "low", "share")).alias(f"{metric}_{p}")
-
-    return walked.groupBy(*keys).agg(*[interpolated(m, p) for m in metrics for p in PROBABILITIES])
+    percentiles = [F.expr(f"{_interpolated(m, p)} as {m}_{p}") for m in metrics for p in PROBABILITIES]
+    return walked.groupBy(*keys).agg(*percentiles)
 
 
 def timing_trend(events: DataFrame) -> DataFrame:
