@@ -48,7 +48,7 @@ def ingest(store: Store, batches: DataFrame, as_of: datetime | str | None = None
     stamped = batches.withColumn("batch_uid", F.monotonically_increasing_id()).withColumn(
         "body_hash", F.xxhash64("body")
     )
-    staged = materialize(gate(stamped, store.options, as_of), "staged")
+    staged = materialize(gate(stamped, store.options, as_of).drop("content_type"), "staged")
     heads = batch_heads(staged)
 
     # Layer 1: a batch key counts once, over the run and the ledger.
