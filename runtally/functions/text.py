@@ -9,6 +9,11 @@ NON_BLANK = r"(?U)\S"
 HEX_KEY = r"^[0-9a-f]{64}\z"
 GUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
 
+_GUID_STRUCTURE = (
+    r"^\{0x[0-9a-f]{1,8},0x[0-9a-f]{1,4},0x[0-9a-f]{1,4},\{0x[0-9a-f]{1,2}(,0x[0-9a-f]{1,2}){7}\}\}\z"
+)
+_GUID_GROUPS = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+
 
 def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(NON_BLANK), F.lit(False))
@@ -63,10 +68,15 @@ def bearer_token(header: Column) -> Column:
 
 
 def canonical_guid(text: Column) -> Column:
-    """Lowercase hyphenated form of a GUID given as 32 digits, hyphenated, or the
-    hyphenated form in braces or parentheses; null for anything else."""
+    """Lowercase hyphenated form of a GUID given as 32 digits, hyphenated, hyphenated in
+    braces or parentheses, or as a structure of hexadecimal numbers; null for anything else."""
     bare = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    dashed = F.regexp_replace(bare, r"^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$", "$1-$2-$3-$4-$5")
-    inner = F.when(dashed.rlike(r"^\{.*\}\z") | dashed.rlike(r"^\(.*\)\z"), F.substring(bare, 2, 36)).otherwise(dashed)
-    length_ok = F.length(bare).isin(32, 36) | ((F.length(bare) == 38) & bare.rlike(r"^[\{\(]"))
-    return F.when(length_ok & inner.rlike(GUID), inner)
+    inner = F.when(bare.rlike(r"^(\{.{36}\}|\(.{36}\))\z"), F.substring(bare, 2, 36)).otherwise(bare)
+    packed = F.regexp_replace(bare, r"(?U)\s+", "")
+    numbers = F.regexp_extract_all(packed, F.lit("0x([0-9a-f]+)"), 1)
+    width = lambda i: F.when(i == 0, 8).when(i < 3, 4).otherwise(2)
+    digits = F.when(bare.rlike(r"^[0-9a-f]{32}\z"), bare).when(
+        packed.rlike(_GUID_STRUCTURE), F.array_join(F.transform(numbers, lambda n, i: F.lpad(n, width(i), F.lit("0"))), "")
+    )
+    dashed = F.concat_ws("-", *[F.substring(digits, start, size) for start, size in _GUID_GROUPS])
+    return F.when(digits.isNotNull(), dashed).when(inner.rlike(GUID), inner)

@@ -36,7 +36,7 @@ STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'fals
 
 # ISO 8601 with a 'T'; date alone or minutes precision allowed, offset up to 14 hours.
 _ISO = (
-    r"^\d{4}-\d{2}-\d{2}"
+    r"^(?!0000)\d{4}-\d{2}-\d{2}"
     r"(T\d{2}:\d{2}(:\d{2}(\.\d{1,16})?)?(Z|[+-](0\d|1[0-4])(:[0-5]\d)?)?)?\z"
 )
 

@@ -38,6 +38,9 @@ def test_split_lines(spark, body, lines):
         ("{550e8400-e29b-41d4-a716-446655440000}", "550e8400-e29b-41d4-a716-446655440000"),
         ("(550e8400-e29b-41d4-a716-446655440000)", "550e8400-e29b-41d4-a716-446655440000"),
         ("  550e8400-e29b-41d4-a716-446655440000\t", "550e8400-e29b-41d4-a716-446655440000"),
+        ("{0x550e8400,0xE29B,0x41d4,{0xa7,0x16,0x44,0x66,0x55,0x44,0x0,0x00}}", "550e8400-e29b-41d4-a716-446655440000"),
+        ("{0x1, 0x2, 0x3, {0x4,0x5,0x6,0x7,0x8,0x9,0xa,0xb}}", "00000001-0002-0003-0405-060708090a0b"),
+        ("{0x1,0x2,0x3,{0x4,0x5,0x6,0x7,0x8,0x9,0xa}}", None),
         ("(550e8400-e29b-41d4-a716-446655440000}", None),
         ("{550e8400e29b41d4a716446655440000}", None),
         ("550e8400-e29b-41d4-a716-44665544000", None),
