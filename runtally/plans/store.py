@@ -34,7 +34,13 @@ class Store:
     def name(self, table: str) -> str:
         return f"`{self.database}`.`{table}`"
 
+    def within(self, spark: SparkSession) -> Store:
+        """The same store as seen by another session, such as that of a micro-batch."""
+        return self if spark is self.spark else Store(spark, self.database, self.options)
+
     def table(self, table: str) -> DataFrame:
+        """A table with its files listed anew: another session may have added some."""
+        self.spark.catalog.refreshTable(self.name(table))
         return self.spark.table(self.name(table))
 
     def create_tables(self, location: str | None = None) -> Store:
@@ -108,7 +114,7 @@ class Store:
         The rebalance lets Spark split a hot partition over tasks and merge small ones.
         """
         parts = TABLES[table][1]
-        ordered = rows.select(*self.table(table).columns)
+        ordered = rows.select(*[column.split()[0] for column in TABLES[table][0].split(", ")])
         return ordered.hint("rebalance", *[F.col(p) for p in parts]) if parts else ordered
 
     def drop_partitions(self, table: str, leaves: list[dict[str, object]]) -> None:

@@ -49,11 +49,13 @@ def stream_ingest(
     """
 
     def load(rows: DataFrame, _epoch: int) -> None:
-        run = ingest(store, rows, as_of)
+        # A stream has a session of its own; a write is seen at once only within a session.
+        local = store.within(rows.sparkSession)
+        run = ingest(local, rows, as_of)
         if with_rollups:
             # One value per calendar day the micro-batch added to.
             days = [r[0] for r in run.new_events.select(F.to_date("event_timestamp")).distinct().collect()]
-            refresh_rollups(store, days)
+            refresh_rollups(local, days)
 
     return (
         batches.writeStream.foreachBatch(load)

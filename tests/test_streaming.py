@@ -53,6 +53,20 @@ def test_replayed_stream_adds_nothing(spark, store, tmp_path):
     assert store.table("ingest_batch").count() == 2
 
 
+def test_many_micro_batches_see_each_other(spark, store, tmp_path):
+    source = str(tmp_path / "in")
+    assert store.events().count() == 0  # this session has the empty tables in its cache
+    for i in range(5):
+        again = [event_line(n) for n in range(i)]
+        land(spark, source, (100 + i, [*again, event_line(i), event_line(50 + i, f"2026-06-2{i}T01:00:00Z")]), (7, event_line(7)))
+    stream = landing.read_batches(spark, source, stream=True, max_files=1)
+    stream_ingest(store, stream, str(tmp_path / "ck"), NOW).awaitTermination()
+    found = sorted(r["install_id"] for r in store.events().collect())
+    assert found == sorted(install(n) for n in [*range(5), 7, *range(50, 55)])
+    assert store.table("ingest_batch").count() == 6
+    assert rows_of(store.table("run_daily").drop("rollup_day")) == rows_of(rollups.run_daily(store.events()))
+
+
 def test_dedup_within_window(spark, tmp_path):
     source = str(tmp_path / "in")
     land(spark, source, (1, "a", NOW), (2, "b", NOW))
