@@ -128,7 +128,7 @@ class Fixture:
     def streamed(self) -> Store:
         store = self.new_store("streamed")
         lifecycle.ensure_partitions(store, *REGISTERED)
-        batches = landing.read_batches(self.spark, self.raw_path, stream=True, max_files=2)
+        batches = landing.read_batches(self.spark, self.raw_path, stream=True, max_files=1)
         query = streams.stream_ingest(store, batches, scratch_path(self.spark, "checkpoint"), INGEST_AS_OF)
         query.awaitTermination()
         return store
