@@ -38,9 +38,13 @@ class Store:
         """The same store as seen by another session, such as that of a micro-batch."""
         return self if spark is self.spark else Store(spark, self.database, self.options)
 
+    def refresh(self) -> Store:
+        """List the tables' files anew, after another session or application wrote some."""
+        for table in TABLES:
+            self.spark.catalog.refreshTable(self.name(table))
+        return self
+
     def table(self, table: str) -> DataFrame:
-        """A table with its files listed anew: another session may have added some."""
-        self.spark.catalog.refreshTable(self.name(table))
         return self.spark.table(self.name(table))
 
     def create_tables(self, location: str | None = None) -> Store:

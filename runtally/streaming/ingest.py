@@ -56,6 +56,8 @@ def stream_ingest(
             # One value per calendar day the micro-batch added to.
             days = [r[0] for r in run.new_events.select(F.to_date("event_timestamp")).distinct().collect()]
             refresh_rollups(local, days)
+        if local is not store:
+            store.refresh()
 
     return (
         batches.writeStream.foreachBatch(load)
