@@ -5,21 +5,84 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runtally.llm import bpe
+from runtally.llm import bpe, jaccard, katz, language, pieces, secrets, toxicity
+from runtally.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def held_out(folds: int, rest: int) -> Column:
+    return F.coalesce(fold(folds) == rest, F.lit(False)).alias("held_out")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.classify(docs.select("doc_id", "text"), labels, learn_from=fold(3) != 1)
+    return scored.select("doc_id", held_out(3, 1), "score", "predicted")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold(3) != 1))
+    found = language.label(docs.select("doc_id", "text"), model, spans=False)
+    return found.select("doc_id", held_out(3, 1), "lang_pred", "score")
+
+
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = katz.lm_scores(docs, "crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2")
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(7, 2), *columns)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, scratch_path(spark, "ledger"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    of_base = F.filter("findings", lambda s: s["kind"].isin(base))
+    counts = [_count(kind).alias(f"n_{kind}") for kind in base]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.joined_spans(of_base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("findings")).alias("spans"),
+    )
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_documents(docs, width=4, percent=85)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(texts, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
+    "op3_katz": op3_katz,
+    "op4_token_counts": op4_token_counts,
+    "op5_secrets": op5_secrets,
+    "op7_jaccard": op7_jaccard,
     "op10_bpe_codec": op10_bpe_codec,
 }
