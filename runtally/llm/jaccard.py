@@ -13,7 +13,10 @@ The order puts shingles that many documents share last, so prefixes hold rare on
    yet in one component are expanded to classes and verified. After it, every pair that could
    link was either verified or lies in one component.
 
-Sets are compared only for classes that are in some candidate pair: their texts are read again.
+Candidates pass an exact bound before their sets are compared: each set has a bitmap of about
+one bit per shingle, the parity of its shingles per bit. Bitmaps differ in no more bits than
+sets in shingles, so a pair with too many different bits cannot link. Sets are compared only
+for the classes that are left; their texts are read again.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; shorter
 texts than a shingle are one shingle; repeated rows get one row each; a row without an id
@@ -64,13 +67,13 @@ def common_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """doc_id, n, sig_a, sig_b (digest of the set), prefix: array<long>, for each document."""
+    """doc_id, n, sig_a, sig_b (digest of the set), prefix, bits (arrays of long) of each document."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, width))
 
     def work(batches):
         known, counts = common.value
         for batch in batches:
-            n, a, b, prefixes = [], [], [], []
+            n, a, b, prefixes, bits = [], [], [], [], []
             for found in _sets(batch.column(1), width):
                 size = len(found)
                 n.append(size)
@@ -83,6 +86,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, percent: int
                     often = np.where(known[at] == found, counts[at], 0)
                     found = found[np.argsort(often, kind="stable")]
                 prefixes.append(found[:keep].view(np.int64))
+                bits.append(parities(found))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -90,12 +94,34 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, percent: int
                     pa.array(a, pa.int64()),
                     pa.array(b, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(bits, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "sig_a", "sig_b", "prefix"],
+                names=["doc_id", "n", "sig_a", "sig_b", "prefix", "bits"],
             )
 
     plain = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    return plain.mapInArrow(work, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>")
+    return plain.mapInArrow(work, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, bits array<long>")
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Longs of a bitmap whose size is the power of two from the set's size on, 64 at least.
+    Halves folded by XOR give the bitmap of half the size."""
+    size = max(64, 1 << max(len(found) - 1, 0).bit_length())
+    odd = np.bincount((mixed(found) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _different(a: str, b: str) -> Column:
+    """Different bits of two bitmaps, the larger folded to the smaller."""
+    half = lambda c: F.zip_with(
+        F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")),
+        F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")),
+        lambda x, y: x.bitwiseXOR(y),
+    )
+    left = F.when(F.size(a) > F.size(b), half(F.col(a))).otherwise(F.col(a))
+    right = F.when(F.size(b) > F.size(a), half(F.col(b))).otherwise(F.col(b))
+    bits = F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -130,15 +156,23 @@ def similar_documents(
         "classes",
     )
 
+    facts = sets.select(F.col("doc_id").alias("node"), "n", "bits")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The linked ones of (a, b) class pairs with their set sizes."""
-        pairs = materialize(pairs.select("a", "b", "na", "nb").distinct(), "candidates")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        """The linked ones of (a, b) class pairs, a < b."""
+        pairs = pairs.distinct()
+        for end in "ab":
+            pairs = pairs.join(facts.select(*(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "bits"))), F.col(end) == F.col(f"node_{end}"))
+        # 100 s >= percent (na + nb - s) with s = (na + nb - d) / 2 bounds the difference d
+        room = (F.col("n_a") + F.col("n_b")) * (100 - percent)
+        near = pairs.where(_sizes_fit("n_a", "n_b", percent)).where(_different("bits_a", "bits_b") * (100 + percent) <= room)
+        near = materialize(near.select("a", "b", "n_a", "n_b").distinct(), "candidates")
+        nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = materialize(full_sets(docs, materialize(nodes, "nodes"), doc_id, text, width), "sets")
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+        left = near.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         shared = F.size(F.array_intersect("left", "right"))
-        return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b")
+        return both.where(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent).select("a", "b").distinct()
 
     # Groups of classes with one size and prefix; the first class stands for the group.
     grouped = classes.groupBy("n", "prefix_key").agg(F.min("class").alias("group"))
@@ -146,29 +180,20 @@ def similar_documents(
         classes.join(grouped, ["n", "prefix_key"]).select("class", "n", "group"), "members"
     )
     leaders = member.where("class = group").select(F.col("class").alias("doc_id"))
-    prefixes = sets.select("doc_id", "n", "prefix").join(leaders, "doc_id", "leftsemi")
-    exploded = prefixes.select(F.explode("prefix").alias("shingle"), "n", F.col("doc_id").alias("group"))
+    prefixes = sets.select("doc_id", "prefix").join(leaders, "doc_id", "leftsemi")
+    exploded = prefixes.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("group"))
     several = (
         exploded.groupBy("shingle")
-        .agg(F.min(F.struct("n", "group")).alias("low"), F.max("group").alias("high"), F.min("group").alias("least"))
-        .where("least <> high")
-        .select("shingle", F.col("low.n").alias("pivot_n"), F.col("low.group").alias("pivot"))
+        .agg(F.min("group").alias("pivot"), F.max("group").alias("last"))
+        .where("pivot <> last")
+        .select("shingle", "pivot")
     )
     postings = materialize(exploded.join(several, "shingle"), "postings")
-
-    def ordered(a: str, na: str, b: str, nb: str) -> list[Column]:
-        first = F.col(a) < F.col(b)
-        return [
-            F.least(a, b).alias("a"),
-            F.greatest(a, b).alias("b"),
-            F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"),
-            F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb"),
-        ]
-
-    stars = postings.where(F.col("group") != F.col("pivot")).where(_sizes_fit("n", "pivot_n", percent))
-    inside = member.where("class <> group")
-    star_pairs = stars.select(*ordered("group", "n", "pivot", "pivot_n")).unionAll(
-        inside.select(F.col("group").alias("a"), F.col("class").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"))
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    star_pairs = (
+        postings.where("group <> pivot")
+        .select(*ordered("group", "pivot"))
+        .unionAll(member.where("class <> group").select(*ordered("group", "class")))
     )
     links = materialize(verified(star_pairs), "star-links")
     found = materialize(components(links), "star-components")
@@ -178,8 +203,10 @@ def similar_documents(
         "component", F.coalesce("component", "class")
     )
     owned = materialize(owned, "owned")
-    spans = owned.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    spread = postings.select("shingle", "n", "group").join(spans, "group")
+    spans = owned.groupBy("group").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n")
+    )
+    spread = postings.select("shingle", "group").join(spans, "group")
     mixed_shingles = spread.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h")
     open_postings = materialize(spread.join(mixed_shingles.select("shingle"), "shingle", "leftsemi"), "open")
     one, two = open_postings.alias("x"), open_postings.alias("y")
@@ -191,14 +218,14 @@ def similar_documents(
         .unionAll(spans.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h")))
     )
     firsts = owned.select(
-        F.col("group").alias("g"), F.col("class").alias("ca"), F.col("n").alias("sa"), F.col("component").alias("ka")
+        F.col("group").alias("g"), F.col("class").alias("ca"), F.col("component").alias("ka")
     )
     seconds = owned.select(
-        F.col("group").alias("h"), F.col("class").alias("cb"), F.col("n").alias("sb"), F.col("component").alias("kb")
+        F.col("group").alias("h"), F.col("class").alias("cb"), F.col("component").alias("kb")
     )
     class_pairs = (
         group_pairs.join(firsts, "g").join(seconds, "h").where("ka <> kb AND (g <> h OR ca < cb)")
-    ).select(*ordered("ca", "sa", "cb", "sb"))
+    ).select(*ordered("ca", "cb"))
     more = verified(class_pairs)
     component = components(materialize(links.unionAll(more), "links"))
     by_set = (
