@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runtally.llm import bpe, jaccard, katz, language, pieces, secrets, toxicity
+from runtally.llm import bpe, forest, graph, jaccard, katz, language, mixing, pieces, secrets, toxicity
 from runtally.session import scratch_path
 
 
@@ -67,11 +67,36 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.similar_documents(docs, width=4, percent=85)
 
 
+def op8_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: The wanted shares of tokens of the mix.
+TARGETS = {"good": 0.85, "poor": 0.12, "toxic": 0.03}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """The label table as (doc_id, domain)."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mixed = mixing.mix(docs, domains(labels), TARGETS, keep=["doc_id"])
+    shares = [F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(TARGETS)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(texts, public_tokenizers.path("word_bpe_49k.json")).drop("text")
@@ -83,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_katz": op3_katz,
     "op4_token_counts": op4_token_counts,
     "op5_secrets": op5_secrets,
+    "op6_graph": op6_graph,
     "op7_jaccard": op7_jaccard,
+    "op8_forest": op8_forest,
+    "op9_mixing": op9_mixing,
     "op10_bpe_codec": op10_bpe_codec,
 }
