@@ -32,18 +32,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runtally.llm.components import components
-from runtally.llm.words import mixed, shingles, texts_words
+from runtally.llm.words import mixed, portions, shingles, texts_words
 from runtally.session import materialize
 
 #: A shingle in at least so many documents of one Arrow batch counts as common, and so many
 #: of the most common ones are put last. Both shape the order only; any order gives all links.
 COMMON, ORDERED = 16, 1 << 17
+#: Characters of text whose words are hashed at once.
+PORTION = 2 << 20
 
 
 def _sets(texts: pa.Array, width: int):
-    words, ends = texts_words(texts.to_pylist())
-    for k in range(len(texts)):
-        yield shingles(words[ends[k] : ends[k + 1]], width)
+    for some in portions(texts, PORTION):
+        words, ends = texts_words(some)
+        for k in range(len(some)):
+            yield shingles(words[ends[k] : ends[k + 1]], width)
 
 
 def common_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:

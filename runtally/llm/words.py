@@ -11,6 +11,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes hashed at once. A single word may exceed it; then the arrays grow with that word.
 SLICE = 1 << 20
@@ -73,6 +74,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
+def portions(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about ``size`` characters; one text may exceed it."""
+    held, length = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        length += len(held[-1] or "")
+        if length >= size:
+            yield held
+            held, length = [], 0
+    if held:
+        yield held
+
+
 def texts_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order and where each text's words begin (and the end)."""
     encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
