@@ -22,10 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runtally.llm.words import portions
+
 BITS, LONGEST, SWITCH, SMOOTHING = 16, 4, 12.0, 0.5
 #: A language is a candidate for a script that at least this share of its words is in.
 CANDIDATE = 0.001
@@ -49,7 +52,8 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 20
+#: Code points hashed at once; characters of text whose words advance together.
+_SLICE, PORTION = 1 << 20, 6 << 20
 
 
 @dataclass(frozen=True)
@@ -173,18 +177,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     def counted(batches):
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            texts = batch.column(0).to_pylist()
-            for name in sorted(set(langs)):
-                words = words_of([t for t, x in zip(texts, langs) if x == name])
-                if not len(words.form):
-                    continue
-                times = np.bincount(words.form, minlength=len(words.lengths))
-                form, bucket = grams(words)
-                sums = np.bincount(bucket, weights=times[form], minlength=1 << BITS)
-                script = np.bincount(_scripts(words), weights=times, minlength=len(_NAMES))
+            for name in pc.unique(batch.column(1)).to_pylist():
                 # scripts follow the n-gram buckets
-                both = np.concatenate((sums, script)).astype(np.int64)
+                both = np.zeros((1 << BITS) + len(_NAMES), np.int64)
+                of_name = batch.column(0).filter(pc.equal(batch.column(1), name))
+                for texts in portions(of_name, PORTION):
+                    words = words_of(texts)
+                    if not len(words.form):
+                        continue
+                    times = np.bincount(words.form, minlength=len(words.lengths))
+                    form, bucket = grams(words)
+                    both[: 1 << BITS] += np.bincount(bucket, weights=times[form], minlength=1 << BITS).astype(np.int64)
+                    both[1 << BITS :] += np.bincount(_scripts(words), weights=times, minlength=len(_NAMES)).astype(np.int64)
                 some = np.flatnonzero(both)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(both[some])],
@@ -271,10 +275,10 @@ def label(docs: DataFrame, model: Model, text: str = "text", spans: bool = True)
         m = shared.value
         for batch in batches:
             names = batch.schema.names
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(names.index(c)) for c in kept), *predict(m, batch.column(names.index(text)).to_pylist(), spans)],
-                names=[*kept, *schema.names],
-            )
+            some = [predict(m, texts, spans) for texts in portions(batch.column(names.index(text)), PORTION)]
+            made = [pa.concat_arrays(c) for c in zip(*(some or [predict(m, [], spans)]))]
+            old = [batch.column(names.index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*old, *made], names=[*kept, *schema.names])
 
     return docs.mapInArrow(work, T.StructType([*(docs.schema[c] for c in kept), *schema.fields]))
 
