@@ -157,3 +157,24 @@ def scan(versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule
 def joined_spans(findings: Column) -> Column:
     """``kind:start:end`` of the spans, comma-joined."""
     return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def redacted(text: Column, findings: Column) -> Column:
+    """The text with every span replaced by its kind in brackets; what overlaps an earlier
+    span is cut with it."""
+    walked = F.aggregate(
+        findings,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(
+                s["start"] >= acc["at"],
+                F.concat(
+                    acc["text"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")
+                ),
+            )
+            .otherwise(acc["text"])
+            .alias("text"),
+        ),
+    )
+    return F.concat(walked["text"], F.substring(text, walked["at"] + 1, F.length(text)))
