@@ -30,16 +30,27 @@ from pyspark.sql import functions as F
 
 from runtally.session import materialize
 
-PER_DOMAIN, BUCKETS, SMOOTHING = 2000, 4096, 0.5
+PER_DOMAIN, BUCKETS, SMOOTHING = 3000, 1 << 14, 0.5
 #: Words that a text's evidence counts as, at most; steps of a posterior.
-EVIDENCE, STEPS = 40.0, 64
-RIDGE, ITERATIONS, TOLERANCE = 0.001, 80, 1e-6
+EVIDENCE, STEPS = 250.0, 64
+RIDGE, ITERATIONS, TOLERANCE = 0.001, 40, 1e-5
 
 
 def _buckets(text: Column) -> Column:
     """Bucket numbers (from 1) of the lower-cased words of a text."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x09-\x0D]", " ")), r" +")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"))
+    words = F.split(F.trim(F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "\t\n\x0b\x0c\r", "     ")), " +")
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int") + 1
+    return F.when(words != F.array(F.lit("")), F.transform(words, bucket)).otherwise(F.array().cast("array<int>"))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator: what is built on them does not compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def _numbers(values: list[float]) -> Column:
+    """A constant array, as one expression."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
 class Classifier:
@@ -51,7 +62,7 @@ class Classifier:
         n = F.size(buckets)
         weight = F.when(n > 0, F.least(F.lit(EVIDENCE), n.cast("double")) / n).otherwise(0.0)
         return F.array(
-            *(F.lit(prior) + weight * _sum(buckets, F.lit(table)) for prior, table in zip(self.priors, self.weights))
+            *(F.lit(prior) + weight * _sum(buckets, _numbers(table)) for prior, table in zip(self.priors, self.weights))
         )
 
 
@@ -73,7 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], doc_id: str, t
     table = {d: [SMOOTHING] * BUCKETS for d in domains}
     for row in counts.toLocalIterator():  # domains x BUCKETS rows at most
         table[row["domain"]][row["bucket"] - 1] += row["count"]
-    sizes = {r["domain"]: r["count"] for r in taught.groupBy("domain").count().collect()}
+    # Priors are the shares of the whole label table, not of the sample.
+    sizes = {r["domain"]: r["count"] for r in known.where(F.col("domain").isin(domains)).groupBy("domain").count().collect()}
     whole = sum(sizes.values()) + len(domains)
     priors = [math.log((sizes.get(d, 0) + 1) / whole) for d in domains]
     weights = []
@@ -97,7 +109,7 @@ def _rounded(logs: Column) -> Column:
 def _rates(p: Column, history: list[tuple[list[float], float]], step: float, ridge: float) -> tuple[Column, Column]:
     """The rate after the recorded gradients and the point of the next gradient."""
     width = len(history[0][0]) if history else 0
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in (*g, pull))) for g, pull in history))
+    flat = ", ".join("array(" + ", ".join(f"{x!r}D" for x in (*g, pull)) + ")" for g, pull in history)
 
     def move(acc, s):
         slope = F.lit(0.0)
@@ -108,7 +120,7 @@ def _rates(p: Column, history: list[tuple[list[float], float]], step: float, rid
 
     if not history:
         return F.lit(1.0), F.lit(1.0)
-    state = F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)
+    state = F.aggregate(F.expr(f"array({flat})"), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)
     return state["r"], state["y"]
 
 
@@ -160,12 +172,9 @@ def mix(
         raise ValueError("targets must be nonnegative with a positive sum")
     model = train(docs, labels, domains, doc_id, text, per_domain)
     carried = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "posterior", "rate")]
-    worded = docs.select(*(docs[c] for c in carried), _buckets(docs[text]).alias("__buckets"))
-    judged = worded.select(
-        *(worded[c] for c in carried),
-        F.size("__buckets").cast("long").alias("n_tokens"),
-        _rounded(model.logs(F.col("__buckets"))).alias("posterior"),
-    )
+    worded = docs.select(*(docs[c] for c in carried), F.inline(F.array(F.struct(_buckets(docs[text]).alias("__buckets")))))
+    scored = _once(worded, __logs=model.logs(F.col("__buckets")), n_tokens=F.size("__buckets").cast("long"))
+    judged = scored.select(*(scored[c] for c in carried), "n_tokens", _rounded(F.col("__logs")).alias("posterior"))
     judged = materialize(judged, "judged")
     cells = judged.groupBy(F.col("posterior").alias("p")).agg(F.sum("n_tokens").alias("tokens"))
     cells = materialize(cells, "cells")
