@@ -67,7 +67,7 @@ class Bench:
         self.timed("version_matrix", lambda: run(rollups.version_matrix(events())))
         self.timed("env_error_by_provider", lambda: run(rollups.env_error_by_provider(events())))
         self.timed("provider_ranking", lambda: run(rollups.usage_ranking(events(), "step_providers", "provider", 10)))
-        self.timed("partition_inventory", lambda: run(reports.partition_inventory(events())))
+        self.timed("partition_inventory", lambda: run(reports.partition_inventory(events(), store.list_partitions())))
 
         digests = catalog.token_digests(self.spark)
         options = catalog.REQUEST_OPTIONS

@@ -7,6 +7,9 @@ from dataclasses import dataclass, fields
 from pyspark.sql import SparkSession
 
 
+DEFAULT_SHARDS = 16
+
+
 @dataclass(frozen=True)
 class Options:
     # The service's default limits.
@@ -21,9 +24,11 @@ class Options:
     dedup_retention_days: int = 35
     job_interval_hours: int = 24
 
-    # Storage layout: every day is split into this many install shards, so that
-    # erasing a few installs rewrites a few shards and not whole days.
-    install_shards: int = 16
+    # Storage layout: every day is split into so many install shards, so that erasing a
+    # few installs rewrites a few shards and not whole days. The count belongs to the
+    # store: it is fixed when the store is created (DEFAULT_SHARDS if not given) and read
+    # from there; a different count given for an existing store is refused.
+    install_shards: int | None = None
 
     @classmethod
     def from_session(cls, spark: SparkSession) -> Options:
@@ -45,10 +50,11 @@ def validate_options(options: Options) -> Options:
         "precreate_days": 0,
         "install_shards": 1,
     }
+    given = {name: getattr(options, name) for name in at_least if getattr(options, name) is not None}
     faults = [
-        f"{name} must be >= {low} (got {getattr(options, name)})"
-        for name, low in at_least.items()
-        if getattr(options, name) < low
+        f"{name} must be >= {at_least[name]} (got {value})"
+        for name, value in given.items()
+        if value < at_least[name]
     ]
     if faults:
         raise ValueError("; ".join(faults))

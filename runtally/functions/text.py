@@ -21,7 +21,7 @@ def is_blank(text: Column) -> Column:
 
 def split_lines(body: Column) -> Column:
     """Content lines of a batch, in order: CRLF tolerated, blank lines dropped."""
-    text = F.regexp_replace(body, "^﻿", "")
+    text = F.regexp_replace(body, "^\ufeff", "")
     stripped = F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, F.lit("\r")))
     return F.filter(stripped, lambda line: line.rlike(NON_BLANK))
 

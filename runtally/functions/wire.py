@@ -34,12 +34,15 @@ _TYPES = (
 _DOCUMENTS = "array<struct<" + ",".join(f"{name}:{_TYPES[name]}" for name in WIRE_FIELDS) + ">>"
 STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
-# ISO 8601 with a 'T'; date alone or minutes precision allowed, offset up to 14 hours.
+# ISO 8601 with a 'T'; date alone or minutes precision allowed, offset up to 14:00.
 _ISO = (
     r"^(?!0000)\d{4}-\d{2}-\d{2}"
-    r"(T\d{2}:\d{2}(:\d{2}(\.\d{1,16})?)?(Z|[+-](0\d|1[0-4])(:[0-5]\d)?)?)?\z"
+    r"(T\d{2}:\d{2}(:\d{2}(\.\d{1,16})?)?(Z|[+-](0\d|1[0-3])(:[0-5]\d)?|[+-]14(:00)?)?)?\z"
 )
 
+# Fixed value: objects and arrays that may be open at once, the event's own included.
+MAX_DEPTH = 64
+
 
 def _names(names: list[str]) -> str:
     return "array(" + ", ".join(f"'{name}'" for name in names) + ")"
@@ -71,8 +74,58 @@ def _last_wins(entries: str) -> str:
     )
 
 
+def _too_deep(line: str) -> str:
+    """Whether more than MAX_DEPTH brackets are open at once outside of strings; walked
+    only for a line that has so many brackets at all."""
+    bare = rf"""regexp_replace({line}, r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"', '')"""
+    steps = f"split(regexp_replace({bare}, r'[^\\[\\]{{}}]', ''), '')"
+    depth = (
+        f"aggregate({steps}, named_struct('now', 0, 'most', 0), (a, c) -> named_struct("
+        "'now', a.now + if(c in ('[', '{'), 1, if(c = '', 0, -1)), "
+        "'most', greatest(a.most, a.now + if(c in ('[', '{'), 1, 0))), a -> a.most)"
+    )
+    return f"if(length({line}) - length(translate({line}, '[{{', '')) <= {MAX_DEPTH}, false, {depth} > {MAX_DEPTH})"
+
+
+def _each_value(entries: str, sound: str) -> str:
+    return f"forall({entries}, m -> {sound})"
+
+
+def _members(value: str) -> str:
+    """Entries of an object held as VARIANT."""
+    return f"map_entries(try_variant_get({value}, '$', 'map<string,variant>'))"
+
+
+def _sound_repeat(e: str) -> str:
+    """Whether one occurrence of a property has the property's type."""
+    value = f"{e}.value"
+    an_object = f"startswith(schema_of_variant({value}), 'OBJECT')"
+    counted = f"(m.key not in ({', '.join(repr(f) for f in VERDICT_FIELDS)}) or {_as_int('m.value')} is not null)"
+    whole = {name: _as_int(value) for name in ["schemaVersion", *[n for n, t in _NUMBERS.items() if t == "int"]]}
+    whole |= {
+        name: f"if(schema_of_variant({value}) = 'BIGINT', try_variant_get({value}, '$', 'bigint'), null)"
+        for name, kind in _NUMBERS.items()
+        if kind == "bigint"
+    }
+    rules = {name: f"{_as_text(value)} is not null" for name in _TEXT_FIELDS}
+    rules |= {name: f"{number} is not null" for name, number in whole.items()}
+    rules |= {name: f"{an_object} and {_each_value(_members(value), counted)}" for name in _VERDICTS}
+    rules |= {name: f"{an_object} and {_each_value(_members(value), _as_int('m.value') + ' is not null')}" for name in _MAPS}
+    cases = " ".join(f"when {e}.key = '{name}' then {rule}" for name, rule in rules.items())
+    return f"coalesce(case {cases} else true end, false)"
+
+
+def _known_repeat(e: str) -> str:
+    names = ", ".join(repr(name) for name in _VERDICTS)
+    known = _each_value(_members(f"{e}.value"), f"m.key in ({', '.join(repr(f) for f in VERDICT_FIELDS)})")
+    return f"({e}.key not in ({names}) or coalesce({known}, true))"
+
+
 def parse_line(line: str) -> str:
-    """Struct(keys, tag, docs).
+    """Struct(keys, tag, docs, repeats, deep).
+
+    ``repeats``: every property occurrence of a line that repeats one, else null. The typed
+    read keeps the last value that fits; whether each occurrence fits is seen here alone.
 
     ``from_json`` ignores whatever follows the first complete value. The line is
     therefore put in an array in front of a marker derived from the line itself: only
@@ -80,10 +133,14 @@ def parse_line(line: str) -> str:
     """
     tag = f"cast(xxhash64({line}) as string)"
     boxed = f"""concat('[', {line}, ',{{"toolVersion":"', {tag}, '"}}]')"""
+    keys = f"json_object_keys({line})"
+    occurrences = f"coalesce(map_entries(from_json({line}, 'map<string,variant>', {STRICT_JSON})), array())"
     return _struct(
-        keys=f"json_object_keys({line})",
+        keys=keys,
         tag=tag,
         docs=f"from_json({boxed}, '{_DOCUMENTS}', {STRICT_JSON})",
+        repeats=f"if({keys} = {_DECLARED} or size(array_distinct({keys})) = size({keys}), null, {occurrences})",
+        deep=_too_deep(line),
     )
 
 
@@ -92,8 +149,11 @@ def extract(p: str) -> str:
     doc, marker = f"get({p}.docs, 0)", f"get({p}.docs, 1).toolVersion"
     fields = {
         "well_formed": f"coalesce(size({p}.docs) = 2 and {doc} is not null and {_as_text(marker)} = {p}.tag "
-        f"and {p}.keys is not null, false)",
+        f"and {p}.keys is not null and not {p}.deep, false)",
         "keys": f"{p}.keys",
+        "repeats_typed": f"({p}.repeats is null or (size({p}.repeats) = size({p}.keys) and "
+        f"forall({p}.repeats, e -> {_sound_repeat('e')})))",
+        "repeats_known": f"({p}.repeats is null or forall({p}.repeats, e -> {_known_repeat('e')}))",
         "schemaVersion": _as_int(f"{doc}.schemaVersion"),
     }
     for name in _TEXT_FIELDS:
@@ -109,7 +169,7 @@ def extract(p: str) -> str:
 
 def convert(v: str) -> str:
     """The same struct with the timestamp as an instant and the verdicts as counts."""
-    kept = ["well_formed", "keys", "schemaVersion", *_TEXT_FIELDS, "null_text", *_MAPS, *_NUMBERS]
+    kept = ["well_formed", "keys", "repeats_typed", "repeats_known", "schemaVersion", *_TEXT_FIELDS, "null_text", *_MAPS, *_NUMBERS]
     fields = {name: f"{v}.{name}" for name in kept}
     fields["instant"] = utc_instant(f"{v}.timestamp")
     for name in _VERDICTS:
@@ -138,7 +198,7 @@ def has_required_fields(n: str) -> str:
 
 def has_only_known_fields(n: str) -> str:
     """Version 1 admits no undeclared property, nor one inside a verdict object."""
-    known = [f"({n}.keys = {_DECLARED} or size(array_except({n}.keys, {_DECLARED})) = 0)"]
+    known = [f"({n}.keys = {_DECLARED} or size(array_except({n}.keys, {_DECLARED})) = 0)", f"{n}.repeats_known"]
     for name in _VERDICTS:
         keys = f"{n}.{name}_keys"
         known.append(
@@ -152,13 +212,15 @@ def has_no_null_text(n: str) -> str:
 
 
 def has_right_types(n: str) -> str:
-    """All values present in their type; an absent verdict member is fine, a wrong one is not."""
+    """All values present in their type, also each value of a repeated property; an absent
+    verdict member is fine, a wrong one is not."""
     ok = [f"{n}.{name} is not null" for name in [*_TEXT_FIELDS, *_NUMBERS, *_VERDICTS]]
     for name in _VERDICTS:
         for member in VERDICT_FIELDS:
             absent = f"not array_contains({n}.{name}_keys, '{member}')"
             ok.append(f"({n}.{name}.{member} is not null or {absent})")
     ok += [f"not exists(map_values({n}.{name}), x -> x is null)" for name in _MAPS]
+    ok.append(f"{n}.repeats_typed")
     return f"coalesce({' and '.join(ok)}, false)"
 
 

@@ -8,7 +8,7 @@ conflicts and is not shuffled while those are few.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runtally.schema import DEFAULT_PART, EVENT_KEY
@@ -75,5 +75,5 @@ def route_partition(events: DataFrame, registered: DataFrame, shards: int) -> Da
     )
 
 
-def install_shard(shards: int):
-    return F.pmod(F.xxhash64("install_id"), F.lit(shards)).cast("int")
+def install_shard(shards: int, install: Column | None = None) -> Column:
+    return F.pmod(F.xxhash64(F.col("install_id") if install is None else install), F.lit(shards)).cast("int")

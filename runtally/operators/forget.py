@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runtally.functions.text import canonical_guid, is_media_type
+from runtally.config import Options
+from runtally.functions.text import canonical_guid, fits_body_limit, is_media_type
 from runtally.schema import FORGET_MEDIA_TYPE
 
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -28,15 +29,19 @@ def forget_install(body: Column) -> Column:
     )
 
 
-def forget_fault() -> Column:
-    return F.when(~is_media_type(F.col("content_type"), FORGET_MEDIA_TYPE), "unsupported_media_type").when(
-        forget_install(F.col("body")).isNull(), "bad_install_id"
+def forget_fault(options: Options | None = None) -> Column:
+    """The first broken rule of an erasure request; its body has the same limit as a batch's."""
+    limit = (options or Options()).max_body_bytes
+    return (
+        F.when(~is_media_type(F.col("content_type"), FORGET_MEDIA_TYPE), "unsupported_media_type")
+        .when(~fits_body_limit(F.col("body"), limit), "body_too_large")
+        .when(forget_install(F.col("body")).isNull(), "bad_install_id")
     )
 
 
-def parse_forget(requests: DataFrame) -> DataFrame:
+def parse_forget(requests: DataFrame, options: Options | None = None) -> DataFrame:
     """Accepted erasure requests as (install_id, requested_at)."""
-    return requests.where(forget_fault().isNull()).select(
+    return requests.where(forget_fault(options).isNull()).select(
         forget_install(F.col("body")).alias("install_id"), F.col("ts").alias("requested_at")
     )
 

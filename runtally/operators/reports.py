@@ -9,8 +9,11 @@ from runtally.functions import text
 from runtally.schema import DEFAULT_PART, STEP_FAMILIES
 
 
-def partition_inventory(events: DataFrame) -> DataFrame:
-    return events.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("part"))
+def partition_inventory(events: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Rows of every partition, empty ones included; ``partitions`` names them all (part)."""
+    held = events.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    rows = partitions.join(held, "part", "left").select("part", F.coalesce("rows", F.lit(0)).alias("rows"))
+    return rows.orderBy(F.desc("part"))
 
 
 def default_backlog(events: DataFrame) -> DataFrame:
@@ -33,9 +36,9 @@ def events_by_install(events: DataFrame, install_id: str | None = None) -> DataF
 
 
 def ingest_rate_hourly(results: DataFrame) -> DataFrame:
-    """Batches stored per hour; refused and repeated ones do not count."""
+    """Batches taken in per hour, repeated ones included; refused ones do not count."""
     return (
-        results.where(F.col("outcome") == "accepted")
+        results.where(F.col("outcome") != "rejected")
         .groupBy(F.date_trunc("hour", "received_at").alias("hour"))
         .agg(F.count(F.lit(1)).alias("batches"), F.sum("new_rows").alias("new_rows"))
     )

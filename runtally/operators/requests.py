@@ -103,7 +103,7 @@ def request_outcome(
     """
     is_ingest, is_forget = F.col("path") == INGEST_PATH, F.col("path") == FORGET_PATH
     judged = judge(
-        requests.withColumn("_forget_fault", F.when(is_forget, forget_fault()))
+        requests.withColumn("_forget_fault", F.when(is_forget, forget_fault(options)))
         .withColumn("body", F.when(is_ingest, F.col("body")))
         .withColumn("received_at", F.col("ts")),
         options,

@@ -15,10 +15,15 @@ def event_day() -> Column:
     return F.date_trunc("day", F.col("event_timestamp"))
 
 
+def _day(events: DataFrame) -> Column:
+    """The ``day`` that the rows already have, else that of the event."""
+    return F.col("day") if "day" in events.columns else event_day().alias("day")
+
+
 def _usage_daily(events: DataFrame, column: str, name: str) -> DataFrame:
     """Exploded after projecting to (day, map); an empty or null map adds nothing."""
     return (
-        events.select(event_day().alias("day"), F.explode(column).alias(name, "_n"))
+        events.select(_day(events), F.explode(column).alias(name, "_n"))
         .groupBy("day", name)
         .agg(F.sum("_n").alias("n"))
     )
@@ -34,21 +39,21 @@ def step_provider_daily(events: DataFrame) -> DataFrame:
 
 def run_daily(events: DataFrame) -> DataFrame:
     """Counts, verdict sums, distinct installs and exact timing percentiles per UTC day."""
-    totals = events.groupBy(event_day().alias("day")).agg(
+    totals = events.groupBy(_day(events)).agg(
         F.count(F.lit(1)).alias("events"),
         F.sum("run_count").alias("runs"),
         F.sum("scenario_count").alias("scenarios"),
         *[F.sum(name).alias(name) for name in VERDICT_COLUMNS],
         F.count_distinct("install_id").alias("distinct_installs"),
     )
-    timing = timing_percentiles(events.select(event_day().alias("day"), *TIMINGS), ["day"], TIMINGS)
+    timing = timing_percentiles(events.select(_day(events), *TIMINGS), ["day"], TIMINGS)
     columns = (
         ["day", "events", "runs", "scenarios"]
         + VERDICT_COLUMNS
         + [f"{metric}_{p}" for metric in TIMINGS for p in PROBABILITIES]
         + ["distinct_installs"]
     )
-    return totals.join(timing, "day").select(*columns)
+    return totals.join(timing, "day", "left").select(*columns)
 
 
 def distinct_installs(events: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def timing_percentiles(rows: DataFrame, keys: list[str], metrics: list[str]) ->
 
 def timing_trend(events: DataFrame) -> DataFrame:
     """Daily medians and their change; the ordered window runs over one row per day."""
-    daily = timing_percentiles(events.select(event_day().alias("day"), *TIMINGS), ["day"], TIMINGS)
+    daily = timing_percentiles(events.select(_day(events), *TIMINGS), ["day"], TIMINGS)
     by_day = Window.orderBy("day")
     return daily.select(
         "day",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from runtally.config import Options
 from runtally.functions import text, wire
 from runtally.operators import dedup, forget, gate, reports, requests, rollups
-from runtally.plans import lifecycle
+from runtally.plans import lifecycle, stored_rollups
 from runtally.plans.ingest import IngestRun, ingest
 from runtally.plans.store import Store
 from runtally.schema import FORGET_PATH, INGEST_MEDIA_TYPE, INGEST_PATH, VERDICT_COLUMNS
@@ -33,7 +33,7 @@ DROP_AS_OF = datetime(2024, 4, 20, 15, tzinfo=timezone.utc)
 SWEEP_AS_OF = datetime(2024, 4, 4, 12, tzinfo=timezone.utc)
 PURGE_AS_OF = datetime(2024, 2, 26, 0, 0, 30, tzinfo=timezone.utc)
 REOPENED_AT = datetime(2024, 5, 1, tzinfo=timezone.utc)
-LEDGER_BEFORE = "2024-01-15"
+EARLY_BEFORE = "2024-01-15"
 
 STORE_OPTIONS = Options(install_shards=2)
 # Tight limits, so that the request log meets every one of them.
@@ -107,6 +107,29 @@ class Fixture:
     def results(self) -> DataFrame:
         return self._loaded[1]
 
+    @cached_property
+    def partly(self) -> Store:
+        """A store that took in the batches of an earlier landing alone."""
+        store = self.new_store("partly")
+        lifecycle.ensure_partitions(store, *REGISTERED)
+        ingest(store, self.raw.where(F.col("received_at") < EARLY_BEFORE), INGEST_AS_OF)
+        return store
+
+    def few_installs(self) -> DataFrame:
+        """Two in a hundred users, as (user_id, install_id)."""
+        return self.runs.where(F.col("user_id") % 50 == 7).select("user_id", "install_id").distinct()
+
+    def resharded(self, label: str) -> Store:
+        """A copy of the store with eight times the install shards."""
+        return lifecycle.reshard(self.copy(label), 16)
+
+    def rolled(self, label: str) -> Store:
+        """A copy of the store with stored rollups of all days."""
+        store = self.copy(label)
+        stored_rollups.mark_due(store, store.doomed_days(lambda df: df.withColumn("_doomed", F.lit(True))))
+        stored_rollups.refresh_due(store)
+        return store
+
     def queue_forgets(self, store: Store) -> Store:
         store.request_forget(forget.parse_forget(self.requests.where(F.col("path") == FORGET_PATH)))
         return store
@@ -185,7 +208,7 @@ def read_batches(f: Fixture) -> DataFrame:
 
 def split_lines(f: Fixture) -> DataFrame:
     """Lines of bodies sent with CRLF line ends and blank lines in between."""
-    noisy = F.concat(F.lit("﻿"), F.regexp_replace("body", "\n", "\r\r\n \t\n\n"), F.lit("\r\n"))
+    noisy = F.concat(F.lit("\ufeff"), F.regexp_replace("body", "\n", "\r\r\n \t\n\n"), F.lit("\r\n"))
     return f.tagged.select(
         "user_id", "block", "copy", F.posexplode(text.split_lines(noisy)).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no") + 1)
@@ -216,13 +239,15 @@ def read_views(f: Fixture) -> DataFrame:
     f.store.register_views()
     return f.spark.sql(
         "SELECT f.day, f.family, f.n, r.events, r.distinct_installs FROM v_step_family_daily f "
-        "JOIN v_run_daily r ON f.day = r.day WHERE f.day >= TIMESTAMP '2024-01-08'"
+        "JOIN v_run_daily r ON f.day = r.day"
     )
 
 
 def read_views_pruned(f: Fixture) -> DataFrame:
-    first, last = date(2024, 1, 12), date(2024, 1, 25)
-    return rollups.step_provider_daily(f.store.events(first, last))
+    f.store.register_views()
+    return f.spark.sql(
+        "SELECT * FROM v_step_provider_daily WHERE day BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-25'"
+    )
 
 
 def quarantine_sink(f: Fixture) -> DataFrame:
@@ -310,7 +335,8 @@ def redact_install_id(f: Fixture) -> DataFrame:
 
 def parse_forget(f: Fixture) -> DataFrame:
     return f.requests.where(F.col("path") == FORGET_PATH).select(
-        "req_id", forget.forget_install(F.col("body")).alias("install_id")
+        "req_id",
+        F.when(forget.forget_fault(REQUEST_OPTIONS).isNull(), forget.forget_install(F.col("body"))).alias("install_id"),
     )
 
 
@@ -321,14 +347,12 @@ def dedup_batches(f: Fixture) -> DataFrame:
     batches = f.tagged.withColumn("body_hash", F.xxhash64("body")).withColumn(
         "batch_uid", F.concat_ws("-", "user_id", "block", "copy")
     )
-    known = f.store.table("ingest_batch").where(F.col("received_at") < LEDGER_BEFORE)
-    return dedup.dedup_batches(batches, known).select("user_id", "block", "copy", "idempotency_key")
+    return dedup.dedup_batches(batches, f.partly.table("ingest_batch")).select("user_id", "block", "copy", "idempotency_key")
 
 
 def dedup_events(f: Fixture) -> DataFrame:
     events = gate.accepted_events(f.gated)
-    stored = f.store.partition("default")
-    kept = dedup.dedup_events(events, stored)
+    kept = dedup.dedup_events(events, f.partly.events())
     return kept.select("install_id", "event_timestamp", "schema_version", "block", "copy")
 
 
@@ -397,7 +421,9 @@ def ingest_result(f: Fixture) -> DataFrame:
 
 
 def partition_inventory(f: Fixture) -> DataFrame:
-    return reports.partition_inventory(f.store.events())
+    store = f.copy("inventory")
+    lifecycle.ensure_partitions(store, REGISTERED[0], date(2024, 2, 3))  # the last days are empty
+    return reports.partition_inventory(store.events(), store.list_partitions())
 
 
 def default_backlog(f: Fixture) -> DataFrame:
@@ -476,6 +502,83 @@ def forget_drain(f: Fixture) -> DataFrame:
     return _parts(_drained(f, "drained"))
 
 
+def compact_days(f: Fixture) -> DataFrame:
+    """A store that two landings filled, with its closed days gathered into few files."""
+    store = f.partly.copy_to(f.new_store("compacted"))
+    ingest(store, f.raw, INGEST_AS_OF)
+    lifecycle.compact_days(store, REGISTERED[0], REGISTERED[1])
+    scattered = lifecycle.scattered_leaves(store, *REGISTERED).select("part", F.lit(1).alias("left"))
+    return _parts(store).join(scattered.groupBy("part").agg(F.count("left").alias("scattered")), "part", "left").select(
+        "part", "rows", "installs", F.coalesce("scattered", F.lit(0)).alias("scattered")
+    )
+
+
+def forget_after_reshard(f: Fixture) -> DataFrame:
+    """A few installs are erased from a store whose shard count was changed."""
+    store = f.resharded("resharded")
+    store.request_forget(f.few_installs().select("install_id", F.lit(RETENTION_AS_OF).alias("requested_at")))
+    lifecycle.forget_drain(store, RETENTION_AS_OF)
+    return reports.events_by_install(store.events())
+
+
+def dedup_after_reshard(f: Fixture) -> DataFrame:
+    """The events of a few users sent again in new batches, after the same change."""
+    store = f.resharded("resent")
+    few = f.tagged.join(f.few_installs().select("user_id"), "user_id", "leftsemi")
+    key = F.sha2(F.concat("idempotency_key", F.lit("again")), 256)
+    ingest(store, few.withColumn("idempotency_key", key).select(*f.raw.columns), INGEST_AS_OF)
+    return reports.events_by_install(store.events())
+
+
+def _stored_daily(store: Store) -> DataFrame:
+    return _rounded(store.table("run_daily").drop("rollup_day"))
+
+
+def stream_rollup_after_forget(f: Fixture) -> DataFrame:
+    store = f.queue_forgets(f.rolled("rolled_forget"))
+    lifecycle.forget_drain(store, RETENTION_AS_OF)
+    return _stored_daily(store)
+
+
+def stream_rollup_after_drop(f: Fixture) -> DataFrame:
+    store = f.rolled("rolled_drop")
+    lifecycle.drop_old_partitions(store, DROP_AS_OF)
+    return _stored_daily(store)
+
+
+def stream_rollup_after_crash(f: Fixture) -> DataFrame:
+    """A run that died behind the event write, before its rollups, tried again."""
+    store = f.new_store("rolled_crash")
+    lifecycle.ensure_partitions(store, *REGISTERED)
+    store.append("telemetry_event", f.store.table("telemetry_event"))
+    ingest(store, f.raw, INGEST_AS_OF, with_rollups=True)
+    return _stored_daily(store)
+
+
+def late_data(f: Fixture) -> DataFrame:
+    """Events of days that are not registered, kept in the default partition."""
+    return f.store.partition("default").groupBy(rollups.event_day().alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def bootstrap_tables(f: Fixture) -> DataFrame:
+    """What a fresh store holds after its first landing."""
+    name = f"runtally_boot_{uuid.uuid4().hex[:8]}"
+    as_of = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    store = lifecycle.bootstrap(Store(f.spark, name, STORE_OPTIONS), as_of, scratch_path(f.spark, "boot"))
+    ingest(store, f.raw, INGEST_AS_OF)
+    store.register_views()
+    held = {
+        "telemetry_event": store.events(), "ingest_batch": store.table("ingest_batch"),
+        "partition_log": store.table("partition_log"), "default": store.partition("default"),
+        "v_run_daily": f.spark.table("v_run_daily"),
+    }
+    rows = [df.agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("rows")) for table, df in held.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def purge_ledger(f: Fixture) -> DataFrame:
     store = f.copy("purged")
     lifecycle.purge_ledger(store, PURGE_AS_OF)
@@ -515,9 +618,8 @@ def fixed_window_admission(f: Fixture) -> DataFrame:
 
 
 def request_outcome(f: Fixture) -> DataFrame:
-    known = f.store.table("ingest_batch").where(F.col("received_at") < LEDGER_BEFORE)
     return requests.request_outcome(
-        f.requests, token_digests(f.spark), REQUEST_OPTIONS, known, INGEST_AS_OF
+        f.requests, token_digests(f.spark), REQUEST_OPTIONS, f.partly.table("ingest_batch"), INGEST_AS_OF
     ).select("req_id", "ts", "path", "http_code", "reason")
 
 
@@ -580,7 +682,7 @@ _FIXTURE_QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "default_backlog": default_backlog,
     "forget_status": forget_status,
     "events_by_install": lambda f: reports.events_by_install(f.store.events()),
-    "ingest_rate_hourly": lambda f: reports.ingest_rate_hourly(f.results),
+    "ingest_rate_hourly": lambda f: reports.ingest_rate_hourly(f.store.outcomes()),
     "error_rate_hourly": lambda f: reports.error_rate_hourly(f.store.table("batch_verdict")),
     "maintenance_status": maintenance_status,
     "provider_ranking": lambda f: rollups.usage_ranking(f.store.events(), "step_providers", "provider", 10),
@@ -598,6 +700,14 @@ _FIXTURE_QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "drop_old_partitions": drop_old_partitions,
     "sweep_default": sweep_default,
     "forget_drain": forget_drain,
+    "compact_days": compact_days,
+    "forget_after_reshard": forget_after_reshard,
+    "dedup_after_reshard": dedup_after_reshard,
+    "stream_rollup_after_forget": stream_rollup_after_forget,
+    "stream_rollup_after_drop": stream_rollup_after_drop,
+    "stream_rollup_after_crash": stream_rollup_after_crash,
+    "late_data": late_data,
+    "bootstrap_tables": bootstrap_tables,
     "purge_ledger": purge_ledger,
     "maintenance_cycle": maintenance_cycle,
     "match_tokens": match_tokens,

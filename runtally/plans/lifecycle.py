@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from runtally.operators.dedup import install_shard
 from runtally.operators.forget import pending_forgets
+from runtally.plans import stored_rollups
 from runtally.plans.store import Store
+from runtally.plans.stored_rollups import next_version
 from runtally.schema import DEFAULT_PART
-from runtally.session import materialize, utc
+from runtally.session import staging, utc
 
 
 def bootstrap(store: Store, as_of: datetime, location: str | None = None) -> Store:
@@ -24,11 +27,6 @@ def bootstrap(store: Store, as_of: datetime, location: str | None = None) -> Sto
     return store
 
 
-def _next_version(store: Store) -> int:
-    last = store.table("partition_log").agg(F.max("version")).first()[0]
-    return (last or 0) + 1
-
-
 def ensure_partition(store: Store, day: date) -> DataFrame:
     return ensure_partitions(store, day, day + timedelta(days=1))
 
@@ -52,24 +50,28 @@ def ensure_partitions(store: Store, first: date, end: date) -> DataFrame:
         .agg(F.lit(True).alias("_held"))
     )
     registered = store.registered_days().withColumn("_registered", F.lit(True))
-    report = materialize(
+    report = (
         days.join(registered, "day", "left")
         .join(in_default, "day", "left")
         .select(
             "day",
             F.when(F.col("_registered"), "exists").when(F.col("_held"), "conflict").otherwise("created").alias("state"),
-        ),
-        "partitions",
-    )
-    store.append(
-        "partition_log",
-        report.where(F.col("state") == "created").select(
-            "day", F.lit(True).alias("active"), F.lit(_next_version(store)).cast("bigint").alias("version")
-        ),
+        )
+        .orderBy("day")
     )
+    # Fixed before the registry changes; one row per calendar day.
+    report = store.spark.createDataFrame([tuple(row) for row in report.collect()], "day date, state string")
+    _register(store, [row["day"] for row in report.where(F.col("state") == "created").collect()], True)
     return report
 
 
+def _register(store: Store, days: list[date], active: bool) -> None:
+    if days:
+        version = next_version(store, "partition_log")
+        rows = store.spark.createDataFrame([(day, active, version) for day in days], "day date, active boolean, version bigint")
+        store.append("partition_log", rows.coalesce(1))
+
+
 def expired_days(store: Store, as_of: datetime, retention_days: int) -> DataFrame:
     """Registered days that end on or before the retention cutoff."""
     cutoff = utc(as_of).date() - timedelta(days=retention_days)
@@ -79,40 +81,44 @@ def expired_days(store: Store, as_of: datetime, retention_days: int) -> DataFram
 def drop_old_partitions(store: Store, as_of: datetime, retention_days: int | None = None) -> int:
     """Drop expired day partitions whole; the default partition is never dropped."""
     keep = store.options.retention_days if retention_days is None else retention_days
-    expired = materialize(expired_days(store, as_of, keep), "expired")
-    # One name per calendar day.
-    days = {f"{row['day']:%Y%m%d}" for row in expired.collect()}
+    # Calendar days.
+    expired = [row["day"] for row in expired_days(store, as_of, keep).collect()]
+    names = {f"{day:%Y%m%d}" for day in expired}
+    stored_rollups.mark_due(store, expired, only_kept=True)
     store.drop_partitions(
-        "telemetry_event", [leaf for leaf in store.leaves("telemetry_event") if leaf["part"] in days]
+        "telemetry_event", [leaf for leaf in store.leaves("telemetry_event") if leaf["part"] in names]
     )
-    if days:
-        store.append(
-            "partition_log",
-            expired.select(
-                "day", F.lit(False).alias("active"), F.lit(_next_version(store)).cast("bigint").alias("version")
-            ),
-        )
-    return len(days)
+    _register(store, expired, False)
+    stored_rollups.refresh_due(store)
+    return len(expired)
 
 
 def sweep_default(store: Store, as_of: datetime, retention_days: int | None = None) -> int:
     """Delete rows of the default partition older than the window, to the instant."""
     keep = store.options.retention_days if retention_days is None else retention_days
     old = F.col("event_timestamp") < F.lit(utc(as_of) - timedelta(days=keep))
-    return store.delete_rows(
-        "telemetry_event", lambda df: df.withColumn("_doomed", old), store.partition(DEFAULT_PART)
-    )
+    return _delete_events(store, lambda df: df.withColumn("_doomed", old), {"part": [DEFAULT_PART]})
+
+
+def _delete_events(store: Store, doomed, within: dict) -> int:
+    """Delete events, and refresh the stored rollups of the days they were of."""
+    if stored_rollups.kept_days(store):
+        stored_rollups.mark_due(store, store.doomed_days(doomed, within), only_kept=True)
+    deleted = store.delete_rows("telemetry_event", doomed, within)
+    stored_rollups.refresh_due(store)
+    return deleted
 
 
 def purge_ledger(store: Store, as_of: datetime, retention_days: int | None = None) -> int:
     """Delete ledger rows older than the dedup window; only its edge day is rewritten."""
     keep = store.options.dedup_retention_days if retention_days is None else retention_days
     cutoff = utc(as_of) - timedelta(days=keep)
-    ledger = store.table("ingest_batch")
+    # Calendar days of arrival.
+    days = [leaf["received_day"] for leaf in store.leaves("ingest_batch") if leaf["received_day"] <= f"{cutoff:%Y%m%d}"]
     return store.delete_rows(
         "ingest_batch",
         lambda df: df.withColumn("_doomed", F.col("received_at") < F.lit(cutoff)),
-        ledger.where(F.col("received_day") <= f"{cutoff:%Y%m%d}"),
+        {"received_day": days},
     )
 
 
@@ -122,25 +128,76 @@ def forget_drain(store: Store, as_of: datetime, limit: int | None = None) -> int
     One pass for all of them. Requests are marked last, so a run that dies is simply
     repeated. ``limit`` bounds a round to the oldest requests.
     """
-    pending = materialize(pending_forgets(store.forgets(), limit), "pending")
-    processed = pending.count()
-    if processed == 0:
-        return 0
-    doomed = pending.select("install_id", F.lit(True).alias("_hit"))
-
-    def flag(rows: DataFrame) -> DataFrame:
-        return (
-            rows.join(doomed, "install_id", "left")
-            .withColumn("_doomed", F.col("_hit").isNotNull())
-            .drop("_hit")
-        )
-
-    # Only shards that pending installs fall in are searched: at most the shard count.
-    shards = [r["shard"] for r in pending.select(install_shard(store.options.install_shards).alias("shard")).distinct().collect()]
-    store.delete_rows("telemetry_event", flag, store.events().where(F.col("shard").isin(shards)))
-    store.delete_rows("ingest_batch", flag)
-    store.append("forget_log", pending.withColumn("processed_at", F.lit(utc(as_of))))
-    return processed
+    with staging(store.spark, "forget") as keep:
+        pending = keep(pending_forgets(store.forgets(), limit), "pending")
+        processed = pending.count()
+        if processed == 0:
+            return 0
+        doomed = pending.select("install_id", F.lit(True).alias("_hit"))
+
+        def flag(rows: DataFrame) -> DataFrame:
+            return (
+                rows.join(doomed, "install_id", "left")
+                .withColumn("_doomed", F.col("_hit").isNotNull())
+                .drop("_hit")
+            )
+
+        # Only shards that pending installs fall in are searched: at most the shard count.
+        shard = install_shard(store.install_shards).alias("shard")
+        shards = [row["shard"] for row in pending.select(shard).distinct().collect()]
+        _delete_events(store, flag, {"shard": shards})
+        store.delete_rows("ingest_batch", flag)
+        store.append("forget_log", pending.withColumn("processed_at", F.lit(utc(as_of))))
+        return processed
+
+
+def scattered_leaves(store: Store, first: date, last: date) -> DataFrame:
+    """(part, shard, files) of the leaves of some days that have several files each."""
+    rows = store.events(first, last).where(F.col("part") != DEFAULT_PART)
+    rows = rows.select("part", "shard", F.col("_metadata.file_path").alias("file"))
+    files = rows.groupBy("part", "shard").agg(F.count_distinct("file").alias("files"))
+    return files.where("files > 1")
+
+
+def compact_days(store: Store, first: date, last: date) -> int:
+    """Gather the files of the leaves of closed days; returns the leaves rewritten.
+
+    Every run and micro-batch adds a file to each leaf it touches. A leaf is written anew in
+    files of the advised size; leaves of one file are left alone.
+    """
+    # One row per day and shard.
+    leaves = scattered_leaves(store, first, last).collect()
+    if leaves:
+        leaf = F.concat_ws("/", "part", F.col("shard").cast("string"))
+        names = [f"{row['part']}/{row['shard']}" for row in leaves]
+        parts = sorted({row["part"] for row in leaves})
+        rows = store.table("telemetry_event").where(F.col("part").isin(parts)).where(leaf.isin(names))
+        store.replace_partitions("telemetry_event", rows)
+    return len(leaves)
+
+
+def reshard(store: Store, shards: int) -> Store:
+    """Rewrite the event table with another shard count; returns the store opened with it.
+
+    The new table is filled beside the old one and takes its name at the end. Run it again
+    after a crash: it starts over, or finishes where the names were being changed.
+    """
+    spark, event, new, old = store.spark, "telemetry_event", "telemetry_event_resharded", "telemetry_event_replaced"
+    opened = Store(spark, store.database, replace(store.options, install_shards=shards))
+    if spark.catalog.tableExists(store.name(event)):
+        before = Store(spark, store.database, replace(store.options, install_shards=None))
+        if before.install_shards != shards:
+            spark.sql(f"DROP TABLE IF EXISTS {store.name(new)}")
+            before.create_table(new, event, shards)
+            rows = before.table(event).withColumn("shard", install_shard(shards))
+            opened.append(event, rows, into=new)
+            spark.sql(f"DROP TABLE IF EXISTS {store.name(old)}")
+            spark.sql(f"ALTER TABLE {store.name(event)} RENAME TO {store.name(old)}")
+    if not spark.catalog.tableExists(store.name(event)):
+        spark.sql(f"ALTER TABLE {store.name(new)} RENAME TO {store.name(event)}")
+    spark.sql(f"DROP TABLE IF EXISTS {store.name(old)}")
+    opened.install_shards  # noqa: B018 - the count is now the table's
+    return opened
 
 
 def maintenance_cycle(
@@ -174,7 +231,7 @@ def maintenance_cycle(
         try:
             log.append((as_of, step, True, action(), None))
         except Exception as fault:  # noqa: BLE001 - a failed step must not stop the others
-            log.append((as_of, step, False, None, f"{type(fault).__name__}: {fault}"[:500]))
+            log.append((as_of, step, False, None, f"{type(fault).__name__}: {fault}"))
     columns = "as_of timestamp, step string, ok boolean, rows bigint, error string"
     run = store.spark.createDataFrame(log, columns)
     store.append("maintenance_run", run)

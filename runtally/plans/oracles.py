@@ -157,7 +157,7 @@ users AS (SELECT DISTINCT user_id FROM batches),
 forgets AS (
   SELECT 'forget-' || user_id AS req_id,
          TIMESTAMP '2024-01-01' + to_days(60) + to_seconds(user_id % 86400) AS ts, '/v1/telemetry/forget' AS path,
-         {_HEADER} AS token, user_id,
+         {_HEADER} AS token, user_id, user_id % 5 <> 1 AS size_ok,
          CASE WHEN user_id % 3 <> 2 THEN '00000000-0000-4000-8000-' || lpad(CAST(user_id AS VARCHAR), 12, '0') END AS install_id
   FROM users WHERE user_id % 11 = 0
 ),
@@ -202,8 +202,9 @@ _EVENT_COLUMNS = """install_id, event_timestamp, schema_version, tool_version, e
   scenario_pass, scenario_fail, scenario_env_error, scenario_inconclusive, startup_ms, time_to_first_test_ms,
   step_families, step_providers"""
 
-_KIND = "CAST((user_id * 31 + day(day)) % 26 AS INTEGER)"
-_MALFORMED = "(13, 14, 15, 23)"
+_KIND = "CAST((user_id * 31 + day(day)) % 41 AS INTEGER)"
+_MALFORMED = "(13, 14, 15, 23, 39)"
+_REPEATED = "26, 27, 28, 29, 30, 31, 32, 33, 34, 35"
 
 
 def _line_check(bad_kinds: str) -> str:
@@ -220,9 +221,9 @@ _FAULTS = f"""CASE
   WHEN {_KIND} = 5 THEN 'missing_field'
   WHEN {_KIND} IN (6, 7) THEN 'unknown_field'
   WHEN {_KIND} = 16 THEN 'null_required'
-  WHEN {_KIND} IN (9, 10, 17, 18, 19, 22) THEN 'wrong_type'
+  WHEN {_KIND} IN (9, 10, 17, 18, 19, 22, {_REPEATED}) THEN 'wrong_type'
   WHEN {_KIND} = 11 THEN 'bad_install_id'
-  WHEN {_KIND} IN (12, 25) THEN 'bad_timestamp' END"""
+  WHEN {_KIND} IN (12, 25, 36, 37) THEN 'bad_timestamp' END"""
 
 _DAILY = """
   SELECT date_trunc('day', event_timestamp) AS day, count(*) AS events,
@@ -268,11 +269,12 @@ answered AS (
               WHEN p.req_id IS NOT NULL THEN
                 CASE WHEN NOT media_ok THEN 'unsupported_media_type'
                      WHEN NOT key_ok THEN 'bad_idempotency_key'
-                     WHEN NOT size_ok THEN 'body_too_large'
+                     WHEN NOT p.size_ok THEN 'body_too_large'
                      WHEN NOT filled THEN 'blank_body'
                      WHEN n_lines > 25 THEN 'too_many_lines'
                      ELSE content_fault END
-              WHEN f.req_id IS NOT NULL THEN CASE WHEN f.install_id IS NULL THEN 'bad_install_id' END
+              WHEN f.req_id IS NOT NULL THEN
+                CASE WHEN NOT f.size_ok THEN 'body_too_large' WHEN f.install_id IS NULL THEN 'bad_install_id' END
               WHEN a.path = '/nowhere' THEN 'unknown_path' END AS reason
   FROM admission a LEFT JOIN posts p USING (req_id) LEFT JOIN forgets f USING (req_id)
 ),
@@ -302,8 +304,7 @@ ORACLES: dict[str, str] = {
         count(*) AS batches, CAST(0 AS BIGINT) AS new_rows FROM judged GROUP BY 1""",
     "write_ledger": f"WITH {_BATCHES} SELECT idempotency_key, install_id, line_count, received_at FROM ledger",
     "read_views": f"""WITH {_STORED}, d AS ({_DAILY}), f AS ({_FAMILY_DAILY})
-        SELECT f.day, f.family, f.n, d.events, d.distinct_installs FROM f JOIN d ON f.day = d.day
-        WHERE f.day >= TIMESTAMP '2024-01-08'""",
+        SELECT f.day, f.family, f.n, d.events, d.distinct_installs FROM f JOIN d ON f.day = d.day""",
     "read_views_pruned": f"""WITH {_STORED} SELECT * FROM ({_PROVIDER_DAILY})
         WHERE day BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-25'""",
     "quarantine_sink": f"""WITH {_BATCHES} SELECT idempotency_key, received_at, 'rejected' AS status, 400 AS http_code,
@@ -319,16 +320,16 @@ ORACLES: dict[str, str] = {
     "check_unknown_fields_v1": _line_check("6, 7"),
     "lenient_v2plus": f"""WITH {_RUNS} SELECT {_KIND} AS kind, count(*) AS lines,
         count(*) FILTER ({_FAULTS} IS NULL) AS accepted FROM runs GROUP BY 1""",
-    "check_types": _line_check("5, 9, 10, 16, 17, 18, 19, 22"),
+    "check_types": _line_check(f"5, 9, 10, 16, 17, 18, 19, 22, {_REPEATED}"),
     "check_guid": _line_check("11"),
-    "check_timestamp": _line_check("12, 25"),
+    "check_timestamp": _line_check("12, 25, 36, 37"),
     "check_future": f"""WITH {_BATCHES} SELECT user_id, block, copy,
         coalesce(reason = 'future_timestamp', FALSE) AS too_new FROM judged""",
     "batch_verdict": f"""WITH {_BATCHES} SELECT user_id, block, copy,
         CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status,
         CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS http_code, reason, bad_line AS line_no FROM judged""",
     "flatten_event": f"""WITH {_RUNS} SELECT user_id, day, install_id, event_timestamp,
-        CASE WHEN {_KIND} = 8 THEN 2 ELSE 1 END AS schema_version, tool_version, engine_version, dotnet_version,
+        CASE WHEN {_KIND} IN (8, 38) THEN 2 ELSE 1 END AS schema_version, tool_version, engine_version, dotnet_version,
         run_count, scenario_count,
         CASE WHEN {_KIND} = 24 THEN 0 ELSE step_pass END AS step_pass,
         CASE WHEN {_KIND} = 24 THEN 4 ELSE step_fail END AS step_fail,
@@ -346,7 +347,7 @@ ORACLES: dict[str, str] = {
     "audit_batch_key": f"""WITH {_REQUESTS} SELECT key_ok AND filled AND size_ok AS key_matches, count(*) AS batches
         FROM posts GROUP BY 1""",
     "redact_install_id": f"WITH {_RUNS} SELECT DISTINCT user_id, '00000000…' AS shown FROM runs",
-    "parse_forget": f"WITH {_REQUESTS} SELECT req_id, install_id FROM forgets",
+    "parse_forget": f"WITH {_REQUESTS} SELECT req_id, CASE WHEN size_ok THEN install_id END AS install_id FROM forgets",
     "audit_taxonomy": f"""WITH {_STORED} SELECT family, count(*) AS runs, CAST(sum(n) AS BIGINT) AS n
         FROM stored JOIN fam USING (user_id, day) GROUP BY 1""",
     "dedup_batches": f"""WITH {_BATCHES}, ranked AS (
@@ -359,7 +360,9 @@ ORACLES: dict[str, str] = {
           FROM judged j JOIN runs r ON r.user_id = j.user_id AND (j.block = -1 OR j.block = r.block)
           WHERE j.reason IS NULL)
         SELECT install_id, event_timestamp, schema_version, block, copy FROM offered
-        WHERE nth = 1 AND day >= DATE '2024-01-10'""",
+        WHERE nth = 1 AND (install_id, day) NOT IN (
+          SELECT r.install_id, r.day FROM firsts f JOIN runs r ON r.user_id = f.user_id AND (f.block = -1 OR f.block = r.block)
+          WHERE f.received_at < TIMESTAMP '2024-01-15')""",
     "forget_events": f"WITH {_STORED} SELECT install_id, count(*) AS rows FROM stored WHERE NOT {_ERASED} GROUP BY 1",
     "forget_ledger": f"WITH {_BATCHES} SELECT install_id, count(*) AS batches FROM ledger WHERE NOT {_ERASED} GROUP BY 1",
     "forget_upsert": f"WITH {_FORGET_STATE} SELECT install_id, requested_at, processed_at FROM queue",
@@ -394,14 +397,17 @@ ORACLES: dict[str, str] = {
                j.reason, j.bad_line, CASE WHEN j.reason IS NULL THEN CAST(j.n_lines AS INTEGER) END AS total_events,
                coalesce(a.new_rows, 0) AS new_rows
         FROM judged j LEFT JOIN firsts f USING (user_id, block, copy) LEFT JOIN added a USING (user_id, block, copy)""",
-    "partition_inventory": f"WITH {_STORED} SELECT part, count(*) AS rows FROM stored GROUP BY 1",
+    "partition_inventory": f"""WITH {_STORED}, named AS (
+          SELECT 'default' AS part UNION ALL SELECT strftime(d, '%Y%m%d') FROM (
+            SELECT unnest(generate_series(DATE '2024-01-10', DATE '2024-02-02', INTERVAL 1 DAY)) AS d))
+        SELECT n.part, count(s.part) AS rows FROM named n LEFT JOIN stored s USING (part) GROUP BY 1""",
     "default_backlog": f"WITH {_STORED} SELECT count(*) AS rows FROM stored WHERE part = 'default'",
     "events_by_install": f"WITH {_STORED} SELECT install_id, count(*) AS rows FROM stored GROUP BY 1",
     "ingest_rate_hourly": f"""WITH {_BATCHES}, added AS (
           SELECT user_id, block, copy, count(*) AS new_rows FROM carried WHERE nth = 1 GROUP BY 1, 2, 3)
         SELECT date_trunc('hour', received_at) AS hour, count(*) AS batches,
                CAST(sum(coalesce(new_rows, 0)) AS BIGINT) AS new_rows
-        FROM firsts LEFT JOIN added USING (user_id, block, copy) GROUP BY 1""",
+        FROM judged LEFT JOIN added USING (user_id, block, copy) WHERE reason IS NULL GROUP BY 1""",
     "error_rate_hourly": f"""WITH {_BATCHES} SELECT date_trunc('hour', received_at) AS hour, 400 AS http_code, reason,
         count(*) AS batches FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
     "maintenance_status": f"""WITH {_BATCHES}, counts(step, rows) AS (
@@ -442,6 +448,19 @@ ORACLES: dict[str, str] = {
     "sweep_default": f"""WITH {_STORED} {_PARTS}
         WHERE day >= DATE '2024-01-10' OR event_timestamp >= TIMESTAMP '2024-01-05 12:00:00' GROUP BY 1""",
     "forget_drain": f"WITH {_STORED} {_PARTS} WHERE NOT {_ERASED} GROUP BY 1",
+    "compact_days": f"WITH {_STORED} SELECT *, 0 AS scattered FROM ({_PARTS} GROUP BY 1)",
+    "forget_after_reshard": f"WITH {_STORED} SELECT install_id, count(*) AS rows FROM stored WHERE user_id % 50 <> 7 GROUP BY 1",
+    "dedup_after_reshard": f"WITH {_STORED} SELECT install_id, count(*) AS rows FROM stored GROUP BY 1",
+    "stream_rollup_after_forget": f"WITH {_STORED} {_DAILY.replace('FROM stored', f'FROM stored WHERE NOT {_ERASED}')}",
+    "stream_rollup_after_drop": f"""WITH {_STORED}
+        {_DAILY.replace('FROM stored', "FROM stored WHERE day < DATE '2024-01-10' OR day >= DATE '2024-01-21'")}""",
+    "stream_rollup_after_crash": f"WITH {_STORED} {_DAILY}",
+    "late_data": f"""WITH {_STORED} SELECT date_trunc('day', event_timestamp) AS day, count(*) AS rows FROM stored
+        WHERE day < DATE '2024-01-10' GROUP BY 1""",
+    "bootstrap_tables": f"""WITH {_BATCHES} SELECT 'telemetry_event' AS "table", count(*) AS rows FROM runs WHERE NOT {_LOST}
+        UNION ALL SELECT 'ingest_batch', count(*) FROM ledger
+        UNION ALL SELECT 'partition_log', 97 UNION ALL SELECT 'default', 0
+        UNION ALL SELECT 'v_run_daily', count(DISTINCT day) FROM runs WHERE NOT {_LOST}""",
     "purge_ledger": f"""WITH {_BATCHES} SELECT strftime(received_at, '%Y%m%d') AS received_day, count(*) AS batches
         FROM ledger WHERE received_at >= TIMESTAMP '2024-01-22 00:00:30' GROUP BY 1""",
     "maintenance_cycle": f"WITH {_STORED} {_PARTS} WHERE NOT {_ERASED} AND day >= DATE '2024-01-16' GROUP BY 1",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runtally.config import Options, validate_options
+from runtally.config import DEFAULT_SHARDS, Options, validate_options
 from runtally.operators import rollups
+from runtally.operators.dedup import install_shard
 from runtally.operators.forget import forget_state
-from runtally.schema import DEFAULT_PART, TABLES
+from runtally.schema import DEFAULT_PART, SHARDS_PROPERTY, TABLES
 
 VIEWS = {
     "v_run_daily": rollups.run_daily,
@@ -19,6 +21,10 @@ VIEWS = {
 }
 
 
+#: Names of the only time zone in which days, partitions and retention mean the same.
+_UTC = {"UTC", "ETC/UTC", "UCT", "ETC/UCT", "GMT", "ETC/GMT", "ZULU", "Z", "UNIVERSAL", "+00:00", "UTC+00:00", "GMT+00:00"}
+
+
 class Store:
     """Tables in one catalog database.
 
@@ -30,6 +36,21 @@ class Store:
         self.spark = spark
         self.database = database
         self.options = validate_options(options or Options.from_session(spark))
+        zone = spark.conf.get("spark.sql.session.timeZone")
+        if zone.upper() not in _UTC:
+            raise RuntimeError(f"the session's time zone must be UTC, not {zone}: see runtally.session.prepare")
+
+    @property
+    def install_shards(self) -> int:
+        """The shard count that the event table was created with."""
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name('telemetry_event')}").collect()
+        found = [int(row["value"]) for row in rows if row["key"] == SHARDS_PROPERTY]
+        if not found:
+            raise RuntimeError(f"{self.name('telemetry_event')} has no property {SHARDS_PROPERTY}: not a table of this store")
+        given = self.options.install_shards
+        if given is not None and given != found[0]:
+            raise ValueError(f"the store has {found[0]} install shards, not {given}: use lifecycle.reshard to change them")
+        return found[0]
 
     def name(self, table: str) -> str:
         return f"`{self.database}`.`{table}`"
@@ -48,18 +69,21 @@ class Store:
         return self.spark.table(self.name(table))
 
     def create_tables(self, location: str | None = None) -> Store:
-        at = f" LOCATION '{location}'" if location else ""
+        quoted = (location or "").replace("\\", "\\\\").replace("'", "\\'")
+        at = f" LOCATION '{quoted}'" if location else ""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}`{at}")
-        for table, (columns, parts) in TABLES.items():
-            # An overwrite replaces the partitions it has rows for, never the whole table.
-            how = (
-                f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({', '.join(parts)})"
-                if parts
-                else ""
-            )
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet {how}")
+        for table in TABLES:
+            self.create_table(table, table, self.options.install_shards or DEFAULT_SHARDS)
+        self.install_shards  # noqa: B018 - refuse a count that differs from an existing store's
         return self
 
+    def create_table(self, table: str, shape: str, shards: int) -> None:
+        columns, parts = TABLES[shape]
+        # An overwrite replaces the partitions it has rows for, never the whole table.
+        how = f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({', '.join(parts)})" if parts else ""
+        kept = f"TBLPROPERTIES ('{SHARDS_PROPERTY}' = '{shards}')" if shape == "telemetry_event" else ""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet {how} {kept}")
+
     # -- reads ---------------------------------------------------------------
 
     def events(self, first: date | None = None, last: date | None = None) -> DataFrame:
@@ -98,15 +122,36 @@ class Store:
     def forgets(self) -> DataFrame:
         return forget_state(self.table("forget_log"))
 
+    def events_by_install(self, install_id: str) -> DataFrame:
+        """The events of one install; only its shard is read."""
+        install = F.lit(install_id.lower())
+        rows = self.table("telemetry_event").where(F.col("install_id") == install)
+        return rows.where(F.col("shard") == install_shard(self.install_shards, install))
+
+    def events_with_day(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        """Events with their ``day``, taken from the partition where it tells the day: a
+        condition on the day then prunes partitions."""
+        rows = self.events(first, last)
+        named = rows.where(F.col("part") != DEFAULT_PART)
+        named = named.withColumn("day", F.to_timestamp(F.to_date("part", "yyyyMMdd")))
+        rest = rows.where(F.col("part") == DEFAULT_PART).withColumn("day", rollups.event_day())
+        return named.unionAll(rest)
+
+    def outcomes(self) -> DataFrame:
+        """The recorded outcome of every batch arrival, once each."""
+        return self.table("ingest_result").where(~F.col("replayed"))
+
     def register_views(self, first: date | None = None, last: date | None = None) -> None:
-        """Dashboard views for SQL, over the whole store or a pruned range of days."""
+        """Dashboard views for SQL, over the whole store or a range of days; a condition on
+        ``day`` reads the partitions of those days and the default one."""
         for view, rollup in VIEWS.items():
-            rollup(self.events(first, last)).createOrReplaceTempView(view)
+            rollup(self.events_with_day(first, last)).createOrReplaceTempView(view)
 
     # -- writes --------------------------------------------------------------
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        self._shaped(table, rows).write.insertInto(self.name(table))
+    def append(self, table: str, rows: DataFrame, into: str | None = None) -> None:
+        """Append rows in the shape of ``table``, to it or to another table of that shape."""
+        self._shaped(table, rows).write.insertInto(self.name(into or table))
 
     def replace_partitions(self, table: str, rows: DataFrame) -> None:
         """Overwrite the partitions that ``rows`` has rows for, and no others."""
@@ -135,16 +180,29 @@ class Store:
         rows = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
         return [dict(step.split("=", 1) for step in row[0].split("/")) for row in rows]
 
-    def delete_rows(self, table: str, doomed, scope: DataFrame | None = None) -> int:
+    def doomed_days(self, doomed, within: dict[str, Iterable] | None = None) -> list[date]:
+        """Event days that ``delete_rows`` would take events from: one value per calendar day."""
+        rows = doomed(self._within("telemetry_event", within)).where("_doomed")
+        return sorted(r[0] for r in rows.select(F.to_date("event_timestamp")).distinct().collect())
+
+    def _within(self, table: str, within: dict[str, Iterable] | None) -> DataFrame:
+        rows = self.table(table)
+        for column, values in (within or {}).items():
+            if column not in TABLES[table][1]:
+                raise ValueError(f"{column} is no partition column of {table}")
+            rows = rows.where(F.col(column).isin(list(values)))
+        return rows
+
+    def delete_rows(self, table: str, doomed, within: dict[str, Iterable] | None = None) -> int:
         """Delete the rows for which ``doomed(df)`` adds a true ``_doomed`` flag.
 
         Parquet tables have no row delete: partitions that hold doomed rows are
         rewritten with the survivors, and those left with none are dropped, because an
-        overwrite does not touch a partition it has no rows for. ``scope`` narrows the
-        search to the partitions that can hold such rows. Returns the rows deleted.
+        overwrite does not touch a partition it has no rows for. ``within`` narrows the
+        search to values of partition columns. Returns the rows deleted.
         """
         parts = TABLES[table][1]
-        source = self.table(table) if scope is None else scope
+        source = self._within(table, within)
 
         def flag(rows: DataFrame) -> DataFrame:
             return doomed(rows).withColumn("_doomed", F.coalesce("_doomed", F.lit(False)))
@@ -175,5 +233,3 @@ class Store:
         for table in ["telemetry_event", "ingest_batch", "forget_log", "partition_log"]:
             other.append(table, self.table(table))
         return other
-
-

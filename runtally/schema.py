@@ -44,6 +44,7 @@ FORGET_PATH = "/v1/telemetry/forget"
 UNLIMITED_PATHS = ["/healthz", "/readyz"]
 
 DEFAULT_PART = "default"
+SHARDS_PROPERTY = "runtally.install_shards"
 EVENT_KEY = ["install_id", "event_timestamp", "schema_version"]
 
 VERDICT_COLUMNS = [
@@ -103,11 +104,20 @@ TABLES = {
         "reason string, line_no int, received_day string",
         ["received_day"],
     ),
+    # One row per batch and run, repeated ones included; ``replayed`` marks an arrival that an
+    # earlier run had recorded, so that reports count each arrival once.
+    "ingest_result": (
+        "run_id string, idempotency_key string, body_hash bigint, received_at timestamp, http_code int, "
+        "outcome string, reason string, bad_line int, total_events int, new_rows bigint, replayed boolean, received_day string",
+        ["received_day"],
+    ),
     "maintenance_run": (
         "as_of timestamp, step string, ok boolean, rows bigint, error string",
         [],
     ),
-    # Stored copies of the dashboard rollups, kept fresh by the streaming ingest.
+    # Append-only: the stored rollups of a day are due while its highest version says so.
+    "rollup_log": ("day date, due boolean, version bigint", []),
+    # Stored copies of the dashboard rollups.
     "run_daily": (
         f"day timestamp, {_COUNTS}, startup_ms_p50 double, startup_ms_p95 double, "
         "time_to_first_test_ms_p50 double, time_to_first_test_ms_p95 double, "

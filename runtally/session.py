@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,6 @@ _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # The admission limits rank up to 10x the per-caller permits per window; keep
-    # the map-side pruning of `row_number() <= k` on for such k.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 _local_scratch: dict[str, str] = {}
@@ -61,7 +60,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/runtally/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging(spark: SparkSession, label: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``materialize`` into a folder of its own that is deleted at the end, also on failure.
+
+    Nothing that is read from it may be used afterwards.
+    """
+    folder = scratch_path(spark, label)
+    try:
+        yield lambda df, name: materialize(df, name, folder)
+    finally:
+        delete_path(spark, folder)
+
+
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage at a copy that survives lost executors, and gives the planner
@@ -69,7 +87,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     large one is joined by a shuffle, with no hint either way.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = f"{folder}/{label}" if folder else scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -154,8 +154,13 @@ def derive_batches(runs: DataFrame) -> DataFrame:
     )
 
 
+def _nested(line: Column, arrays: int) -> Column:
+    """The line with an unknown property of so many arrays inside each other."""
+    return F.regexp_replace(line, r"\}$", ',"futureField":' + "[" * arrays + "]" * arrays + "}")
+
+
 def derive_damaged_lines(runs: DataFrame) -> DataFrame:
-    """Every run's line with one of 26 deviations, chosen by user and day."""
+    """Every run's line with one of 41 deviations, chosen by user and day."""
     line = F.col("line")
 
     def swap(pattern: str, by: str) -> Column:
@@ -189,6 +194,22 @@ def derive_damaged_lines(runs: DataFrame) -> DataFrame:
         F.concat(line, F.lit("] x")),
         swap(r'"stepVerdicts":\{[^}]*\}', '"stepVerdicts":{"fail":4}'),
         swap(r'"timestamp":"([0-9-]+)T[0-9:.]+\+00:00"', '"timestamp":"$1T25:00:00Z"'),
+        # a property twice: the wrong value second, then first
+        swap(r'"runCount":1,', '"runCount":1,"runCount":"x",'),
+        swap(r'"runCount":1,', '"runCount":"x","runCount":1,'),
+        swap(r'"startupMs":(\d+),', '"startupMs":$1,"startupMs":1.5,'),
+        swap(r'"startupMs":(\d+),', '"startupMs":1.5,"startupMs":$1,'),
+        swap(r'"stepFamilies":(\{[^}]*\}),', '"stepFamilies":$1,"stepFamilies":[1],'),
+        swap(r'"stepFamilies":(\{[^}]*\}),', '"stepFamilies":[1],"stepFamilies":$1,'),
+        swap(r'"stepVerdicts":(\{[^}]*\}),', '"stepVerdicts":$1,"stepVerdicts":5,'),
+        swap(r'"stepVerdicts":(\{[^}]*\}),', '"stepVerdicts":5,"stepVerdicts":$1,'),
+        swap(r'"toolVersion":("[^"]*"),', '"toolVersion":$1,"toolVersion":7,'),
+        swap(r'"toolVersion":("[^"]*"),', '"toolVersion":7,"toolVersion":$1,'),
+        swap(r'\+00:00"', '+14:30"'),
+        swap(r'\+00:00"', '-14:59"'),
+        _nested(swap(r'"schemaVersion":1,', '"schemaVersion":2,'), 63),
+        _nested(swap(r'"schemaVersion":1,', '"schemaVersion":2,'), 64),
+        swap(r'"runCount":1,', '"runCount":8,"runCount":1,'),
     ]
     kind = (F.col("user_id") * 31 + F.dayofmonth("day")) % len(deviations)
     chosen = F.coalesce(*[F.when(F.col("kind") == i, d) for i, d in enumerate(deviations)])
@@ -237,6 +258,7 @@ def derive_requests(batches: DataFrame) -> DataFrame:
     )
     users = batches.select("user_id").distinct()
     guid = install_id(user)
+    wide = F.when(user % 5 == 1, F.repeat(F.lit(" "), F.lit(40000))).otherwise("")
     forgets = users.where(user % 11 == 0).select(
         F.concat_ws("-", F.lit("forget"), "user_id").alias("req_id"),
         _after(F.lit(60), user).alias("ts"),
@@ -244,10 +266,12 @@ def derive_requests(batches: DataFrame) -> DataFrame:
         header.alias("authorization"),
         F.when(user % 2 == 0, FORGET_MEDIA_TYPE).otherwise("application/json; charset=utf-8").alias("content_type"),
         F.lit(None).cast("string").alias("idempotency_key"),
-        F.when(user % 3 == 0, F.concat(F.lit('{"installId":"'), guid, F.lit('"}')))
-        .when(user % 3 == 1, F.concat(F.lit('{"INSTALLID":"{'), F.upper(guid), F.lit('}"}')))
-        .otherwise(F.concat(F.lit('{"installId":"'), F.regexp_replace(guid, "-", ""), F.lit('x"}')))
-        .alias("body"),
+        F.concat(
+            F.when(user % 3 == 0, F.concat(F.lit('{"installId":"'), guid, F.lit('"}')))
+            .when(user % 3 == 1, F.concat(F.lit('{"INSTALLID":"{'), F.upper(guid), F.lit('}"}')))
+            .otherwise(F.concat(F.lit('{"installId":"'), F.regexp_replace(guid, "-", ""), F.lit('x"}'))),
+            wide,
+        ).alias("body"),
     )
     probes = users.select(
         F.concat_ws("-", F.lit("probe"), "user_id").alias("req_id"),

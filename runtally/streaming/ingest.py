@@ -1,38 +1,15 @@
-"""Continuous ingest with Structured Streaming."""
+"""Ingest with Structured Streaming."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runtally.operators import rollups
 from runtally.plans.ingest import ingest
 from runtally.plans.store import Store
 
-ROLLUPS = {
-    "run_daily": rollups.run_daily,
-    "step_family_daily": rollups.step_family_daily,
-    "step_provider_daily": rollups.step_provider_daily,
-}
-
-
-def refresh_rollups(store: Store, days: list) -> None:
-    """Recompute the stored rollups of some days from the event table.
-
-    Exact percentiles and distinct counts do not add up over micro-batches, so a
-    touched day is recomputed and its partition overwritten.
-    """
-    if not days:
-        return
-    # Only the partitions of those days, and the default one, are scanned.
-    scope = store.events(min(days), max(days)).where(F.to_date("event_timestamp").isin(days))
-    for table, rollup in ROLLUPS.items():
-        rows = rollup(scope).withColumn("rollup_day", F.date_format("day", "yyyyMMdd"))
-        store.replace_partitions(table, rows)
-
 
 def stream_ingest(
     store: Store,
@@ -40,31 +17,27 @@ def stream_ingest(
     checkpoint: str,
     as_of: datetime | str | None = None,
     with_rollups: bool = True,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Drain the available batches of a stream into the store.
+    """Load a stream of batches into the store: what is there now, or without end.
 
-    A micro-batch that is replayed after a failure meets its own keys in the ledger
-    and the event table, so it adds nothing twice. Late events are kept: they go to
-    their own day while it is registered, else to the default partition.
+    ``every`` is the interval of a continuous run (such as "1 minute"); without it the query
+    ends when the available batches are loaded. A micro-batch that is replayed after a
+    failure meets its own keys in the ledger and the event table, so it adds nothing twice,
+    and refreshes the rollups that were left due. Late events are kept: they go to their own
+    day while it is registered, else to the default partition.
     """
 
     def load(rows: DataFrame, _epoch: int) -> None:
         # A stream has a session of its own; a write is seen at once only within a session.
         local = store.within(rows.sparkSession)
-        run = ingest(local, rows, as_of)
-        if with_rollups:
-            # One value per calendar day the micro-batch added to.
-            days = [r[0] for r in run.new_events.select(F.to_date("event_timestamp")).distinct().collect()]
-            refresh_rollups(local, days)
+        ingest(local, rows, as_of, with_rollups)
         if local is not store:
             store.refresh()
 
-    return (
-        batches.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = batches.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
 
 
 def dedup_within_window(batches: DataFrame, days: int = 35) -> DataFrame:

@@ -26,12 +26,38 @@ def refuse(_):
     raise ValueError("not JSON")
 
 
+class Pairs(dict):
+    """An object that remembers every occurrence of its keys."""
+
+    def __init__(self, pairs):
+        super().__init__(pairs)
+        self.pairs = pairs
+
+
+def fits(name, value, strict) -> bool:
+    if name in ("stepVerdicts", "scenarioVerdicts"):
+        if not isinstance(value, dict) or (strict and set(value) - set(VERDICT_FIELDS)):
+            return False
+        return all(is_int(value[m], 32) for m in VERDICT_FIELDS if m in value)
+    if name in ("stepFamilies", "stepProviders"):
+        return isinstance(value, dict) and all(is_int(v, 32) for v in value.values())
+    if name in ("timestamp", "installId", "toolVersion", "engineVersion", "dotnetVersion"):
+        return isinstance(value, str)
+    if name in ("schemaVersion", "runCount", "scenarioCount"):
+        return is_int(value, 32)
+    return name not in ("startupMs", "timeToFirstTestMs") or is_int(value, 64)
+
+
 def acceptable(line: str) -> bool:
-    """The contract over Python's own strict JSON reader; the last of repeated keys counts."""
+    """The contract over Python's own strict JSON reader; every value of a repeated property
+    must fit, and the last one counts."""
     try:
-        doc = json.loads(line, parse_constant=refuse)
+        doc = json.loads(line, parse_constant=refuse, object_pairs_hook=Pairs)
     except ValueError:
         return False
+    if isinstance(doc, Pairs) and len(doc.pairs) > len(doc):
+        if not all(fits(name, value, doc.get("schemaVersion") == 1) for name, value in doc.pairs):
+            return False
     if not isinstance(doc, dict) or not is_int(doc.get("schemaVersion"), 32) or doc["schemaVersion"] < 1:
         return False
     strict = doc["schemaVersion"] == 1
@@ -54,8 +80,15 @@ def acceptable(line: str) -> bool:
     return bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", doc["installId"]))
 
 
+TWICE = ['"runCount":1', '"runCount":"x"', '"startupMs":2.5', '"startupMs":7', '"toolVersion":"z"', '"toolVersion":1',
+         '"stepVerdicts":{}', '"stepVerdicts":4', '"stepFamilies":{"q":1}', '"stepFamilies":[2]']
+
+
 def damage(rng: random.Random) -> str:
     line = rng.choice([LINE_ONE, LINE_TWO])
+    if rng.random() < 0.2:
+        again = rng.choice(TWICE)
+        return line[:-1] + "," + again + "}" if rng.random() < 0.5 else "{" + again + "," + line[1:]
     for _ in range(rng.choice([0, 1, 1, 1, 2, 3])):
         at = rng.randrange(len(line) + 1)
         action = rng.randrange(4)

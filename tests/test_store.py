@@ -10,8 +10,8 @@ from conftest import NOW, batches, event_line, install, key_of
 from pyspark.sql import functions as F
 
 from runtally import Options, Store
-from runtally.operators import forget, reports
-from runtally.plans import lifecycle
+from runtally.operators import forget, reports, rollups
+from runtally.plans import lifecycle, stored_rollups
 from runtally.plans.ingest import ingest
 
 
@@ -85,7 +85,7 @@ def test_rejected_batch_leaves_a_reason_only(spark, store):
 
 def test_interrupted_run_is_healed(spark, store):
     first = ingest(store, batches(spark, (1, event_line()), (2, event_line(2))), NOW)
-    assert first.new_events.count() == 2
+    assert first.results.agg({"new_rows": "sum"}).first()[0] == 2
     other = Store(spark, f"t_{uuid.uuid4().hex[:10]}", store.options).create_tables()
     lifecycle.ensure_partitions(other, date(2026, 6, 20), date(2026, 7, 8))
     other.append("telemetry_event", store.table("telemetry_event"))  # died before the ledger
@@ -101,7 +101,8 @@ def test_routing(spark, store):
     assert parts(store) == {"20260628": 2, "default": 1}
     assert store.partition("default").count() == 1
     assert reports.default_backlog(store.events()).first()["rows"] == 1
-    assert [r["part"] for r in reports.partition_inventory(store.events()).collect()] == ["default", "20260628"]
+    held = {r["part"]: r["rows"] for r in reports.partition_inventory(store.events(), store.list_partitions()).collect()}
+    assert (held["default"], held["20260628"], held["20260627"], len(held)) == (1, 2, 0, 19)
 
 
 def test_day_range_prunes_partitions(spark, store):
@@ -302,3 +303,140 @@ def test_forget_bodies(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, body string")
     found = df.select("i", forget.forget_install(F.col("body")).alias("id")).orderBy("i").collect()
     assert [r["id"] for r in found] == [c[1] for c in cases]
+
+
+def stored_daily(store):
+    return sorted(map(str, store.table("run_daily").drop("rollup_day").collect()))
+
+
+def fresh_daily(store):
+    return sorted(map(str, rollups.run_daily(store.events()).collect()))
+
+
+def test_shard_count_belongs_to_the_store(spark, store):
+    ingest(store, batches(spark, (1, [event_line(n) for n in range(6)])), NOW)
+    assert Store(spark, store.database).install_shards == 2
+    with pytest.raises(ValueError, match="2 install shards"):
+        ingest(Store(spark, store.database, Options(install_shards=16)), batches(spark, (2, event_line())), NOW)
+    with pytest.raises(ValueError):
+        Store(spark, store.database, Options(install_shards=16)).create_tables()
+    wider = lifecycle.reshard(store, 16)
+    assert wider.install_shards == Store(spark, store.database).install_shards == 16
+    assert installs(wider) == [install(n) for n in range(6)]
+    assert outcomes(ingest(wider, batches(spark, (3, event_line(4))), NOW)) == {(key_of(3), "accepted", 0)}
+    wider.request_forget(spark.createDataFrame([(install(3), NOW)], "install_id string, requested_at timestamp"))
+    assert lifecycle.forget_drain(wider, NOW) == 1
+    assert installs(wider) == [install(n) for n in (0, 1, 2, 4, 5)]
+    assert [r["install_id"] for r in wider.events_by_install(install(4).upper()).collect()] == [install(4)]
+    plan = wider.events_by_install(install(4))._jdf.queryExecution().executedPlan().toString()
+    assert "shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert lifecycle.reshard(wider, 16).install_shards == 16
+
+
+def test_reshard_finishes_between_the_renames(spark, store):
+    ingest(store, batches(spark, (1, [event_line(n) for n in range(4)])), NOW)
+    lifecycle.reshard(store, 4)
+    spark.sql(f"ALTER TABLE {store.name('telemetry_event')} RENAME TO {store.name('telemetry_event_resharded')}")
+    opened = Store(spark, store.database)
+    assert installs(lifecycle.reshard(opened, 4)) == [install(n) for n in range(4)]
+
+
+def test_nothing_of_a_run_stays_in_staging(spark, store, tmp_path, monkeypatch):
+    from runtally import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path / "scratch"))
+    ingest(store, batches(spark, (1, [event_line(1), event_line(2)]), (2, "{bad")), NOW, with_rollups=True)
+    store.request_forget(spark.createDataFrame([(install(1), NOW)], "install_id string, requested_at timestamp"))
+    lifecycle.maintenance_cycle(store, NOW)
+
+    def fail(*_):
+        raise RuntimeError("no disk")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(Store, "append", fail)
+        with pytest.raises(RuntimeError, match="no disk"):
+            ingest(store, batches(spark, (3, event_line(1))), NOW)
+    left = [p for p in (tmp_path / "scratch").rglob("*") if p.is_file()]
+    assert not left
+
+
+def test_stored_rollups_follow_the_store(spark, aged):
+    lines = [event_line(n, at(date(2026, 6, 28))) for n in range(1, 5)]
+    ingest(aged, batches(spark, (2, lines)), NOW, with_rollups=True)
+    stored_rollups.mark_due(aged, aged.doomed_days(lambda df: df.withColumn("_doomed", F.lit(True))))
+    stored_rollups.refresh_due(aged)
+    assert stored_daily(aged) == fresh_daily(aged)
+    aged.request_forget(spark.createDataFrame([(install(2), NOW), (install(89), NOW)], "install_id string, requested_at timestamp"))
+    lifecycle.forget_drain(aged, NOW)
+    assert stored_daily(aged) == fresh_daily(aged)
+    # install 89 was alone on its day: no partition of that day is left
+    assert "20260403" not in {leaf["rollup_day"] for leaf in aged.leaves("run_daily")}
+    lifecycle.drop_old_partitions(aged, NOW, 90)
+    lifecycle.sweep_default(aged, NOW)
+    assert stored_daily(aged) == fresh_daily(aged)
+    assert stored_rollups.due_days(aged) == []
+
+
+def test_a_run_that_died_before_its_rollups_is_healed(spark, store, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(stored_rollups, "refresh_due", fail)
+        with pytest.raises(RuntimeError, match="executor lost"):
+            ingest(store, batches(spark, (1, event_line(1))), NOW, with_rollups=True)
+    assert store.events().count() == 1 and store.table("run_daily").count() == 0
+    ingest(store, batches(spark, (1, event_line(1))), NOW, with_rollups=True)
+    assert store.table("run_daily").count() == 1 and stored_daily(store) == fresh_daily(store)
+    # the replayed arrival counts once
+    assert [(r["outcome"], r["new_rows"]) for r in store.outcomes().collect()] == [("accepted", 1)]
+
+
+def test_views_prune_by_day(spark, store):
+    lines = [event_line(n, at(date(2026, 6, 20 + n))) for n in range(5)] + [event_line(9, at(date(2026, 6, 1)))]
+    ingest(store, batches(spark, (1, lines)), NOW)
+    store.register_views()
+    for view in ("v_run_daily", "v_step_family_daily", "v_step_provider_daily"):
+        found = spark.sql(f"SELECT * FROM {view} WHERE day >= TIMESTAMP '2026-06-23'")
+        assert sorted(r["day"].day for r in found.collect()) == [23, 24]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "part#" in plan
+        scans = [s.split("]")[0] for s in found._jdf.queryExecution().sparkPlan().toString().split("PartitionFilters: [")[1:]]
+        assert scans and all("part#" in s for s in scans)
+        assert any("to_date" in s or "gettimestamp" in s or "2026-06-23" in s for s in scans)
+    assert spark.sql("SELECT * FROM v_run_daily").count() == 6
+
+
+def test_store_refuses_another_time_zone(spark, store):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(RuntimeError, match="UTC"):
+            Store(spark, store.database)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_whole_error_of_a_failed_step_is_kept(spark, store):
+    def fail():
+        raise RuntimeError("x" * 900)
+
+    run = lifecycle.maintenance_cycle(store, NOW, {"sweep_default": fail})
+    assert len(run.where("not ok").first()["error"]) == len("RuntimeError: ") + 900
+
+
+def test_oversized_forget_body(spark):
+    body = '{"installId":"550e8400-e29b-41d4-a716-446655440000"}' + " " * 200
+    rows = spark.createDataFrame([("application/json", body, NOW)], "content_type string, body string, ts timestamp")
+    assert forget.parse_forget(rows).count() == 1
+    assert forget.parse_forget(rows, Options(max_body_bytes=100)).count() == 0
+    assert rows.select(forget.forget_fault(Options(max_body_bytes=100))).first()[0] == "body_too_large"
+
+
+def test_compaction_keeps_rows_and_leaves_one_file(spark, store):
+    for n in range(4):
+        ingest(store, batches(spark, (n, [event_line(n), event_line(10 + n)])), NOW)
+    before = installs(store)
+    day = date(2026, 6, 28)
+    assert lifecycle.compact_days(store, day, day) == 2
+    assert installs(store) == before and lifecycle.scattered_leaves(store, day, day).count() == 0
+    assert lifecycle.compact_days(store, day, day) == 0

@@ -108,6 +108,35 @@ FAULTS = {
 }
 
 
+TWICE = {
+    '"runCount":1': ['"runCount":"x"', '"runCount":9000000000', '"runCount":null'],
+    '"startupMs":1234': ['"startupMs":1.5', '"startupMs":"1"', '"startupMs":9223372036854775808'],
+    '"toolVersion":"1.0.0"': ['"toolVersion":7', '"toolVersion":null', '"toolVersion":["1"]'],
+    '"stepFamilies":{"http":3,"db-assert":1,"custom":1}': ['"stepFamilies":[1]', '"stepFamilies":{"a":"1"}', '"stepFamilies":null'],
+    '"stepVerdicts":{"pass":5,"fail":1,"envError":0,"inconclusive":0}': ['"stepVerdicts":5', '"stepVerdicts":{"pass":"1"}'],
+    '"schemaVersion":1': ['"schemaVersion":"1"'],
+}
+
+
+def test_each_value_of_a_repeated_property_is_checked(spark):
+    lines = []
+    for right, wrongs in TWICE.items():
+        assert right in LINE_ONE
+        for wrong in wrongs:
+            lines += [swap(right, f"{right},{wrong}"), swap(right, f"{wrong},{right}")]
+    assert all(row["fault"] for row in check(spark, lines))
+    twice = [swap(right, f"{right},{right}") for right in TWICE]
+    assert [row["fault"] for row in check(spark, twice)] == [None] * len(twice)
+
+
+def test_depth(spark):
+    lines = []
+    for arrays, text in ((63, ""), (64, ""), (20, "[{" * 60), (63, '\\"[[')):
+        extra = f'"text":"{text}","deep":{"[" * arrays}{"]" * arrays},'
+        lines.append(swap('"schemaVersion":1,', f'"schemaVersion":2,{extra}'))
+    assert [row["fault"] for row in check(spark, lines)] == [None, "malformed_json", None, None]
+
+
 def test_every_fault_is_named(spark):
     lines = [line for line, _ in FAULTS.values()]
     found = {name: row["fault"] for name, row in zip(FAULTS, check(spark, lines))}
@@ -150,6 +179,11 @@ def test_accepted_variations(spark):
         ("2026-06-28T02:00:00.5", datetime(2026, 6, 28, 2, 0, 0, 500000)),
         ("2026-06-28", datetime(2026, 6, 28)),
         ("2026-06-28T02:00:00+15:00", None),
+        ("2026-06-28T02:00:00+14:00", datetime(2026, 6, 27, 12, 0)),
+        ("2026-06-28T02:00:00-14", datetime(2026, 6, 28, 16, 0)),
+        ("2026-06-28T02:00:00+13:59", datetime(2026, 6, 27, 12, 1)),
+        ("2026-06-28T02:00:00+14:01", None),
+        ("2026-06-28T02:00:00-14:59", None),
         ("2026-06-28Z", None),
         ("20260628T020000Z", None),
         ("2026-06-28T02:00:00.Z", None),
