@@ -5,6 +5,9 @@ then routed through every tree, so the index holds all rows. A query walks all t
 shared priority queue, nearest hyperplane margins first, until the leaves it took hold
 ``search`` vectors; their members are ranked by exact distance in double precision.
 
+Before the search, an audit compares a bounded sample of queries with all rows and doubles
+``search`` until ``TARGET`` of their nearest classes are found (or all vectors are read).
+
 Equal vectors are one class: a vector that a third of all rows share is routed, stored and
 compared once, and its rows are ranked only where the class is an answer. Leaves beyond
 ``SHARE`` classes are dealt out to several tasks; each task returns the best of its share.
@@ -30,7 +33,9 @@ from runtally.session import materialize
 
 #: Vectors the hyperplanes are fitted on, trees, sample points per leaf at most, vectors whose
 #: distance a query computes at least (in all trees together), classes of a leaf per task.
-SAMPLE, TREES, LEAF, SEARCH, SHARE = 20_000, 16, 64, 12_000, 4096
+SAMPLE, TREES, LEAF, SEARCH, SHARE = 20_000, 16, 64, 20_000, 4096
+#: Queries of the audit and the share of their nearest classes to be found.
+AUDITED, TARGET = 64, 0.95
 #: Salts for ranking the rows of one class.
 SALTS = 16
 
@@ -126,7 +131,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: Euclidean distance, for each query row.
 
-    ``is_query`` is a condition on ``vec_id``. ``search`` and ``trees`` trade time for recall.
+    ``is_query`` is a condition on ``vec_id``. ``search`` is where the audit starts.
     """
     spark = df.sparkSession
     rows = valid(df, vec_id, embedding)
@@ -155,32 +160,34 @@ def nearest(
     sizes = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().toLocalIterator()}
     known = spark.sparkContext.broadcast(sizes)
 
-    def visits(batches):
-        for batch in batches:
-            names = batch.schema.names
-            v = matrix(batch.column(names.index("v")))
-            found = [leaves_of(q, forest.value, known.value, search) for q in v]
-            at = np.repeat(np.arange(len(v)), [len(f) for f in found])
-            flat = np.array([x for f in found for x in f], dtype=np.int32).reshape(-1, 2)
-            share = [-(-known.value[(int(t), int(x))] // SHARE) for t, x in flat]
-            part = np.concatenate([np.arange(s, dtype=np.int32) for s in share]) if share else np.empty(0, np.int32)
-            wide = np.repeat(np.arange(len(flat)), share).astype(np.int64)
-            taken = batch.take(pa.array(at[wide], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(flat[wide, 0]),
-                    pa.array(flat[wide, 1]),
-                    pa.array(part),
-                    pa.array(np.ones(len(wide), dtype=bool)),
-                    taken.column(names.index("class")),
-                    taken.column(names.index("v")),
-                ],
-                names=["tree", "leaf", "part", "asks", "class", "v"],
-            )
+    def visiting(search):
+        def visits(batches):
+            for batch in batches:
+                names = batch.schema.names
+                v = matrix(batch.column(names.index("v")))
+                found = [leaves_of(q, forest.value, known.value, search) for q in v]
+                at = np.repeat(np.arange(len(v)), [len(f) for f in found])
+                flat = np.array([x for f in found for x in f], dtype=np.int32).reshape(-1, 2)
+                share = [-(-known.value[(int(t), int(x))] // SHARE) for t, x in flat]
+                part = np.concatenate([np.arange(s, dtype=np.int32) for s in share]) if share else np.empty(0, np.int32)
+                wide = np.repeat(np.arange(len(flat)), share).astype(np.int64)
+                taken = batch.take(pa.array(at[wide], pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(flat[wide, 0]),
+                        pa.array(flat[wide, 1]),
+                        pa.array(part),
+                        pa.array(np.ones(len(wide), dtype=bool)),
+                        taken.column(names.index("class")),
+                        taken.column(names.index("v")),
+                    ],
+                    names=["tree", "leaf", "part", "asks", "class", "v"],
+                )
+
+        return visits
 
     queries = members.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asking = classes.join(queries.select("v").distinct(), "v", "leftsemi").select("class", "v")
-    asked = asking.mapInArrow(visits, "tree int, leaf int, part int, asks boolean, class long, v array<double>")
     shares = F.broadcast(
         # Bounded by the trees, as above.
         spark.createDataFrame([(t, x, -(-n // SHARE)) for (t, x), n in sizes.items()], "tree int, leaf int, parts int")
@@ -208,11 +215,45 @@ def nearest(
         flat = [np.concatenate(c) if c else np.empty(0) for c in out]
         return pa.table({"asker": flat[0].astype(np.int64), "class": flat[1].astype(np.int64), "score": flat[2].astype(float)})
 
-    near = asked.unionAll(dealt).groupBy("tree", "leaf", "part").applyInArrow(best, "asker long, class long, score double")
     # k + 1 classes hold k rows besides the query's own.
-    near = near.distinct()
     top = Window.partitionBy("asker").orderBy("score", "class")
-    near = materialize(near.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r"), "near")
+
+    def nearest_classes(near: DataFrame) -> DataFrame:
+        return near.distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r")
+
+    def searched(asking: DataFrame, search: int) -> DataFrame:
+        asked = asking.mapInArrow(
+            visiting(search), "tree int, leaf int, part int, asks boolean, class long, v array<double>"
+        )
+        both = asked.unionAll(dealt).groupBy("tree", "leaf", "part")
+        return nearest_classes(both.applyInArrow(best, "asker long, class long, score double"))
+
+    asking = materialize(asking, "asking")
+    few = asking.orderBy(F.xxhash64("class", F.lit("audit")), "class").limit(AUDITED)
+    sample = few.toPandas()
+    points = spark.sparkContext.broadcast((sample["class"].to_numpy(), list(sample["v"])))
+
+    def exact(batches):
+        for batch in batches:
+            names = batch.schema.names
+            v, ids = matrix(batch.column(names.index("v"))), batch.column(names.index("class")).to_numpy()
+            for name, q in zip(*points.value):
+                squares = ((v - q) ** 2).sum(axis=1)
+                few = np.lexsort((ids, squares))[: k + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(few), name)), pa.array(ids[few]), pa.array(np.sqrt(squares[few]))],
+                    names=["asker", "class", "score"],
+                )
+
+    true = materialize(nearest_classes(classes.mapInArrow(exact, "asker long, class long, score double")), "audit")
+    few = materialize(few, "audited")
+    wanted = true.count()
+    every = trees * classes.count()
+    while search < every:
+        if searched(few, search).join(true, ["asker", "class"], "leftsemi").count() >= TARGET * wanted:
+            break
+        search *= 2
+    near = materialize(searched(asking, search), "near")
     # The first k + 1 rows of the classes that are answers; salts keep a large class spread.
     named = members.join(classes, "v").select("class", "vec_id")
     answers = named.join(near.select("class").distinct(), "class", "leftsemi").distinct()
