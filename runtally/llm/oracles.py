@@ -1,3 +1,38 @@
-"""SQL twins of the training-data queries, for those that SQL can express."""
+"""SQL twins of the training-data queries, for those that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others have fitted models, searches or links that need brute force over all pairs; their
+tests compare them with it on small tables.
+"""
+
+from __future__ import annotations
+
+from runtally.llm.secrets import RULES, Rule
+
+
+def _spans(rule: Rule, rank: int) -> str:
+    """Spans of one rule: the stretches before a match and the matches before it add up."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, {str(rule.base).lower()} AS base,
+         unnest([{{
+           'at': CAST(list_sum([length(x) for x in p[1:i]]) AS BIGINT)
+                 + coalesce(CAST(list_sum([length(x) for x in m[1:i - 1]]) AS BIGINT), 0),
+           'size': length(m[i]), 'part': length(g[i])}} for i in range(1, len(m) + 1)]) AS s, {rule.least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g,
+               string_split_regex(t, '{pattern}') AS p FROM docs)"""
+
+
+_JOINED = "string_agg(kind || ':' || s.at || ':' || (s.at + s.size), ',' ORDER BY s.at, rank)"
+
+ORACLES: dict[str, str] = {
+    "op5_secrets": f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({' UNION ALL '.join(_spans(rule, rank) for rank, rule in enumerate(RULES))}),
+kept AS (SELECT * FROM found WHERE s.part >= least),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, {_JOINED} FILTER (base) AS base_spans, {_JOINED} AS spans
+  FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN per_doc USING (doc_id)""",
+}
