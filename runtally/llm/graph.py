@@ -3,12 +3,15 @@
 1. Every vector goes to the shards of its ``overlap`` nearest cluster centres; a shard beyond
    ``PART`` vectors is dealt out to several parts.
 2. Each part builds a graph: nearest candidates, robust-pruned so that edges lead in different
-   directions, with reverse edges. Adjacency lists of a vector are united across shards.
-3. In its nearest shard every vector searches all parts: greedily from the medoid (and from
-   itself where stored), then from every vector in range to its neighbours until none is new.
-   Links are verified in double precision.
+   directions, one far edge from each of a geometric series of rank ranges (a family of near
+   vectors fills the nearest ranks, so these leave it), with reverse edges. Adjacency lists of
+   a vector are united across shards.
+3. In its nearest shard every vector searches all parts: greedily from the medoids of the
+   part's clusters (and from itself where stored), then from every vector in range to its
+   neighbours until none is new. Links are verified in double precision.
 4. An audit compares a bounded sample of vectors with all rows. While it finds less than
-   ``TARGET`` of their links, shards overlap more and all is done anew.
+   ``TARGET`` of their links, every vector is compared with all of its nearest shard instead of
+   searching it, and then shards overlap more, until every vector was compared with all.
 
 Equal vectors are one class and searched once. Centres are fitted on a bounded sample.
 
@@ -33,19 +36,27 @@ from runtally.session import materialize
 SHARD, CENTRES, PART, SAMPLE = 512, 4096, 4096, 20_000
 #: Candidates and kept edges per vector, the prune's factor, width of the greedy search.
 POOL, DEGREE, ALPHA, BEAM = 64, 24, 1.2, 32
-#: Vectors of the audit and the share of their links to be found.
-AUDITED, TARGET = 256, 0.99
+#: First rank and growth of the far edges' rank ranges, clusters whose medoids start a search.
+FAR, GROWTH, MEDOIDS = 16, 1.5, 16
+#: Vectors of the audit, vectors compared at once and the share of the links to be found.
+AUDITED, BLOCK, TARGET = 256, 1024, 0.99
 
 
 def build(v: np.ndarray) -> list[np.ndarray]:
-    """Out-edges of each unit vector: robust-pruned nearest candidates and reverse edges."""
+    """Out-edges of each unit vector: robust-pruned nearest candidates, far and reverse edges."""
     m = len(v)
     if m < 2:
         return [np.empty(0, np.int64)] * m
     near = v @ v.T
     np.fill_diagonal(near, -np.inf)
     pool = min(POOL, m - 1)
-    candidates = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
+    bounds = [FAR]
+    while bounds[-1] < m - 1:
+        bounds.append(min(m - 1, int(bounds[-1] * GROWTH)))
+    ranked = np.argpartition(-near, sorted({pool - 1, *(b for b in bounds if b < m)}), axis=1)
+    rng = np.random.default_rng(7)
+    far = [ranked[np.arange(m), rng.integers(a, b, m)] for a, b in zip(bounds, bounds[1:])]
+    candidates = ranked[:, :pool]
     order = np.argsort(-np.take_along_axis(near, candidates, 1), axis=1, kind="stable")
     candidates = np.take_along_axis(candidates, order, 1)
     np.fill_diagonal(near, 1.0)
@@ -64,6 +75,7 @@ def build(v: np.ndarray) -> list[np.ndarray]:
         alive[rows, first] = False
     source, target = np.repeat(rows, DEGREE), kept.ravel()
     source, target = source[target >= 0], target[target >= 0]
+    source, target = np.concatenate((source, *[rows] * len(far))), np.concatenate((target, *far))
     both = np.unique(np.concatenate((source * m + target, target * m + source)))
     return np.split(both % m, np.searchsorted(both // m, rows[1:]))
 
@@ -79,8 +91,11 @@ def padded(edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def in_range(q: np.ndarray, v: np.ndarray, edges: np.ndarray, starts: list[int], least: float) -> np.ndarray:
-    """Stored vectors with cosine >= least that the search reaches."""
+def in_range(
+    q: np.ndarray, v: np.ndarray, edges: np.ndarray, starts: list[int], least: float, own: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Stored vectors but ``own`` with cosine >= least that the search reaches and their cosines;
+    if there are none, the best one reached."""
     m = len(v)
     seen = np.zeros(m + 1, dtype=bool)
     seen[m] = True
@@ -110,11 +125,23 @@ def in_range(q: np.ndarray, v: np.ndarray, edges: np.ndarray, starts: list[int],
         known = np.concatenate((known, new))
         score = np.concatenate((score, v[new] @ q))
         opened = np.concatenate((opened, np.zeros(len(new), dtype=bool)))
-    return known[score >= least]
+    others = known != own if own is not None else np.ones(len(known), dtype=bool)
+    known, score = known[others], score[others]
+    hit = score >= least
+    if not hit.any():
+        hit = np.arange(len(score)) == (score.argmax() if len(score) else -1)
+    return known[hit], score[hit]
 
 
-def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float) -> DataFrame:
-    """(a, b): directed links between classes."""
+def medoids(v: np.ndarray) -> list[int]:
+    """The members nearest to the mean and to the centres of ``MEDOIDS`` clusters."""
+    middles = np.concatenate((v.mean(axis=0)[None], kmeans(v, MEDOIDS)))
+    return np.unique((middles @ v.T).argmax(axis=1)).tolist()
+
+
+def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float, compare: bool = False) -> DataFrame:
+    """(a, b, score): directed links between classes; for a class that finds none in a part, the
+    best other that it saw there, if any. ``compare``: all pairs within a shard, without a graph."""
     shared = classes.sparkSession.sparkContext.broadcast(centres)
 
     def dealt(batches):
@@ -139,10 +166,19 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
         edges = build(matrix(table.column("v")))
         return pa.table({"class": ids, "neighbours": pa.array([ids[e] for e in edges], pa.list_(pa.int64()))})
 
-    lists = placed.groupBy("shard", "part").applyInArrow(linked, "class long, neighbours array<long>")
-    # One list per shard of a class: at most ``overlap``.
-    united = lists.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    united = materialize(united, "adjacency")
+    def compared(names: np.ndarray, points: np.ndarray, ids: np.ndarray, v: np.ndarray):
+        """The hits and the best others of asking vectors, a block at a time."""
+        for at in range(0, len(ids), BLOCK):
+            block = ids[at : at + BLOCK]
+            near = v[at : at + BLOCK] @ points.T
+            near[block[:, None] == names] = -np.inf
+            best = near.argmax(axis=1)
+            hit = near >= least
+            top = near[np.arange(len(block)), best]
+            alone = np.flatnonzero((top < least) & (top > -np.inf))
+            i, j = np.nonzero(hit)
+            i, j = np.concatenate((i, alone)), np.concatenate((j, best[alone]))
+            yield block[i], names[j], near[i, j]
 
     def found(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -152,27 +188,44 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
         stored = stored[np.argsort(ids[stored], kind="stable")]
         names, points = ids[stored], v[stored]
         if not len(names):
-            return pa.table({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            return pa.table({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "score": np.empty(0)})
+        if compare:
+            parts = list(compared(names, points, ids[asks], v[asks]))
+            a, b, score = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.float64())})
         edges = []
         for row in stored:
             other = np.asarray(lists[row] or [], dtype=np.int64)
             at = np.minimum(np.searchsorted(names, other), len(names) - 1)
             edges.append(at[names[at] == other])
         edges = padded(edges)
-        medoid = int((points @ points.mean(axis=0)).argmax())
-        a, b = [], []
+        entries = medoids(points)
+        a, b, score = [], [], []
         for row in np.flatnonzero(asks):
             own = int(np.searchsorted(names, ids[row]))
-            starts = [medoid]
-            if own < len(names) and names[own] == ids[row] and own != medoid:
-                starts.append(own)
-            hits = names[in_range(v[row], points, edges, starts, least)]
-            hits = hits[hits != ids[row]]
+            stored_here = own < len(names) and names[own] == ids[row]
+            starts = [*entries, own] if stored_here and own not in entries else entries
+            hits, scores = in_range(v[row], points, edges, starts, least, own if stored_here else None)
             a.append(np.full(len(hits), ids[row]))
-            b.append(hits)
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+            b.append(names[hits])
+            score.append(scores)
+        none = np.empty(0, np.int64)
+        return pa.table(
+            {
+                "a": np.concatenate((none, *a)),
+                "b": np.concatenate((none, *b)),
+                "score": np.concatenate((np.empty(0), *score)),
+            }
+        )
 
-    stored = placed.join(united, "class").select("shard", "part", F.lit(False).alias("asks"), "class", "v", "neighbours")
+    if compare:
+        stored = placed.select("shard", "part", F.lit(False).alias("asks"), "class", "v", F.lit(None).cast("array<long>").alias("neighbours"))
+    else:
+        lists = placed.groupBy("shard", "part").applyInArrow(linked, "class long, neighbours array<long>")
+        # One list per shard of a class: at most ``overlap``.
+        united = lists.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
+        united = materialize(united, "adjacency")
+        stored = placed.join(united, "class").select("shard", "part", F.lit(False).alias("asks"), "class", "v", "neighbours")
     asking = placed.where("nearest").select(
         "shard",
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
@@ -181,7 +234,7 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
         "v",
         F.lit(None).cast("array<long>").alias("neighbours"),
     )
-    return stored.unionAll(asking).groupBy("shard", "part").applyInArrow(found, "a long, b long")
+    return stored.unionAll(asking).groupBy("shard", "part").applyInArrow(found, "a long, b long, score double")
 
 
 def audit(classes: DataFrame, links: DataFrame, least: float) -> float:
@@ -227,13 +280,18 @@ def near_duplicates(
     count = classes.count()
     picked = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("v").toPandas()
     centres = kmeans(np.stack(picked["v"].to_numpy()), min(CENTRES, -(-count // SHARD)))
+    compare = False
     while True:
-        directed = _search(classes.select("class", "v"), centres, overlap, least)
-        links = directed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialize(links, "links")
-        if overlap >= len(centres) or audit(classes, links, least) >= TARGET:
+        directed = materialize(_search(classes.select("class", "v"), centres, overlap, least, compare), "directed")
+        links = directed.where(F.col("score") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = materialize(links.distinct(), "links")
+        if compare and overlap >= len(centres):
+            break  # all pairs were compared
+        if audit(classes, links, least) >= TARGET:
             break
-        overlap *= 2
+        if compare:
+            overlap *= 2
+        compare = True
     sizes = classes.select("class", "members")
     ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionAll(
         links.select(F.col("b").alias("class"), F.col("a").alias("other"))

@@ -123,3 +123,41 @@ def test_robust_prune_keeps_a_connected_graph():
                 todo.append(n)
     assert len(seen) == 500
     assert graph.build(v[:1])[0].size == 0
+
+
+def wide_families(rng, sizes, cosine, others, d=64):
+    """Families whose centres have the given cosine, members nearly equal, and a further family."""
+    base = np.linalg.qr(rng.normal(size=(d, len(sizes) + 1)))[0].T
+    centres = [base[0]] + [cosine * base[0] + np.sqrt(1 - cosine**2) * b for b in base[1 : len(sizes)]]
+    centres.append(base[len(sizes)])
+    v = np.concatenate([c + rng.normal(scale=0.002, size=(n, d)) for c, n in zip(centres, (*sizes, others))])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def links(v, least=0.9):
+    return (v @ v.T >= least).sum(axis=1) - 1
+
+
+def found_links(spark, v):
+    rows = [(k, [float(x) for x in np.float32(row)]) for k, row in enumerate(v)]
+    got = {r["vec_id"]: r["n_links"] for r in graph.near_duplicates(table(spark, rows)).collect()}
+    return np.array([got[k] for k in range(len(v))])
+
+
+def test_search_leaves_a_family_wider_than_the_pool():
+    v = wide_families(np.random.default_rng(5), (100, 100), 0.93, 400)
+    edges = graph.padded(graph.build(v))
+    for q in range(0, 200, 7):
+        hits, scores = graph.in_range(v[q], v, edges, [400, q], 0.9, q)
+        assert sorted(hits) == [k for k in range(200) if k != q] and (scores >= 0.9).all()
+
+
+def test_links_between_wide_families(spark):
+    v = wide_families(np.random.default_rng(6), (100, 100), 0.93, 300)
+    assert (found_links(spark, v) == links(v)).all()
+
+
+def test_exact_comparison_where_the_search_misses(spark, monkeypatch):
+    monkeypatch.setattr(graph, "in_range", lambda *_: (np.empty(0, np.int64), np.empty(0)))
+    v = wide_families(np.random.default_rng(7), (40, 30), 0.95, 50)
+    assert (found_links(spark, v) == links(v)).all()
