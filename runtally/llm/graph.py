@@ -9,9 +9,10 @@
 3. In its nearest shard every vector searches all parts: greedily from the medoids of the
    part's clusters (and from itself where stored), then from every vector in range to its
    neighbours until none is new. Links are verified in double precision.
-4. An audit compares a bounded sample of vectors with all rows. While it finds less than
-   ``TARGET`` of their links, every vector is compared with all of its nearest shard instead of
-   searching it, and then shards overlap more, until every vector was compared with all.
+4. An audit compares samples of vectors with all rows until it is known, one more miss per
+   stratum allowed for, whether ``TARGET`` of the links are found. If not, every vector is
+   compared with all of its nearest shard instead of searching it, and then shards overlap
+   more, until the audit holds or every vector was compared with all.
 
 Equal vectors are one class and searched once. Centres are fitted on a bounded sample.
 
@@ -38,8 +39,9 @@ SHARD, CENTRES, PART, SAMPLE = 512, 4096, 4096, 20_000
 POOL, DEGREE, ALPHA, BEAM = 64, 24, 1.2, 32
 #: First rank and growth of the far edges' rank ranges, clusters whose medoids start a search.
 FAR, GROWTH, MEDOIDS = 16, 1.5, 16
-#: Vectors of the audit, vectors compared at once and the share of the links to be found.
-AUDITED, BLOCK, TARGET = 256, 1024, 0.99
+#: Vectors per stratum of the audit's first round and its growth, vectors compared at once, the
+#: share of the links to be found, and how far below a link the best cosine of a close vector is.
+AUDITED, MORE, BLOCK, TARGET, CLOSE = 256, 4, 1024, 0.99, 0.1
 
 
 def build(v: np.ndarray) -> list[np.ndarray]:
@@ -237,10 +239,54 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float,
     return stored.unionAll(asking).groupBy("shard", "part").applyInArrow(found, "a long, b long, score double")
 
 
-def audit(classes: DataFrame, links: DataFrame, least: float) -> float:
-    """The share of the links of a bounded sample of classes that ``links`` (a, b) holds."""
+def audit(classes: DataFrame, directed: DataFrame, links: DataFrame, least: float) -> bool:
+    """Whether ``links`` (a, b) holds ``TARGET`` of the links, by comparing samples with all classes.
+
+    Strata are classes with links, classes whose best cosine in ``directed`` is close to a link,
+    and the rest. A stratum's misses are carried on from its sample, and unless all of it was
+    sampled one more miss is taken to be in the sample: no miss seen among few is no evidence.
+    Samples grow until the claim holds with that miss or fails without it; where links are so
+    rare that no sample can tell, they grow to all classes.
+    """
     spark = classes.sparkSession
-    picked = classes.orderBy(F.xxhash64("class", F.lit("audit")), "class").limit(AUDITED).toPandas()
+    best = directed.groupBy(F.col("a").alias("class")).agg(F.max("score").alias("best"))
+    ends = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).distinct()
+    level = F.when(F.col("linked"), 0).when(F.col("best") >= least - CLOSE, 1).otherwise(2)
+    strata = classes.join(ends.withColumn("linked", F.lit(True)), "class", "left").join(best, "class", "left")
+    strata = materialize(strata.select("class", "v", level.alias("stratum"), F.xxhash64("class", F.lit("audit")).alias("at")), "strata")
+    sizes = {r["stratum"]: r["count"] for r in strata.groupBy("stratum").count().collect()}
+    known = materialize(
+        links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y")),
+        "both-ways",
+    )
+    found = known.count()
+    misses, taken = dict.fromkeys(sizes, 0), dict.fromkeys(sizes, 0)
+    last: dict[int, tuple[int, int]] = {}
+    want = AUDITED
+    while True:
+        for stratum, size in sizes.items():
+            while taken[stratum] < min(want, size):
+                rest = strata.where(F.col("stratum") == stratum)
+                if stratum in last:
+                    at, cls = last[stratum]
+                    rest = rest.where((F.col("at") > at) | ((F.col("at") == at) & (F.col("class") > cls)))
+                # At most BLOCK vectors on the driver at a time.
+                picked = rest.orderBy("at", "class").limit(min(BLOCK, min(want, size) - taken[stratum])).toPandas()
+                last[stratum] = (int(picked["at"].iloc[-1]), int(picked["class"].iloc[-1]))
+                taken[stratum] += len(picked)
+                misses[stratum] += _missed(spark, classes, known, picked, least)
+        sure = sum(sizes[s] / taken[s] * misses[s] for s in sizes)
+        cautious = sum(sizes[s] / taken[s] * (misses[s] + (taken[s] < sizes[s])) for s in sizes)
+        # Misses over all link ends; ``found`` counts each found link from both ends.
+        if cautious <= (1 - TARGET) * (found + cautious):
+            return True
+        if sure > (1 - TARGET) * (found + sure):
+            return False
+        want *= MORE
+
+
+def _missed(spark, classes: DataFrame, known: DataFrame, picked, least: float) -> int:
+    """Link ends of the picked classes that ``known`` (x, y) lacks."""
     sample = spark.sparkContext.broadcast((picked["class"].to_numpy(), np.stack(picked["v"].to_numpy())))
 
     def exact(batches):
@@ -253,10 +299,9 @@ def audit(classes: DataFrame, links: DataFrame, least: float) -> float:
             real = ids[i] != other[j]
             yield pa.RecordBatch.from_arrays([pa.array(ids[i][real]), pa.array(other[j][real])], names=["x", "y"])
 
-    true = classes.mapInArrow(exact, "x long, y long").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    true = materialize(true.distinct(), "audit")
-    total = true.count()
-    return 1.0 if not total else true.join(links, ["a", "b"], "leftsemi").count() / total
+    count = classes.mapInArrow(exact, "x long, y long").join(known, ["x", "y"], "left_anti").count()
+    sample.unpersist()
+    return count
 
 
 def near_duplicates(
@@ -287,7 +332,7 @@ def near_duplicates(
         links = materialize(links.distinct(), "links")
         if compare and overlap >= len(centres):
             break  # all pairs were compared
-        if audit(classes, links, least) >= TARGET:
+        if audit(classes.select("class", "v"), directed, links, least):
             break
         if compare:
             overlap *= 2

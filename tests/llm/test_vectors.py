@@ -161,3 +161,19 @@ def test_exact_comparison_where_the_search_misses(spark, monkeypatch):
     monkeypatch.setattr(graph, "in_range", lambda *_: (np.empty(0, np.int64), np.empty(0)))
     v = wide_families(np.random.default_rng(7), (40, 30), 0.95, 50)
     assert (found_links(spark, v) == links(v)).all()
+
+
+def test_rare_links_are_audited_until_seen(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARD", 32)
+    monkeypatch.setattr(graph, "SAMPLE", 200)
+    rng = np.random.default_rng(8)
+    v = unit(rng, 1200, 64)
+    pairs = v[-40:] * 0.91 + unit(rng, 40, 64) * 0.4
+    v = np.concatenate((v, pairs / np.linalg.norm(pairs, axis=1, keepdims=True)))
+    # the linked ones come last in the order of the audit
+    order = [r["id"] for r in spark.range(len(v)).orderBy(F.xxhash64("id", F.lit("audit"))).collect()]
+    placed = np.empty_like(v)
+    placed[order] = v
+    want = links(placed)
+    assert want.sum() >= 40 and not want[order[:1100]].any()
+    assert (found_links(spark, placed) == want).all()
