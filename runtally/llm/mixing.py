@@ -6,10 +6,15 @@ the expected tokens per domain, ``sum r n p_d``, match the targets:
 
     minimise  sum_d ((sum_i r_i n_i p_id - T_d) / N)^2  +  ridge * sum_i (n_i / N) (r_i - 1)^2
 
-by accelerated projected gradient. A document's rate depends on its posterior alone, and
-posteriors have steps of ``1 / STEPS``, so documents with one posterior are one cell; each
-iteration sums over the cells and only the domain totals reach the driver. The state of the
-fit is the list of its gradients, so an iteration reads the stored cells and nothing else.
+A rate is 1 less the pull of its document's gaps, ``r = max(0, 1 - p . g / ridge)``, where the
+solution's gaps g are the least of a convex function of as many unknowns as there are domains.
+A damped Newton descent finds them and ends when the gaps that its rates leave differ from g by
+``tolerance`` at most, that is when the projected gradient vanishes; it fails if it does not get
+there. Posteriors are rounded to the nearest of ``STEPS`` steps, and documents with one posterior
+are one cell; each iteration sums over the stored cells and only totals reach the driver.
+
+The ridge keeps rates near 1 and so leaves a part of a rare domain's gap open: ``reached`` tells
+what the rates give, and the fit logs it.
 
 Built-in functions only. Labels are sampled: at most ``per_domain`` documents of each domain
 (the lowest hashes of the id); that bounds the training join's broadcast side.
@@ -23,8 +28,10 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +39,12 @@ from runtally.session import materialize
 
 PER_DOMAIN, BUCKETS, SMOOTHING = 3000, 1 << 14, 0.5
 #: Words that a text's evidence counts as, at most; steps of a posterior.
-EVIDENCE, STEPS = 250.0, 64
+EVIDENCE, STEPS = 250.0, 1 << 16
 RIDGE, ITERATIONS, TOLERANCE = 0.001, 40, 1e-5
+#: The least ridge that a fit works with, and halvings of a step before it counts as failed.
+LEAST_RIDGE, HALVINGS = 1e-9, 40
+
+log = logging.getLogger(__name__)
 
 
 def _buckets(text: Column) -> Column:
@@ -96,57 +107,79 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], doc_id: str, t
 
 
 def _rounded(logs: Column) -> Column:
-    """Softmax in steps; what rounding down leaves goes to the likeliest (the first at a tie)."""
+    """Softmax in nearest steps; what rounding leaves goes to the likeliest (the first at a tie)."""
     top = F.array_max(logs)
     grown = F.transform(logs, lambda x: F.exp(x - top))
     total = F.aggregate(grown, F.lit(0.0), lambda acc, x: acc + x)
-    floors = F.transform(grown, lambda x: F.floor(x / total * STEPS).cast("double") / STEPS)
-    left = F.lit(1.0) - F.aggregate(floors, F.lit(0.0), lambda acc, x: acc + x)
+    nearest = F.transform(grown, lambda x: F.floor(x / total * STEPS + 0.5).cast("double") / STEPS)
+    left = F.lit(1.0) - F.aggregate(nearest, F.lit(0.0), lambda acc, x: acc + x)
     best = F.array_position(logs, top)
-    return F.transform(floors, lambda x, k: x + F.when(k + 1 == best, left).otherwise(0.0))
-
+    return F.transform(nearest, lambda x, k: x + F.when(k + 1 == best, left).otherwise(0.0))
 
-def _rates(p: Column, history: list[tuple[list[float], float]], step: float, ridge: float) -> tuple[Column, Column]:
-    """The rate after the recorded gradients and the point of the next gradient."""
-    width = len(history[0][0]) if history else 0
-    flat = ", ".join("array(" + ", ".join(f"{x!r}D" for x in (*g, pull)) + ")" for g, pull in history)
 
-    def move(acc, s):
-        slope = F.lit(0.0)
-        for k in range(width):
-            slope = slope + p[k] * s[k]
-        new = F.greatest(F.lit(0.0), acc["y"] - F.lit(step) * (slope * 2 + F.lit(2 * ridge) * (acc["y"] - 1)))
-        return F.struct(new.alias("r"), (new + s[width] * (new - acc["r"])).alias("y"))
+def _rates(p: Column, gaps: list[float], ridge: float) -> Column:
+    """The rate of a posterior where the solution leaves ``gaps``."""
+    pull = F.lit(0.0)
+    for k, g in enumerate(gaps):
+        pull = pull + p[k] * F.lit(g)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - pull / F.lit(ridge))
 
-    if not history:
-        return F.lit(1.0), F.lit(1.0)
-    state = F.aggregate(F.expr(f"array({flat})"), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)
-    return state["r"], state["y"]
 
+def fit(cells: DataFrame, targets: list[float], ridge: float, iterations: int, tolerance: float) -> list[float]:
+    """The gaps of the best rates for ``cells`` (p, tokens); targets are shares.
 
-def fit(cells: DataFrame, targets: list[float], ridge: float, iterations: int, tolerance: float):
-    """Gradients of the projected descent over ``cells`` (p, tokens); targets are shares."""
+    ``iterations``: at most so many Newton steps, ``tolerance``: bound of the projected gradient.
+    """
     width = len(targets)
-    step = 1.0 / (2 + 2 * ridge)
-    history: list[tuple[list[float], float]] = []
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return history, step
-    p, momentum, last = F.col("p"), 1.0, None
+        return [0.0] * width
+    p, goal = F.col("p"), np.array(targets)
+    pairs = [(k, j) for k in range(width) for j in range(k, width)]
+
+    def at(g: np.ndarray):
+        """The value, gradient and curvature of the convex function."""
+        rated = _once(cells.select("p", "tokens"), r=_rates(p, g.tolist(), ridge))
+        moving = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        sums = rated.agg(
+            F.sum(F.col("tokens") * F.col("r") * F.col("r")),
+            *(F.sum(F.col("tokens") * F.col("r") * p[k]) for k in range(width)),
+            *(F.sum(moving * p[k] * p[j]) for k, j in pairs),
+        ).first()
+        value = (g @ g + ridge * sums[0] / total) / 2 + goal @ g
+        curved = np.eye(width)
+        for (k, j), x in zip(pairs, sums[1 + width :]):
+            curved[k, j] += x / total / ridge
+            if k != j:
+                curved[j, k] += x / total / ridge
+        return value, g + goal - np.array(sums[1 : 1 + width]) / total, curved
+
+    g = np.zeros(width)
+    value, slope, curved = at(g)
     for _ in range(iterations):
-        _, y = _rates(p, history, step, ridge)
-        sums = cells.select("p", "tokens", y.alias("y")).agg(*(F.sum(F.col("y") * F.col("tokens") * p[k]) for k in range(width)))
-        gaps = [s / total - t for s, t in zip(sums.first(), targets)]
-        grown = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        pull = (momentum - 1) / grown
-        # start the momentum anew where it overshoots
-        if last is not None and sum(x * x for x in gaps) > sum(x * x for x in last):
-            grown, pull = 1.0, 0.0
-        history.append((gaps, pull))
-        if last is not None and max(abs(a - b) for a, b in zip(gaps, last)) < tolerance:
+        if np.abs(slope).max() <= tolerance:
             break
-        momentum, last = grown, gaps
-    return history, step
+        step, size = np.linalg.solve(curved, slope), 1.0
+        for _ in range(HALVINGS):
+            new = at(g - size * step)
+            # near the end values differ by rounding alone: a smaller gradient counts, too
+            if new[0] <= value - 1e-4 * size * (slope @ step) or np.abs(new[1]).max() < np.abs(slope).max() / 2:
+                break
+            size /= 2
+        g, (value, slope, curved) = g - size * step, new
+    left = np.abs(slope).max()
+    if left > tolerance:
+        raise RuntimeError(f"the rates have not converged: {left:.2e} is left after {iterations} iterations")
+    log.info("shares less targets: %s", [float(x) for x in g])
+    return g.tolist()
+
+
+def reached(mixed: DataFrame, targets: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Per domain its target and the expected share (of all tokens) that the rates give."""
+    whole = sum(targets.values())
+    share = [F.sum(F.col("rate") * F.col("n_tokens") * F.col("posterior")[k]) for k in range(len(targets))]
+    row = mixed.agg(F.sum("n_tokens"), *share).first()
+    return {d: (t / whole, x / row[0] if row[0] else 0.0) for (d, t), x in zip(targets.items(), row[1:])}
 
 
 def mix(
@@ -178,5 +211,6 @@ def mix(
     judged = materialize(judged, "judged")
     cells = judged.groupBy(F.col("posterior").alias("p")).agg(F.sum("n_tokens").alias("tokens"))
     cells = materialize(cells, "cells")
-    history, step = fit(cells, [targets[d] / whole for d in domains], ridge, iterations, tolerance)
-    return judged.withColumn("rate", _rates(F.col("posterior"), history, step, ridge)[0])
+    ridge = max(ridge, LEAST_RIDGE)
+    gaps = fit(cells, [targets[d] / whole for d in domains], ridge, iterations, tolerance)
+    return judged.withColumn("rate", _rates(F.col("posterior"), gaps, ridge))

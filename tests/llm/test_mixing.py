@@ -82,3 +82,33 @@ def test_native_plan(spark):
     docs, labels = corpus(spark, 20)
     plan = mixing.mix(docs, labels, TARGETS).withColumn("f", F.lit(1))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rare_domain_with_production_values(spark):
+    """One document of 200 holds the third domain: it must be scaled up by several times."""
+    rows = [(i, " ".join(f"{d}{(i + k) % 30}" for k in range(50))) for i, d in enumerate("x" * 150 + "y" * 49 + "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t[0]) for i, t in rows], "doc_id long, domain string")
+    targets = {"x": 0.85, "y": 0.12, "z": 0.03}
+    mixed = mixing.mix(docs, labels, targets)
+    got = mixed.toPandas()
+    p, n = np.stack(got["posterior"].to_numpy()), got["n_tokens"].to_numpy(dtype=float)
+    want = best(p, n, np.array(list(targets.values())), mixing.RIDGE)
+    assert np.allclose(got["rate"], want, atol=2e-2)
+    totals = (want * n) @ p / n.sum()
+    shares = mixing.reached(mixed, targets)
+    assert np.allclose([shares[d][1] for d in targets], totals, atol=1e-4) and [shares[d][0] for d in targets] == [0.85, 0.12, 0.03]
+    assert shares["z"][1] == pytest.approx(0.0258, abs=3e-4)
+
+
+def test_small_posteriors_are_kept(spark):
+    docs = spark.createDataFrame([(i, "a b") for i in range(198)] + [(500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "x") for i in range(198)], "doc_id long, domain string")
+    got = mixing.mix(docs, labels, {"x": 0.5, "y": 0.5}).where("doc_id = 500").first()
+    assert got["posterior"] == pytest.approx([199 / 200, 1 / 200], abs=1e-4)
+
+
+def test_a_fit_that_does_not_converge_says_so(spark):
+    docs, labels = corpus(spark, 50)
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs, labels, {"x": 0.1, "y": 0.1, "z": 0.8}, iterations=0)
