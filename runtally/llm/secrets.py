@@ -15,7 +15,7 @@ a path like any other; an empty table gives an empty table and adds nothing to t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,18 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
 )
 
+#: A whole private key: the header, then all up to the END line (no other marker between, some
+#: single hyphens for header fields), or, where that is missing, the header fields and lines of
+#: base64 that follow. The longest keys have some 200 lines.
+_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?:[^-]*-[^-]){0,32}?[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:\s{1,4}[A-Za-z0-9-]{1,40}:[^\r\n]{0,200}){0,8}"
+    r"(?:(?:\s|\\[nr]){0,8}[A-Za-z0-9+/=]{40,}){1,256}(?:(?:\r?\n|\\n)[A-Za-z0-9+/=]+)?)?"
+)
+#: The rules of a redaction: the scan reports where a key starts, its replacement takes all of it.
+REDACTED = tuple(replace(r, pattern=_KEY, version=2) if r.kind == "pem" else r for r in RULES)
+
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 _LEDGER = f"blob string, rules array<string>, findings {_SPANS}"
 
