@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runtally.llm import bpe, forest, graph, jaccard, katz, language, mixing, pieces, secrets, toxicity
+from runtally.llm import (
+    bpe, centroids, conversations, forest, graph, jaccard, katz, language, licenses, mixing, pieces, secrets, toxicity,
+)
 from runtally.session import scratch_path
 
 
@@ -102,6 +104,35 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(texts, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.numbered(table(spark, sf_dir, "conversations"))
+    return conversations.trie(conversations.rebuilt(turns))
+
+
+def _labels(found: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(found)), ",")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.col("phrases.first_word")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        _labels(F.col("phrases.label")).alias("base_labels"),
+        _labels(F.concat("phrases.label", "blocks.label")).alias("labels"),
+        F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)).alias("score"),
+        F.size("blocks").cast("long").alias("n_blocks"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -113,4 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_forest": op8_forest,
     "op9_mixing": op9_mixing,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_trie": op11_trie,
+    "op12_licenses": op12_licenses,
+    "op13_centroids": op13_centroids,
 }
