@@ -258,5 +258,8 @@ def scan(
 
 
 def matching_blocks(df: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The join itself: a row per text block and template that match."""
-    return scan(df, text, **options).drop("n_words", "phrases").select("*", F.inline("blocks")).drop("blocks")
+    """The join itself: a row per text block and template that match, with the block's columns
+    instead of old ones of the same names."""
+    # inline() alone would have the planner derive filters from the whole expression of the blocks
+    rows = scan(df, text, **options).drop("n_words", "phrases", "first_word", "template", "label", "last_word", "containment")
+    return rows.select("*", F.inline_outer("blocks")).drop("blocks").where(F.col("template").isNotNull())
