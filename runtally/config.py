@@ -23,6 +23,7 @@ class Options:
     precreate_days: int = 7
     dedup_retention_days: int = 35
     job_interval_hours: int = 24
+    log_retention_days: int = 30
 
     # Storage layout: every day is split into so many install shards, so that erasing a
     # few installs rewrites a few shards and not whole days. The count belongs to the
@@ -47,6 +48,7 @@ def validate_options(options: Options) -> Options:
         "retention_days": 1,
         "dedup_retention_days": 1,
         "job_interval_hours": 1,
+        "log_retention_days": 1,
         "precreate_days": 0,
         "install_shards": 1,
     }

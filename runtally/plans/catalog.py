@@ -381,7 +381,25 @@ def forget_events(f: Fixture) -> DataFrame:
 
 def forget_ledger(f: Fixture) -> DataFrame:
     store = _drained(f, "unledgered")
-    return store.table("ingest_batch").groupBy("install_id").agg(F.count(F.lit(1)).alias("batches"))
+    return store.ledger().groupBy("install_id").agg(F.count(F.lit(1)).alias("batches"))
+
+
+def forget_before_compaction(f: Fixture) -> DataFrame:
+    """After a drain nothing shows the erased rows, though the files still hold them."""
+    store = _drained(f, "hidden")
+    held = store.table("telemetry_event").groupBy("install_id").agg(F.count(F.lit(1)).alias("held"))
+    shown = store.events().groupBy("install_id").agg(F.count(F.lit(1)).alias("rows"))
+    return held.join(shown, "install_id", "left").select("install_id", "held", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def forget_after_compaction(f: Fixture) -> DataFrame:
+    """What the files of both tables hold when the erased rows were removed and resent."""
+    store = _drained(f, "removed")
+    lifecycle.remove_erased(store)
+    ingest(store, f.raw.where(F.col("received_at") < EARLY_BEFORE), INGEST_AS_OF)
+    tables = {"telemetry_event": "events", "ingest_batch": "batches"}
+    parts = [store.table(t).groupBy("install_id").agg(F.lit(n).alias("held"), F.count(F.lit(1)).alias("rows")) for t, n in tables.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def forget_upsert(f: Fixture) -> DataFrame:
@@ -667,6 +685,8 @@ _FIXTURE_QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "dedup_events": dedup_events,
     "forget_events": forget_events,
     "forget_ledger": forget_ledger,
+    "forget_before_compaction": forget_before_compaction,
+    "forget_after_compaction": forget_after_compaction,
     "forget_upsert": forget_upsert,
     "unnest_families": unnest_families,
     "unnest_providers": unnest_providers,

@@ -35,7 +35,7 @@ def received_day(column: str = "received_at"):
 
 def _stored_beside(store: Store, routed: DataFrame) -> DataFrame:
     """Stored events in the storage partitions that some new events belong to."""
-    stored = store.table("telemetry_event")
+    stored = store.visible("telemetry_event")
     if not store.leaves("telemetry_event"):
         return stored.where("false")
     # At most one row per registered day and shard.
@@ -87,7 +87,7 @@ def ingest(
         # Layer 1: a batch key counts once, over the run and the ledger.
         good_heads = heads.where(F.col("status") != REJECTED)
         repeated = keep(
-            dedup.conflicts(good_heads, ["idempotency_key"], dedup.BATCH_ORDER, store.table("ingest_batch")),
+            dedup.conflicts(good_heads, ["idempotency_key"], dedup.BATCH_ORDER, store.ledger()),
             "batch-conflicts",
         )
         kept_heads = dedup.keep_first(good_heads, repeated, ["idempotency_key"], dedup.BATCH_ORDER)
@@ -127,8 +127,10 @@ def ingest(
         if with_rollups:
             days = sorted(row[0] for row in accepted.select(F.to_date("event_timestamp")).distinct().collect())
             stored_rollups.mark_due(store, days)
-        store.append("telemetry_event", new_events)
-        store.append("ingest_batch", kept_heads.withColumn("received_day", received_day()))
+        generation = F.lit(store.generation)
+        store.append("telemetry_event", new_events.withColumn("generation", generation))
+        stored_heads = kept_heads.withColumn("received_day", received_day())
+        store.append("ingest_batch", stored_heads.withColumn("generation", generation))
         store.append(
             "batch_verdict",
             heads.where(F.col("status") == REJECTED).withColumn("received_day", received_day()),

@@ -125,48 +125,91 @@ def purge_ledger(store: Store, as_of: datetime, retention_days: int | None = Non
 def forget_drain(store: Store, as_of: datetime, limit: int | None = None) -> int:
     """Erase every pending install from events and ledger; returns installs processed.
 
-    One pass for all of them. Requests are marked last, so a run that dies is simply
-    repeated. ``limit`` bounds a round to the oldest requests.
+    Only tombstones are written, one row per install: from then on no read and no view shows
+    the rows that were stored before, and ``remove_erased`` takes them out of the files. Rows
+    that arrive later belong to the next generation and stay. Requests are marked last, so a
+    run that dies is simply repeated. ``limit`` bounds a round to the oldest requests.
     """
     with staging(store.spark, "forget") as keep:
         pending = keep(pending_forgets(store.forgets(), limit), "pending")
         processed = pending.count()
         if processed == 0:
             return 0
-        doomed = pending.select("install_id", F.lit(True).alias("_hit"))
-
-        def flag(rows: DataFrame) -> DataFrame:
-            return (
-                rows.join(doomed, "install_id", "left")
-                .withColumn("_doomed", F.col("_hit").isNotNull())
-                .drop("_hit")
-            )
-
-        # Only shards that pending installs fall in are searched: at most the shard count.
-        shard = install_shard(store.install_shards).alias("shard")
-        shards = [row["shard"] for row in pending.select(shard).distinct().collect()]
-        _delete_events(store, flag, {"shard": shards})
-        store.delete_rows("ingest_batch", flag)
+        if stored_rollups.kept_days(store):
+            stored_rollups.mark_due(store, store.doomed_days(_hit_by(pending), _shards_of(store, pending)), only_kept=True)
+        generation = store.generation
+        store.append("erasure", pending.select("install_id", F.lit(utc(as_of)).alias("erased_at"), F.lit(generation).alias("upto")))
+        store.begin_generation(generation + 1)
+        stored_rollups.refresh_due(store)
         store.append("forget_log", pending.withColumn("processed_at", F.lit(utc(as_of))))
         return processed
 
 
+def _hit_by(installs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Flags the rows of some installs; with a column ``upto``, those of generations up to it."""
+    hits = installs.select("install_id", (F.col("upto") if "upto" in installs.columns else F.lit(None).cast("bigint")).alias("_upto"), F.lit(True).alias("_hit"))
+
+    def flag(rows: DataFrame) -> DataFrame:
+        covered = F.col("_upto").isNull() | (F.coalesce("generation", F.lit(-1)) <= F.col("_upto"))
+        found = rows.join(hits, "install_id", "left")
+        return found.withColumn("_doomed", F.col("_hit").isNotNull() & covered).drop("_hit", "_upto")
+
+    return flag
+
+
+def _shards_of(store: Store, installs: DataFrame) -> dict[str, list[int]]:
+    """The shards that some installs fall in: at most the shard count."""
+    shard = install_shard(store.install_shards).alias("shard")
+    return {"shard": [row["shard"] for row in installs.select(shard).distinct().collect()]}
+
+
+def remove_erased(store: Store) -> int:
+    """Take erased rows out of the files; returns the events and ledger rows removed.
+
+    Rewrites the leaves that hold such rows and only then drops the tombstones, so a run that
+    dies leaves rows hidden, never shown.
+    """
+    done = store.leaves("erasure")
+    if not done:
+        return 0
+    with staging(store.spark, "erased") as keep:
+        upto = F.max("upto").alias("upto")
+        installs = keep(store.table("erasure").groupBy("install_id").agg(upto), "installs")
+        flag = _hit_by(installs)
+        removed = store.delete_rows("telemetry_event", flag, _shards_of(store, installs))
+        removed += store.delete_rows("ingest_batch", flag)
+    store.drop_partitions("erasure", done)
+    return removed
+
+
+#: A leaf is gathered when its files are smaller than this share of the advised size.
+SMALL_FILE = 1 / 8
+
+
+def advised_bytes(store: Store) -> int:
+    """The file size that Spark's rebalancing aims at."""
+    advised = store.spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    return store.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(advised)
+
+
 def scattered_leaves(store: Store, first: date, last: date) -> DataFrame:
-    """(part, shard, files) of the leaves of some days that have several files each."""
-    rows = store.events(first, last).where(F.col("part") != DEFAULT_PART)
-    rows = rows.select("part", "shard", F.col("_metadata.file_path").alias("file"))
-    files = rows.groupBy("part", "shard").agg(F.count_distinct("file").alias("files"))
-    return files.where("files > 1")
+    """(part, shard, files, bytes) of the leaves of some days whose files are several and, in the mean,
+    far below the advised size. A large leaf that was gathered has several large files: it stays."""
+    rows = store.table("telemetry_event").where(F.col("part").between(f"{first:%Y%m%d}", f"{last:%Y%m%d}"))
+    rows = rows.select("part", "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    files = rows.groupBy("part", "shard", "file").agg(F.max("size").alias("size"))
+    leaves = files.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return leaves.where((F.col("files") > 1) & (F.col("bytes") < F.col("files") * F.lit(advised_bytes(store) * SMALL_FILE)))
 
 
 def compact_days(store: Store, first: date, last: date) -> int:
     """Gather the files of the leaves of closed days; returns the leaves rewritten.
 
-    Every run and micro-batch adds a file to each leaf it touches. A leaf is written anew in
-    files of the advised size; leaves of one file are left alone.
+    Every run and micro-batch adds a file to each leaf it touches. A leaf of small files is
+    written anew in files of the advised size.
     """
     # One row per day and shard.
-    leaves = scattered_leaves(store, first, last).collect()
+    leaves = scattered_leaves(store, first, last).select("part", "shard").collect()
     if leaves:
         leaf = F.concat_ws("/", "part", F.col("shard").cast("string"))
         names = [f"{row['part']}/{row['shard']}" for row in leaves]
@@ -176,6 +219,29 @@ def compact_days(store: Store, first: date, last: date) -> int:
     return len(leaves)
 
 
+def compact(store: Store, as_of: datetime) -> int:
+    """Remove erased rows and gather the small files of the closed days in the window; returns
+    the rows removed."""
+    removed = remove_erased(store)
+    today = utc(as_of).date()
+    compact_days(store, today - timedelta(days=store.options.retention_days + 1), today - timedelta(days=1))
+    return removed
+
+
+def trim_logs(store: Store, as_of: datetime, retention_days: int | None = None) -> int:
+    """Drop the days of outcomes, refusals and maintenance runs that are older than the window,
+    and what later entries have settled in the rollup log; returns the days dropped."""
+    keep = store.options.log_retention_days if retention_days is None else retention_days
+    cutoff = f"{utc(as_of) - timedelta(days=keep):%Y%m%d}"
+    dropped = 0
+    for table, day in [("ingest_result", "received_day"), ("batch_verdict", "received_day"), ("maintenance_run", "run_day")]:
+        old = [leaf for leaf in store.leaves(table) if leaf[day] < cutoff]
+        store.drop_partitions(table, old)
+        dropped += len(old)
+    stored_rollups.trim_log(store)
+    return dropped
+
+
 def reshard(store: Store, shards: int) -> Store:
     """Rewrite the event table with another shard count; returns the store opened with it.
 
@@ -224,7 +290,9 @@ def maintenance_cycle(
         "drop_old_partitions": lambda: drop_old_partitions(store, as_of),
         "sweep_default": lambda: sweep_default(store, as_of),
         "forget_drain": lambda: forget_drain(store, as_of),
+        "compact": lambda: compact(store, as_of),
         "purge_ledger": lambda: purge_ledger(store, as_of),
+        "trim_logs": lambda: trim_logs(store, as_of),
     } | (steps or {})
     log = []
     for step, action in planned.items():
@@ -234,5 +302,5 @@ def maintenance_cycle(
             log.append((as_of, step, False, None, f"{type(fault).__name__}: {fault}"))
     columns = "as_of timestamp, step string, ok boolean, rows bigint, error string"
     run = store.spark.createDataFrame(log, columns)
-    store.append("maintenance_run", run)
+    store.append("maintenance_run", run.withColumn("run_day", F.date_format("as_of", "yyyyMMdd")))
     return run

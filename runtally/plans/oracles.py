@@ -58,11 +58,11 @@ _LOST = """(user_id % 7 <> 0 AND (
     OR (user_id % 17 = 0 AND block = 3)))"""
 
 # The stored events.
-_STORED = f"""{_RUNS},
-stored AS (
+_STORED_RUNS = f"""stored AS (
   SELECT *, CASE WHEN day >= DATE '2024-01-10' THEN strftime(day, '%Y%m%d') ELSE 'default' END AS part
   FROM runs WHERE NOT {_LOST}
 )"""
+_STORED = f"{_RUNS}, {_STORED_RUNS}"
 
 
 def _json_line(timestamp: str, version: str = "schema_version", extra: str = "''") -> str:
@@ -365,6 +365,16 @@ ORACLES: dict[str, str] = {
           WHERE f.received_at < TIMESTAMP '2024-01-15')""",
     "forget_events": f"WITH {_STORED} SELECT install_id, count(*) AS rows FROM stored WHERE NOT {_ERASED} GROUP BY 1",
     "forget_ledger": f"WITH {_BATCHES} SELECT install_id, count(*) AS batches FROM ledger WHERE NOT {_ERASED} GROUP BY 1",
+    "forget_before_compaction": f"""WITH {_STORED} SELECT install_id, count(*) AS held,
+        count(*) FILTER (NOT {_ERASED}) AS rows FROM stored GROUP BY 1""",
+    "forget_after_compaction": f"""WITH {_BATCHES}, {_STORED_RUNS}, early AS (SELECT * FROM firsts WHERE received_at < TIMESTAMP '2024-01-15'),
+        events AS (
+          SELECT install_id FROM stored WHERE NOT {_ERASED}
+          UNION ALL SELECT install_id FROM runs r WHERE {_ERASED} AND EXISTS (
+            SELECT 1 FROM early e WHERE e.user_id = r.user_id AND (e.block = -1 OR e.block = r.block))),
+        batches_held AS (SELECT install_id FROM ledger WHERE NOT {_ERASED} OR received_at < TIMESTAMP '2024-01-15')
+        SELECT install_id, 'events' AS held, count(*) AS rows FROM events GROUP BY 1
+        UNION ALL SELECT install_id, 'batches' AS held, count(*) AS rows FROM batches_held GROUP BY 1""",
     "forget_upsert": f"WITH {_FORGET_STATE} SELECT install_id, requested_at, processed_at FROM queue",
     "forget_status": f"""WITH {_FORGET_STATE} SELECT install_id, requested_at, processed_at,
         CASE WHEN processed_at IS NULL THEN 'pending' ELSE 'processed' END AS state FROM queue""",
@@ -414,7 +424,10 @@ ORACLES: dict[str, str] = {
           SELECT 'ensure_partitions', 7 UNION ALL SELECT 'drop_old_partitions', 6
           UNION ALL SELECT 'sweep_default', (SELECT count(*) FROM runs WHERE NOT {_LOST} AND day < DATE '2024-01-10')
           UNION ALL SELECT 'forget_drain', (SELECT count(DISTINCT user_id) FROM runs WHERE {_ERASED})
-          UNION ALL SELECT 'purge_ledger', (SELECT count(*) FROM ledger WHERE NOT {_ERASED}))
+          UNION ALL SELECT 'compact', (SELECT count(*) FROM runs WHERE NOT {_LOST} AND {_ERASED} AND day >= DATE '2024-01-16')
+                                      + (SELECT count(*) FROM ledger WHERE {_ERASED})
+          UNION ALL SELECT 'purge_ledger', (SELECT count(*) FROM ledger WHERE NOT {_ERASED})
+          UNION ALL SELECT 'trim_logs', 0)
         SELECT step, TIMESTAMP '2024-04-15' AS as_of, TRUE AS ok, CAST(rows AS BIGINT) AS rows,
                CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS failures FROM counts""",
     "provider_ranking": f"""WITH {_STORED} SELECT provider, CAST(sum(n) AS BIGINT) AS n, count(*) AS runs

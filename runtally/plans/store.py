@@ -12,7 +12,7 @@ from runtally.config import DEFAULT_SHARDS, Options, validate_options
 from runtally.operators import rollups
 from runtally.operators.dedup import install_shard
 from runtally.operators.forget import forget_state
-from runtally.schema import DEFAULT_PART, SHARDS_PROPERTY, TABLES
+from runtally.schema import DEFAULT_PART, GENERATION_PROPERTY, SHARDS_PROPERTY, TABLES
 
 VIEWS = {
     "v_run_daily": rollups.run_daily,
@@ -43,8 +43,7 @@ class Store:
     @property
     def install_shards(self) -> int:
         """The shard count that the event table was created with."""
-        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name('telemetry_event')}").collect()
-        found = [int(row["value"]) for row in rows if row["key"] == SHARDS_PROPERTY]
+        found = self._property("telemetry_event", SHARDS_PROPERTY)
         if not found:
             raise RuntimeError(f"{self.name('telemetry_event')} has no property {SHARDS_PROPERTY}: not a table of this store")
         given = self.options.install_shards
@@ -52,6 +51,19 @@ class Store:
             raise ValueError(f"the store has {found[0]} install shards, not {given}: use lifecycle.reshard to change them")
         return found[0]
 
+    def _property(self, table: str, key: str) -> list[int]:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name(table)}").collect()
+        return [int(row["value"]) for row in rows if row["key"] == key]
+
+    @property
+    def generation(self) -> int:
+        """The number that rows are stored with: how many erasures have begun before."""
+        return max(self._property("erasure", GENERATION_PROPERTY), default=0)
+
+    def begin_generation(self, number: int) -> None:
+        """Rows stored from now on are not touched by the erasures so far."""
+        self.spark.sql(f"ALTER TABLE {self.name('erasure')} SET TBLPROPERTIES ('{GENERATION_PROPERTY}' = '{number}')")
+
     def name(self, table: str) -> str:
         return f"`{self.database}`.`{table}`"
 
@@ -86,12 +98,30 @@ class Store:
 
     # -- reads ---------------------------------------------------------------
 
-    def events(self, first: date | None = None, last: date | None = None) -> DataFrame:
+    def visible(self, table: str, later: bool = False) -> DataFrame:
+        """Rows of the event table or the ledger that no erasure covers.
+
+        Tombstones are few, as compaction removes them with what they cover; Spark broadcasts
+        them while their true size allows. ``later`` keeps them in the plan even if there are
+        none now, for views that outlive this moment.
+        """
+        rows = self.table(table)
+        if not later and not self.leaves("erasure"):
+            return rows
+        gone = self.table("erasure").select(F.col("install_id").alias("_erased"), F.col("upto").alias("_upto"))
+        covered = (F.col("install_id") == F.col("_erased")) & (F.coalesce("generation", F.lit(-1)) <= F.col("_upto"))
+        return rows.join(gone, covered, "left_anti")
+
+    def ledger(self) -> DataFrame:
+        """Batches that count as taken in."""
+        return self.visible("ingest_batch")
+
+    def events(self, first: date | None = None, last: date | None = None, later: bool = False) -> DataFrame:
         """Events of all partitions, or of the days ``first`` to ``last`` (inclusive).
 
         A day range prunes partitions; the default partition may hold any day.
         """
-        rows = self.table("telemetry_event")
+        rows = self.visible("telemetry_event", later)
         for bound, above in [(first, True), (last, False)]:
             if bound is None:
                 continue
@@ -103,7 +133,7 @@ class Store:
 
     def partition(self, part: str) -> DataFrame:
         """Rows of one day partition (``yyyyMMdd``) or of ``default``."""
-        return self.table("telemetry_event").where(F.col("part") == part)
+        return self.visible("telemetry_event").where(F.col("part") == part)
 
     def registered_days(self) -> DataFrame:
         return (
@@ -125,13 +155,13 @@ class Store:
     def events_by_install(self, install_id: str) -> DataFrame:
         """The events of one install; only its shard is read."""
         install = F.lit(install_id.lower())
-        rows = self.table("telemetry_event").where(F.col("install_id") == install)
+        rows = self.visible("telemetry_event").where(F.col("install_id") == install)
         return rows.where(F.col("shard") == install_shard(self.install_shards, install))
 
-    def events_with_day(self, first: date | None = None, last: date | None = None) -> DataFrame:
+    def events_with_day(self, first: date | None = None, last: date | None = None, later: bool = False) -> DataFrame:
         """Events with their ``day``, taken from the partition where it tells the day: a
         condition on the day then prunes partitions."""
-        rows = self.events(first, last)
+        rows = self.events(first, last, later)
         named = rows.where(F.col("part") != DEFAULT_PART)
         named = named.withColumn("day", F.to_timestamp(F.to_date("part", "yyyyMMdd")))
         rest = rows.where(F.col("part") == DEFAULT_PART).withColumn("day", rollups.event_day())
@@ -145,7 +175,7 @@ class Store:
         """Dashboard views for SQL, over the whole store or a range of days; a condition on
         ``day`` reads the partitions of those days and the default one."""
         for view, rollup in VIEWS.items():
-            rollup(self.events_with_day(first, last)).createOrReplaceTempView(view)
+            rollup(self.events_with_day(first, last, later=True)).createOrReplaceTempView(view)
 
     # -- writes --------------------------------------------------------------
 
@@ -181,12 +211,11 @@ class Store:
         return [dict(step.split("=", 1) for step in row[0].split("/")) for row in rows]
 
     def doomed_days(self, doomed, within: dict[str, Iterable] | None = None) -> list[date]:
-        """Event days that ``delete_rows`` would take events from: one value per calendar day."""
-        rows = doomed(self._within("telemetry_event", within)).where("_doomed")
+        """Days of the visible events that ``doomed`` flags: one value per calendar day."""
+        rows = doomed(self._within(self.visible("telemetry_event"), "telemetry_event", within)).where("_doomed")
         return sorted(r[0] for r in rows.select(F.to_date("event_timestamp")).distinct().collect())
 
-    def _within(self, table: str, within: dict[str, Iterable] | None) -> DataFrame:
-        rows = self.table(table)
+    def _within(self, rows: DataFrame, table: str, within: dict[str, Iterable] | None) -> DataFrame:
         for column, values in (within or {}).items():
             if column not in TABLES[table][1]:
                 raise ValueError(f"{column} is no partition column of {table}")
@@ -202,7 +231,7 @@ class Store:
         search to values of partition columns. Returns the rows deleted.
         """
         parts = TABLES[table][1]
-        source = self._within(table, within)
+        source = self._within(self.table(table), table, within)
 
         def flag(rows: DataFrame) -> DataFrame:
             return doomed(rows).withColumn("_doomed", F.coalesce("_doomed", F.lit(False)))
@@ -229,7 +258,9 @@ class Store:
         self.append("forget_log", requests.withColumn("processed_at", F.lit(None).cast("timestamp")))
 
     def copy_to(self, other: Store) -> Store:
-        """Fill the empty tables of ``other`` with this store's rows."""
-        for table in ["telemetry_event", "ingest_batch", "forget_log", "partition_log"]:
+        """Fill the empty tables of ``other`` with this store's rows, erased ones left out."""
+        for table in ["telemetry_event", "ingest_batch"]:
+            other.append(table, self.visible(table).withColumn("generation", F.lit(other.generation)))
+        for table in ["forget_log", "partition_log"]:
             other.append(table, self.table(table))
         return other

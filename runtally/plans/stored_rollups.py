@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from runtally.operators import rollups
 from runtally.plans.store import Store
 from runtally.schema import DEFAULT_PART
+from runtally.session import staging
 
 ROLLUPS = {
     "run_daily": rollups.run_daily,
@@ -44,6 +45,15 @@ def due_days(store: Store) -> list[date]:
     return sorted(row["day"] for row in last.where("due").collect())  # calendar days
 
 
+def trim_log(store: Store) -> None:
+    """Keep the latest entry of each day alone: one row per calendar day."""
+    log = store.table("rollup_log")
+    if log.count() > log.select("day").distinct().count():
+        with staging(store.spark, "rollup-log") as keep:
+            last = log.groupBy("day").agg(F.max_by("due", "version").alias("due"), F.max("version").alias("version"))
+            store.replace_partitions("rollup_log", keep(last, "last").coalesce(1))
+
+
 def mark_due(store: Store, days: Iterable[date], only_kept: bool = False) -> None:
     """Log days as due; with ``only_kept`` those alone that have stored rollups."""
     days = set(days)
@@ -71,7 +81,7 @@ def refresh(store: Store, days: list[date]) -> None:
     """
     parts = [f"{day:%Y%m%d}" for day in days]
     day = F.to_date("event_timestamp")
-    scope = store.table("telemetry_event").where(F.col("part").isin([*parts, DEFAULT_PART])).where(day.isin(days))
+    scope = store.visible("telemetry_event").where(F.col("part").isin([*parts, DEFAULT_PART])).where(day.isin(days))
     filled = {f"{row[0]:%Y%m%d}" for row in scope.select(day).distinct().collect()}
     for table, rollup in ROLLUPS.items():
         rows = rollup(scope).withColumn("rollup_day", F.date_format("day", "yyyyMMdd"))

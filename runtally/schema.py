@@ -45,6 +45,7 @@ UNLIMITED_PATHS = ["/healthz", "/readyz"]
 
 DEFAULT_PART = "default"
 SHARDS_PROPERTY = "runtally.install_shards"
+GENERATION_PROPERTY = "runtally.generation"
 EVENT_KEY = ["install_id", "event_timestamp", "schema_version"]
 
 VERDICT_COLUMNS = [
@@ -84,14 +85,18 @@ _COUNTS = ", ".join(f"{name} bigint" for name in ["events", "runs", "scenarios",
 # name -> (columns, partition columns)
 TABLES = {
     "telemetry_event": (
-        f"{FLAT_EVENT}, received_at timestamp, part string, shard int",
+        f"{FLAT_EVENT}, received_at timestamp, generation bigint, part string, shard int",
         ["part", "shard"],
     ),
     "ingest_batch": (
         "idempotency_key string, install_id string, line_count int, received_at timestamp, "
-        "received_day string",
+        "generation bigint, received_day string",
         ["received_day"],
     ),
+    # Tombstones: rows of the install that were stored in a generation up to ``upto`` are erased.
+    # A drain adds one partition and begins a new generation; compaction drops the partition
+    # when the rows are gone.
+    "erasure": ("install_id string, erased_at timestamp, upto bigint", ["upto"]),
     # Append-only: the current state of an install is its latest request.
     "forget_log": (
         "install_id string, requested_at timestamp, processed_at timestamp",
@@ -112,8 +117,8 @@ TABLES = {
         ["received_day"],
     ),
     "maintenance_run": (
-        "as_of timestamp, step string, ok boolean, rows bigint, error string",
-        [],
+        "as_of timestamp, step string, ok boolean, rows bigint, error string, run_day string",
+        ["run_day"],
     ),
     # Append-only: the stored rollups of a day are due while its highest version says so.
     "rollup_log": ("day date, due boolean, version bigint", []),

@@ -202,7 +202,7 @@ def test_erasure_empties_partitions_and_keeps_their_days(spark, store):
     assert lifecycle.forget_drain(store, NOW) == 1
     assert parts(store) == {"20260622": 1, "20260623": 1}
     assert installs(store) == [install(2), install(2)]
-    assert [r["idempotency_key"] for r in store.table("ingest_batch").collect()] == [key_of(2)]
+    assert [r["idempotency_key"] for r in store.ledger().collect()] == [key_of(2)]
     assert "20260621" in [r["part"] for r in store.list_partitions().collect()]
     assert state(store) == {install(1): True}
     # With its ledger row gone the same batch is taken in again.
@@ -232,6 +232,89 @@ def test_batch_of_another_first_install_keeps_its_ledger_row(spark, store):
     assert store.table("ingest_batch").count() == 1
 
 
+def files(store, *tables):
+    return {r[0] for t in tables for r in store.table(t).select("_metadata.file_path").distinct().collect()}
+
+
+def test_a_drain_rewrites_no_file_and_hides_at_once(spark, store):
+    tables = ("telemetry_event", "ingest_batch")
+    ingest(store, batches(spark, (1, [event_line(n) for n in range(5)]), (2, event_line(7))), NOW)
+    store.register_views()
+    before = files(store, *tables)
+    ask(spark, store, 0, 3, 7)
+    assert lifecycle.forget_drain(store, NOW) == 3
+    assert files(store, *tables) == before
+    assert installs(store) == [install(n) for n in (1, 2, 4)]
+    assert store.events_by_install(install(3)).count() == 0 and store.ledger().count() == 0
+    assert spark.table("v_run_daily").first()["distinct_installs"] == 3  # registered before
+    assert store.table("telemetry_event").count() == 6
+
+
+def test_what_comes_after_a_drain_stays(spark, store):
+    ingest(store, batches(spark, (1, [event_line(1), event_line(2)])), NOW)
+    ask(spark, store, 1)
+    lifecycle.forget_drain(store, NOW)
+    # the erased rows are in the files still, yet they are no duplicates of the same batch
+    assert outcomes(ingest(store, batches(spark, (1, [event_line(1), event_line(2)])), NOW)) == {(key_of(1), "accepted", 1)}
+    assert installs(store) == [install(1), install(2)]
+    assert outcomes(ingest(store, batches(spark, (1, [event_line(1)])), NOW)) == {(key_of(1), "duplicate", 0)}
+    assert lifecycle.remove_erased(store) == 2  # an event and a ledger row
+    assert installs(store) == [install(1), install(2)]
+    assert store.table("telemetry_event").count() == 2 and store.leaves("erasure") == []
+    assert lifecycle.remove_erased(store) == 0
+    ask(spark, store, 1, when=NOW + timedelta(hours=1))
+    lifecycle.forget_drain(store, NOW + timedelta(hours=1))
+    assert installs(store) == [install(2)]
+
+
+@pytest.mark.parametrize("step", ["append", "begin_generation", "drop_partitions"])
+def test_erasure_is_repeated_after_a_crash(spark, store, monkeypatch, step):
+    ingest(store, batches(spark, (1, [event_line(1), event_line(2)])), NOW)
+    ask(spark, store, 1)
+
+    def die(*_args, **_more):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Store, step, die)
+        with pytest.raises(RuntimeError, match="lost"):
+            lifecycle.forget_drain(store, NOW)
+            lifecycle.remove_erased(store)
+    if step == "drop_partitions":  # removed, and still hidden
+        assert installs(store) == [install(2)]
+    else:
+        assert state(store) == {install(1): False}
+        assert lifecycle.forget_drain(store, NOW) == 1
+    lifecycle.remove_erased(store)
+    assert installs(store) == [install(2)] and store.leaves("erasure") == []
+    assert store.table("telemetry_event").count() == 1
+
+
+def test_large_leaves_are_not_gathered_again(spark, store):
+    for n in range(3):
+        ingest(store, batches(spark, (n, event_line(n, "2026-06-25T12:00:00+00:00"))), NOW)
+    day = date(2026, 6, 25)
+    assert lifecycle.scattered_leaves(store, day, day).count() > 0
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")  # three files are large then
+    try:
+        assert lifecycle.compact_days(store, day, day) == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert lifecycle.compact_days(store, day, day) > 0
+
+
+def test_logs_are_trimmed(spark, store):
+    old = NOW - timedelta(days=40)
+    ingest(store, batches(spark, (1, event_line(1), old), (2, "{bad", old), (3, event_line(2)), (4, "{bad")), NOW, with_rollups=True)
+    entries = store.table("rollup_log").count()
+    lifecycle.maintenance_cycle(store, old)
+    assert lifecycle.trim_logs(store, NOW) == 3
+    assert store.table("ingest_result").count() == 2 and store.table("batch_verdict").count() == 1
+    assert store.table("maintenance_run").count() == 0
+    assert 0 < store.table("rollup_log").count() < entries
+    assert stored_rollups.due_days(store) == []
+
+
 def test_bounded_rounds_take_the_oldest(spark, store):
     ingest(store, batches(spark, (1, [event_line(n) for n in (1, 2, 3)])), NOW)
     for n, hours in [(1, 3), (2, 1), (3, 2)]:
@@ -254,7 +337,9 @@ def test_cycle_runs_in_order_and_isolates_failures(spark, aged):
         ("drop_old_partitions", True, 5),
         ("sweep_default", False, None),
         ("forget_drain", True, 1),
+        ("compact", True, 2),
         ("purge_ledger", True, 0),
+        ("trim_logs", True, 0),
     ]
     assert installs(aged) == [install(n) for n in (89, 90, 200)]
     assert "no disk" in run.where("not ok").first()["error"]
