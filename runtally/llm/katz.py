@@ -9,7 +9,7 @@ Tokens of a text are its words (see ``words``) and one end; the first context is
   out exactly that mass: ``(1 - sum of seen P(w|h)) / (1 - sum of their P(w))``.
 
 How it runs. A batch of documents is reduced to its distinct words and pairs; they go, as
-packed arrays, to buckets by hash (``ask``). A bucket adds up the counts, stores its share of
+packed arrays, to buckets by hash (``ask``), ``SPLIT`` for each shuffle partition. A bucket adds up the counts, stores its share of
 the n-gram table and answers each batch in the order it asked (``tally``). The batch's token
 sequence meets the answers by batch number (``settle``): that gives each document's sums, what
 each context contributes to its backoff weight (every pair is owned by one batch), and the
@@ -39,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runtally.llm.words import mixed, texts_words
+from runtally.llm.words import bounded_batches, mixed, texts_words
 from runtally.session import scratch_path
 
 #: Counts up to K are discounted. Bytes of text per batch; one text may exceed it.
-K, BATCH = 5, 16 << 20
+K, BATCH = 5, 4 << 20
+#: Buckets for each shuffle partition: a partition takes up one after the other.
+SPLIT = 3
 
 END, BEGIN = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0xB0B0B0B0B0B0B0B1)
 _LOW = np.uint64((1 << 48) - 1)
@@ -353,7 +355,8 @@ def lm_scores(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: str = "
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "katz")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(spark)
+    buckets = SPLIT * int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),

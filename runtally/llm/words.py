@@ -12,6 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Bytes of an Arrow batch: a task holds some batches, however long the texts are.
+ARROW_BYTES = 4 << 20
 
 #: Bytes hashed at once. A single word may exceed it; then the arrays grow with that word.
 SLICE = 1 << 20
@@ -74,6 +78,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by their bytes and not by their rows alone, for the session's next jobs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def portions(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
     """The texts in order, in lists of about ``size`` characters; one text may exceed it."""
     held, length = [], 0
