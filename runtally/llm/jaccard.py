@@ -9,8 +9,10 @@ The order puts shingles that many documents share last, so prefixes hold rare on
 2. Star round: every group meets the smallest group of each prefix shingle, every class the
    first class of its group. Verified links give components, so a family of copies costs
    pairs in proportion to its members.
-3. Exact round: all group pairs that share a prefix shingle, pass the size filter and are not
-   yet in one component are expanded to classes and verified. After it, every pair that could
+3. Exact round: all group pairs that share a prefix shingle, pass the filters and are not yet in
+   one component are expanded to classes and verified. The filters stand in the join: sizes; the
+   shared shingle lies in the shorter index prefix of the smaller set; what is left behind it on
+   either side suffices; and, for groups of one set, a bitmap of at most ``SKETCH`` longs. After it, every pair that could
    link was either verified or lies in one component.
 
 Candidates pass an exact bound before their sets are compared: each set has a bitmap of about
@@ -32,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runtally.llm.components import components
-from runtally.llm.words import mixed, portions, shingles, texts_words
+from runtally.llm.words import bounded_batches, mixed, portions, shingles, texts_words
 from runtally.session import materialize
 
 #: A shingle in at least so many documents of one Arrow batch counts as common, and so many
 #: of the most common ones are put last. Both shape the order only; any order gives all links.
 COMMON, ORDERED = 16, 1 << 17
+#: Longs of the bitmap that a posting of the exact round carries.
+SKETCH = 4
 #: Characters of text whose words are hashed at once.
 PORTION = 2 << 20
 
@@ -127,6 +131,30 @@ def _different(a: str, b: str) -> Column:
     return F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)
 
 
+def _folded(bits: str) -> Column:
+    """A bitmap of at most ``SKETCH`` longs: places of a larger one that agree modulo its size, xored."""
+    longs = F.sequence(F.lit(0), F.lit(SKETCH - 1))
+    small = F.transform(
+        longs,
+        lambda i: F.aggregate(
+            F.filter(F.col(bits), lambda _, k: k % SKETCH == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)
+        ),
+    )
+    return F.when(F.size(bits) <= SKETCH, F.col(bits)).otherwise(small)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two sets that share the shingle at their places ``pos`` can link, by sizes and places."""
+    i, j, nx, ny = F.col(f"{x}.pos"), F.col(f"{y}.pos"), F.col(f"{x}.n"), F.col(f"{y}.n")
+    shared = F.least(i, j) + 1 + F.least(nx - i, ny - j) - 1
+    # a pair shares a shingle of the smaller set's index prefix: n - ceil(2 t / (1 + t) n) + 1
+    first = F.when((nx < ny) | ((nx == ny) & (i <= j)), F.struct(i.alias("at"), nx.alias("n"))).otherwise(
+        F.struct(j.alias("at"), ny.alias("n"))
+    )
+    indexed = (first["n"] - first["at"]) * (100 + percent) >= first["n"] * (2 * percent)
+    return _sizes_fit(f"{x}.n", f"{y}.n", percent) & indexed & (shared * (100 + percent) >= (nx + ny) * percent)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """node, shingles: array<long> for the documents that are nodes."""
 
@@ -149,6 +177,7 @@ def similar_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, or its own)."""
+    bounded_batches(docs.sparkSession)
     signed = materialize(signatures(docs, doc_id, text, width, percent), "signatures")
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
     key = F.xxhash64("n", "prefix")
@@ -184,7 +213,7 @@ def similar_documents(
     )
     leaders = member.where("class = group").select(F.col("class").alias("doc_id"))
     prefixes = sets.select("doc_id", "prefix").join(leaders, "doc_id", "leftsemi")
-    exploded = prefixes.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("group"))
+    exploded = prefixes.select(F.posexplode("prefix").alias("pos", "shingle"), F.col("doc_id").alias("group"))
     several = (
         exploded.groupBy("shingle")
         .agg(F.min("group").alias("pivot"), F.max("group").alias("last"))
@@ -207,15 +236,21 @@ def similar_documents(
     )
     owned = materialize(owned, "owned")
     spans = owned.groupBy("group").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.count("*").alias("sets")
     )
-    spread = postings.select("shingle", "group").join(spans, "group")
+    spread = postings.select("shingle", "group", "pos").join(spans, "group")
     mixed_shingles = spread.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h")
-    open_postings = materialize(spread.join(mixed_shingles.select("shingle"), "shingle", "leftsemi"), "open")
+    left_open = spread.join(mixed_shingles.select("shingle"), "shingle", "leftsemi")
+    # a group of several sets has no one bitmap
+    sketches = facts.join(left_open.where("sets = 1").select(F.col("group").alias("node")).distinct(), "node", "leftsemi")
+    sketches = sketches.select(F.col("node").alias("group"), _folded("bits").alias("bits")).dropDuplicates(["group"])
+    open_postings = materialize(left_open.join(sketches, "group", "left"), "open")
     one, two = open_postings.alias("x"), open_postings.alias("y")
+    room = (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    near = F.coalesce(_different("x.bits", "y.bits") * (100 + percent) <= room, F.lit(True))
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     group_pairs = (
-        one.join(two, F.expr("x.shingle = y.shingle AND x.group < y.group") & apart & _sizes_fit("x.n", "y.n", percent))
+        one.join(two, F.expr("x.shingle = y.shingle AND x.group < y.group") & apart & _may_link("x", "y", percent) & near)
         .select(F.col("x.group").alias("g"), F.col("y.group").alias("h"))
         .distinct()
         .unionAll(spans.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h")))
