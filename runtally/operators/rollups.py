@@ -9,6 +9,10 @@ from runtally.schema import VERDICT_COLUMNS
 
 TIMINGS = ["startup_ms", "time_to_first_test_ms"]
 PROBABILITIES = {"p50": 0.5, "p95": 0.95}
+_RUN_DAILY = [
+    "day", "events", "runs", "scenarios", *VERDICT_COLUMNS,
+    *[f"{metric}_{p}" for metric in TIMINGS for p in PROBABILITIES], "distinct_installs",
+]
 
 
 def event_day() -> Column:
@@ -47,13 +51,61 @@ def run_daily(events: DataFrame) -> DataFrame:
         F.count_distinct("install_id").alias("distinct_installs"),
     )
     timing = timing_percentiles(events.select(_day(events), *TIMINGS), ["day"], TIMINGS)
-    columns = (
-        ["day", "events", "runs", "scenarios"]
-        + VERDICT_COLUMNS
-        + [f"{metric}_{p}" for metric in TIMINGS for p in PROBABILITIES]
-        + ["distinct_installs"]
+    return totals.join(timing, "day", "left").select(*_RUN_DAILY)
+
+
+def partials(events: DataFrame, sign: int = 1) -> DataFrame:
+    """(day, kind, name, value, n): counts of the events that can be added up and subtracted.
+
+    ``total``: the daily sums by name; ``family`` and ``provider``: uses; ``install``: events per install;
+    ``timing``: how often a metric has a value. One pass, pre-aggregated map-side.
+    """
+
+    def cell(kind: str, name: Column, n: Column, value: Column | None = None) -> Column:
+        value = F.lit(None) if value is None else value
+        return F.struct(
+            F.lit(kind).alias("kind"), name.alias("name"), value.cast("bigint").alias("value"), n.cast("bigint").alias("n")
+        )
+
+    sums = {"events": F.lit(1), "runs": F.col("run_count"), "scenarios": F.col("scenario_count")}
+    sums |= {name: F.col(name) for name in VERDICT_COLUMNS}
+    cells = [cell("total", F.lit(name), n) for name, n in sums.items()]
+    cells.append(cell("install", F.col("install_id"), F.lit(1)))
+    cells += [cell("timing", F.lit(m), F.when(F.col(m).isNotNull(), 1), F.col(m)) for m in TIMINGS]
+    lists = [F.array(*cells)]
+    none = F.array().cast("array<struct<kind:string,name:string,value:bigint,n:bigint>>")
+
+    def uses(kind: str, column: str) -> Column:
+        return F.coalesce(F.transform(F.map_entries(column), lambda e: cell(kind, e["key"], e["value"])), none)
+
+    lists += [uses("family", "step_families"), uses("provider", "step_providers")]
+    rows = events.select(_day(events), F.inline(F.concat(*lists))).where(F.col("n").isNotNull())
+    return rows.groupBy("day", "kind", "name", "value").agg((F.sum("n") * sign).alias("n"))
+
+
+def added_up(rows: DataFrame) -> DataFrame:
+    """Partials with each count once; days whose events are all gone are left out."""
+    summed = rows.groupBy("day", "kind", "name", "value").agg(F.sum("n").alias("n"))
+    alive = summed.where("kind = 'total' AND name = 'events' AND n > 0").select("day")
+    # a total of zero is a result; a count of zero is nothing
+    return summed.where("n <> 0 OR kind = 'total'").join(alive, "day", "left_semi")
+
+
+def usage_daily_of(summed: DataFrame, kind: str) -> DataFrame:
+    """``step_family_daily`` or ``step_provider_daily`` from partials."""
+    return summed.where(F.col("kind") == kind).select("day", F.col("name").alias(kind), "n")
+
+
+def run_daily_of(summed: DataFrame) -> DataFrame:
+    """``run_daily`` from partials."""
+    names = ["events", "runs", "scenarios", *VERDICT_COLUMNS]
+    totals = summed.where("kind IN ('total', 'install')").groupBy("day").agg(
+        *[F.sum(F.when((F.col("kind") == "total") & (F.col("name") == name), F.col("n"))).alias(name) for name in names],
+        F.count_if(F.col("kind") == "install").alias("distinct_installs"),
     )
-    return totals.join(timing, "day", "left").select(*columns)
+    counts = summed.where("kind = 'timing'").select("day", F.col("name").alias("metric"), "value", "n")
+    timing = percentiles_of_counts(counts, ["day"], TIMINGS)
+    return totals.join(timing, "day", "left").select(*_RUN_DAILY)
 
 
 def distinct_installs(events: DataFrame) -> DataFrame:
@@ -110,8 +162,14 @@ def timing_percentiles(rows: DataFrame, keys: list[str], metrics: list[str]) ->
         .where("value is not null")
         .groupBy(*by, "value")
         .agg(F.expr("count(1) as n"))
-        .withColumn("bucket", F.expr(_BUCKET))
     )
+    return percentiles_of_counts(counts, keys, metrics)
+
+
+def percentiles_of_counts(counts: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Steps 2 and 3 of ``timing_percentiles`` over (keys, metric, value, n)."""
+    by = [*keys, "metric"]
+    counts = counts.withColumn("bucket", F.expr(_BUCKET))
     group = f"partition by {', '.join(by)}"
     wanted = (
         counts.groupBy(*by, "bucket")

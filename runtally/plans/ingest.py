@@ -124,11 +124,16 @@ def ingest(
         _record(store, run_id, keep(results, "results"))
         # What the run carries, repeated or not: a replay refreshes what a crash left out.
         days: list[date] = []
-        if with_rollups:
+        right: list[date] = []
+        if with_rollups or stored_rollups.stored_days(store):
             days = sorted(row[0] for row in accepted.select(F.to_date("event_timestamp")).distinct().collect())
-            stored_rollups.mark_due(store, days)
+        if with_rollups:
+            right = stored_rollups.begin(store, days)
+        else:  # left for the next job that refreshes
+            stored_rollups.mark_due(store, days, only_kept=True)
         generation = F.lit(store.generation)
         store.append("telemetry_event", new_events.withColumn("generation", generation))
+        stored_rollups.add(store, new_events, right)
         stored_heads = kept_heads.withColumn("received_day", received_day())
         store.append("ingest_batch", stored_heads.withColumn("generation", generation))
         store.append(
@@ -136,6 +141,6 @@ def ingest(
             heads.where(F.col("status") == REJECTED).withColumn("received_day", received_day()),
         )
     if with_rollups:
-        stored_rollups.refresh_due(store)
+        stored_rollups.refresh_due(store, right)
     recorded = store.table("ingest_result").where(F.col("run_id") == run_id)
     return IngestRun(recorded.select(*RESULT_COLUMNS), days)

@@ -135,12 +135,15 @@ def forget_drain(store: Store, as_of: datetime, limit: int | None = None) -> int
         processed = pending.count()
         if processed == 0:
             return 0
-        if stored_rollups.kept_days(store):
-            stored_rollups.mark_due(store, store.doomed_days(_hit_by(pending), _shards_of(store, pending)), only_kept=True)
+        right: list[date] = []
+        if kept := stored_rollups.kept_days(store):
+            within = _shards_of(store, pending)
+            right = stored_rollups.begin(store, kept.intersection(store.doomed_days(_hit_by(pending), within)))
+            stored_rollups.add(store, store.doomed(_hit_by(pending), within), right, sign=-1)
         generation = store.generation
         store.append("erasure", pending.select("install_id", F.lit(utc(as_of)).alias("erased_at"), F.lit(generation).alias("upto")))
         store.begin_generation(generation + 1)
-        stored_rollups.refresh_due(store)
+        stored_rollups.refresh_due(store, right)
         store.append("forget_log", pending.withColumn("processed_at", F.lit(utc(as_of))))
         return processed
 
@@ -225,6 +228,7 @@ def compact(store: Store, as_of: datetime) -> int:
     removed = remove_erased(store)
     today = utc(as_of).date()
     compact_days(store, today - timedelta(days=store.options.retention_days + 1), today - timedelta(days=1))
+    stored_rollups.compact(store)
     return removed
 
 

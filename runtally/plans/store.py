@@ -210,9 +210,13 @@ class Store:
         rows = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
         return [dict(step.split("=", 1) for step in row[0].split("/")) for row in rows]
 
+    def doomed(self, doomed, within: dict[str, Iterable] | None = None) -> DataFrame:
+        """The visible events that ``doomed`` flags."""
+        return doomed(self._within(self.visible("telemetry_event"), "telemetry_event", within)).where("_doomed")
+
     def doomed_days(self, doomed, within: dict[str, Iterable] | None = None) -> list[date]:
         """Days of the visible events that ``doomed`` flags: one value per calendar day."""
-        rows = doomed(self._within(self.visible("telemetry_event"), "telemetry_event", within)).where("_doomed")
+        rows = self.doomed(doomed, within)
         return sorted(r[0] for r in rows.select(F.to_date("event_timestamp")).distinct().collect())
 
     def _within(self, rows: DataFrame, table: str, within: dict[str, Iterable] | None) -> DataFrame:

@@ -122,6 +122,8 @@ TABLES = {
     ),
     # Append-only: the stored rollups of a day are due while its highest version says so.
     "rollup_log": ("day date, due boolean, version bigint", []),
+    # Signed counts that add up to the rollups of a day: a batch adds, an erasure subtracts.
+    "rollup_partial": ("day timestamp, kind string, name string, value bigint, n bigint, rollup_day string", ["rollup_day"]),
     # Stored copies of the dashboard rollups.
     "run_daily": (
         f"day timestamp, {_COUNTS}, startup_ms_p50 double, startup_ms_p95 double, "

@@ -477,6 +477,41 @@ def test_a_run_that_died_before_its_rollups_is_healed(spark, store, monkeypatch)
     assert [(r["outcome"], r["new_rows"]) for r in store.outcomes().collect()] == [("accepted", 1)]
 
 
+def test_batches_and_erasures_add_to_the_partials_of_their_days(spark, store, monkeypatch):
+    ingest(store, batches(spark, (1, [event_line(n, startup=n) for n in (1, 2, 3)])), NOW, with_rollups=True)
+
+    def never(*_):
+        raise AssertionError("events of earlier batches are read")
+
+    monkeypatch.setattr(stored_rollups, "rebuild", never)
+    more = [event_line(n, "2026-06-28T13:00:00+00:00", startup=n) for n in (2, 4)]
+    ingest(store, batches(spark, (2, more), (3, event_line(1, startup=1))), NOW, with_rollups=True)
+    assert stored_daily(store) == fresh_daily(store)
+    ask(spark, store, 2, 3)
+    lifecycle.forget_drain(store, NOW)
+    assert stored_daily(store) == fresh_daily(store)
+    day = store.table("run_daily").first()
+    assert (day["events"], day["distinct_installs"], day["startup_ms_p50"]) == (2, 2, 2.5)
+    families = rollups.step_family_daily(store.events()).collect()
+    assert store.table("step_family_daily").drop("rollup_day").collect() == families
+    rows = store.table("rollup_partial").count()
+    assert stored_rollups.compact(store) == 1 and store.table("rollup_partial").count() < rows
+    stored_rollups.refresh(store, [date(2026, 6, 28)])
+    assert stored_daily(store) == fresh_daily(store)
+    ask(spark, store, 1, 4)
+    lifecycle.forget_drain(store, NOW)
+    assert store.table("run_daily").count() == 0 and store.leaves("rollup_partial") == []
+
+
+def test_a_run_without_rollups_leaves_its_days_due(spark, store):
+    day = date(2026, 6, 28)
+    ingest(store, batches(spark, (1, event_line(1))), NOW, with_rollups=True)
+    ingest(store, batches(spark, (2, event_line(2))), NOW)
+    assert stored_rollups.due_days(store) == [day]
+    ingest(store, batches(spark, (3, event_line(3))), NOW, with_rollups=True)
+    assert stored_daily(store) == fresh_daily(store) and stored_rollups.due_days(store) == []
+
+
 def test_views_prune_by_day(spark, store):
     lines = [event_line(n, at(date(2026, 6, 20 + n))) for n in range(5)] + [event_line(9, at(date(2026, 6, 1)))]
     ingest(store, batches(spark, (1, lines)), NOW)
