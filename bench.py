@@ -85,6 +85,7 @@ class Bench:
         one_percent = installs.where(F.pmod(F.xxhash64("install_id"), F.lit(100)) == 0)
         store.request_forget(one_percent.withColumn("requested_at", F.lit(catalog.RETENTION_AS_OF)))
         self.timed("forget_drain", lambda: lifecycle.forget_drain(store, catalog.RETENTION_AS_OF))
+        self.timed("remove_erased", lambda: lifecycle.remove_erased(store))
         self.timed("sweep_default", lambda: lifecycle.sweep_default(store, catalog.SWEEP_AS_OF))
         self.timed("drop_old_partitions", lambda: lifecycle.drop_old_partitions(store, catalog.DROP_AS_OF))
         self.timed("purge_ledger", lambda: lifecycle.purge_ledger(store, catalog.PURGE_AS_OF))

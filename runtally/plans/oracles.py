@@ -346,10 +346,11 @@ ORACLES: dict[str, str] = {
     "batch_key": f"WITH {_BATCHES} SELECT user_id, block, copy, idempotency_key AS key FROM judged",
     "audit_batch_key": f"""WITH {_REQUESTS} SELECT key_ok AND filled AND size_ok AS key_matches, count(*) AS batches
         FROM posts GROUP BY 1""",
-    "redact_install_id": f"WITH {_RUNS} SELECT DISTINCT user_id, '00000000…' AS shown FROM runs",
+    "redact_install_id": f"""WITH {_RUNS} SELECT DISTINCT user_id,
+        lpad(CAST(user_id AS VARCHAR), 8, '9') || '…' AS shown FROM runs""",
     "parse_forget": f"WITH {_REQUESTS} SELECT req_id, CASE WHEN size_ok THEN install_id END AS install_id FROM forgets",
     "audit_taxonomy": f"""WITH {_STORED} SELECT family, count(*) AS runs, CAST(sum(n) AS BIGINT) AS n
-        FROM stored JOIN fam USING (user_id, day) GROUP BY 1""",
+        FROM stored JOIN fam USING (user_id, day) WHERE family NOT IN ('view', 'error') GROUP BY 1""",
     "dedup_batches": f"""WITH {_BATCHES}, ranked AS (
           SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY received_at) AS nth FROM judged)
         SELECT user_id, block, copy, idempotency_key FROM ranked WHERE nth = 1 AND idempotency_key NOT IN
