@@ -190,14 +190,25 @@ def similar_documents(
 
     facts = sets.select(F.col("doc_id").alias("node"), "n", "bits")
 
+    sizes = facts.select("node", "n").distinct()
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The linked ones of (a, b) class pairs, a < b."""
+        """The linked ones of (a, b) class pairs, a < b.
+
+        Sizes alone rule out most pairs; bitmaps travel for the nodes of the others only.
+        """
         pairs = pairs.distinct()
         for end in "ab":
-            pairs = pairs.join(facts.select(*(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "bits"))), F.col(end) == F.col(f"node_{end}"))
+            pairs = pairs.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
+        fitting = materialize(pairs.where(_sizes_fit("n_a", "n_b", percent)), "fitting")
+        ends = fitting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        known = materialize(facts.join(ends, "node", "leftsemi"), "bitmaps")
+        near = fitting
+        for end in "ab":
+            near = near.join(known.select(*(F.col(c).alias(x) for c, x in (("node", end), ("n", f"n_{end}"), ("bits", f"bits_{end}")))), [end, f"n_{end}"])
         # 100 s >= percent (na + nb - s) with s = (na + nb - d) / 2 bounds the difference d
         room = (F.col("n_a") + F.col("n_b")) * (100 - percent)
-        near = pairs.where(_sizes_fit("n_a", "n_b", percent)).where(_different("bits_a", "bits_b") * (100 + percent) <= room)
+        near = near.where(_different("bits_a", "bits_b") * (100 + percent) <= room)
         near = materialize(near.select("a", "b", "n_a", "n_b").distinct(), "candidates")
         nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = materialize(full_sets(docs, materialize(nodes, "nodes"), doc_id, text, width), "sets")
@@ -238,13 +249,16 @@ def similar_documents(
     spans = owned.groupBy("group").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.count("*").alias("sets")
     )
-    spread = postings.select("shingle", "group", "pos").join(spans, "group")
-    mixed_shingles = spread.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h")
-    left_open = spread.join(mixed_shingles.select("shingle"), "shingle", "leftsemi")
-    # a group of several sets has no one bitmap
-    sketches = facts.join(left_open.where("sets = 1").select(F.col("group").alias("node")).distinct(), "node", "leftsemi")
-    sketches = sketches.select(F.col("node").alias("group"), _folded("bits").alias("bits")).dropDuplicates(["group"])
-    open_postings = materialize(left_open.join(sketches, "group", "left"), "open")
+    places = postings.select("shingle", "group", "pos")
+    within = places.join(spans.select("group", "low", "high"), "group")
+    mixed_shingles = within.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h")
+    left_open = materialize(places.join(mixed_shingles.select("shingle"), "shingle", "leftsemi"), "left-open")
+    # Sizes and bitmaps meet the narrow postings last; a group of several sets has no one bitmap.
+    groups = spans.join(left_open.select("group").distinct(), "group", "leftsemi")
+    sketches = facts.select(F.col("node").alias("group"), _folded("bits").alias("bits")).dropDuplicates(["group"])
+    alone = groups.where("sets = 1").select("group").join(sketches, "group")
+    described = materialize(groups.join(alone, "group", "left"), "groups")
+    open_postings = materialize(left_open.join(described, "group"), "open")
     one, two = open_postings.alias("x"), open_postings.alias("y")
     room = (F.col("x.n") + F.col("y.n")) * (100 - percent)
     near = F.coalesce(_different("x.bits", "y.bits") * (100 + percent) <= room, F.lit(True))
