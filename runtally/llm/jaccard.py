@@ -10,10 +10,11 @@ The order puts shingles that many documents share last, so prefixes hold rare on
    first class of its group. Verified links give components, so a family of copies costs
    pairs in proportion to its members.
 3. Exact round: all group pairs that share a prefix shingle, pass the filters and are not yet in
-   one component are expanded to classes and verified. The filters stand in the join: sizes; the
-   shared shingle lies in the shorter index prefix of the smaller set; what is left behind it on
-   either side suffices; and, for groups of one set, a bitmap of at most ``SKETCH`` longs. After it, every pair that could
-   link was either verified or lies in one component.
+   one component are expanded to classes and verified. The filters stand in the join: sizes;
+   what is left behind the shared shingle on either side suffices; and, for groups of one set,
+   a bitmap of at most ``SKETCH`` longs. Behind it, the number of shared prefix shingles must
+   do with what lies behind the prefixes. After it, every pair that could link was either
+   verified or lies in one component.
 
 Candidates pass an exact bound before their sets are compared: each set has a bitmap of about
 one bit per shingle, the parity of its shingles per bit. Bitmaps differ in no more bits than
@@ -22,7 +23,8 @@ for the classes that are left; their texts are read again.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; shorter
 texts than a shingle are one shingle; repeated rows get one row each; a row without an id
-links with nothing and has no component; other columns are ignored; an empty table gives an
+links with nothing and has no component; an id is one document, and one that occurs with several
+texts brings the links of each (ids are to be unique); other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -147,12 +149,17 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     """Whether two sets that share the shingle at their places ``pos`` can link, by sizes and places."""
     i, j, nx, ny = F.col(f"{x}.pos"), F.col(f"{y}.pos"), F.col(f"{x}.n"), F.col(f"{y}.n")
     shared = F.least(i, j) + 1 + F.least(nx - i, ny - j) - 1
-    # a pair shares a shingle of the smaller set's index prefix: n - ceil(2 t / (1 + t) n) + 1
-    first = F.when((nx < ny) | ((nx == ny) & (i <= j)), F.struct(i.alias("at"), nx.alias("n"))).otherwise(
-        F.struct(j.alias("at"), ny.alias("n"))
-    )
-    indexed = (first["n"] - first["at"]) * (100 + percent) >= first["n"] * (2 * percent)
-    return _sizes_fit(f"{x}.n", f"{y}.n", percent) & indexed & (shared * (100 + percent) >= (nx + ny) * percent)
+    return _sizes_fit(f"{x}.n", f"{y}.n", percent) & (shared * (100 + percent) >= (nx + ny) * percent)
+
+
+def _enough(common: str, x: str, y: str, percent: int) -> Column:
+    """Whether sets of ``x`` and ``y`` shingles that share ``common`` prefix shingles can link.
+
+    One of the prefixes ends first in the order; shingles behind it are all that its set can
+    share besides the common ones.
+    """
+    behind = F.ceil(F.greatest(x, y) * percent / 100).cast("long") - 1
+    return (F.col(common) + behind) * (100 + percent) >= (F.col(x) + F.col(y)) * percent
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -265,8 +272,10 @@ def similar_documents(
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     group_pairs = (
         one.join(two, F.expr("x.shingle = y.shingle AND x.group < y.group") & apart & _may_link("x", "y", percent) & near)
-        .select(F.col("x.group").alias("g"), F.col("y.group").alias("h"))
-        .distinct()
+        .groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
+        .agg(F.count("*").alias("common"))
+        .where(_enough("common", "nx", "ny", percent))
+        .select("g", "h")
         .unionAll(spans.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h")))
     )
     firsts = owned.select(
