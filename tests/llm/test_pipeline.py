@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 
 import public_tokenizers
@@ -8,6 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from runtally.llm import mixing, secrets
 from runtally.llm.catalog import QUERIES
+from runtally.session import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -92,7 +95,10 @@ def test_encoding_stage_and_whole_run(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.encode(spark, docs, SMALL).collect()}
     for r in docs.collect():
         assert got[r["doc_id"]] == len(library.encode(r["text"], add_special_tokens=False).ids)
+    before = set(glob.glob(f"{shared_dir(spark)}/runtally/pipeline-*"))
     final = corpus_pipeline.run(spark, SMALL)
+    (folder,) = set(glob.glob(f"{shared_dir(spark)}/runtally/pipeline-*")) - before
+    assert os.listdir(folder) == ["stage-3"]  # no text from before the redaction
     assert final.columns == ["doc_id", "lang", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < final.count()
 
