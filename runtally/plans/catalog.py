@@ -222,6 +222,12 @@ def scan_partition(f: Fixture) -> DataFrame:
     return _with_maps(f.store.partition("default"))
 
 
+def install_listing(f: Fixture) -> DataFrame:
+    """All rows of the install with most events (the smallest id at a tie)."""
+    busiest = f.store.events().groupBy("install_id").count().orderBy(F.desc("count"), "install_id").first()
+    return _with_maps(f.store.events_by_install(busiest["install_id"] if busiest else ""))
+
+
 def write_events(f: Fixture) -> DataFrame:
     """The same batches sent again: answered, and nothing added."""
     store = f.copy("replayed")
@@ -656,6 +662,7 @@ _FIXTURE_QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "split_lines": split_lines,
     "scan_events": scan_events,
     "scan_partition": scan_partition,
+    "install_listing": install_listing,
     "write_events": write_events,
     "write_ledger": write_ledger,
     "read_views": read_views,

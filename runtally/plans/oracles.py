@@ -300,6 +300,8 @@ ORACLES: dict[str, str] = {
         SELECT user_id, block, copy, CAST(line_no AS INTEGER) AS line_no, line FROM numbered""",
     "scan_events": f"WITH {_STORED} SELECT {_EVENT_COLUMNS}, part FROM stored",
     "scan_partition": f"WITH {_STORED} SELECT {_EVENT_COLUMNS} FROM stored WHERE day < DATE '2024-01-10'",
+    "install_listing": f"""WITH {_STORED} SELECT {_EVENT_COLUMNS} FROM stored WHERE install_id =
+        (SELECT install_id FROM stored GROUP BY 1 ORDER BY count(*) DESC, install_id LIMIT 1)""",
     "write_events": f"""WITH {_BATCHES} SELECT CASE WHEN reason IS NULL THEN 'duplicate' ELSE 'rejected' END AS outcome,
         count(*) AS batches, CAST(0 AS BIGINT) AS new_rows FROM judged GROUP BY 1""",
     "write_ledger": f"WITH {_BATCHES} SELECT idempotency_key, install_id, line_count, received_at FROM ledger",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date, datetime, timedelta, timezone
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import NOW, batches, event_line, install, key_of
 from pyspark.sql import functions as F
@@ -418,6 +419,37 @@ def test_shard_count_belongs_to_the_store(spark, store):
     assert lifecycle.reshard(wider, 16).install_shards == 16
 
 
+def test_lookup_of_an_install_skips_row_groups(spark, tmp_path):
+    """Files are sorted by install, so that one row group of many may hold it."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", "4096")
+    try:
+        store = Store(spark, f"t_{uuid.uuid4().hex[:10]}", Options(install_shards=1)).create_tables(str(tmp_path / "db"))
+        lifecycle.ensure_partitions(store, date(2026, 6, 28), date(2026, 6, 29))
+        mixed = [n * 787 % 2000 for n in range(2000)]  # every install once, in no order
+        sent = [(k, [event_line(n) for n in mixed[k * 200 : k * 200 + 200]]) for k in range(10)]
+        ingest(store, batches(spark, *sent), NOW)
+    finally:
+        conf.unset("parquet.block.size")
+    groups, holding = 0, 0
+    for path in (tmp_path / "db").rglob("telemetry_event/**/*.parquet"):
+        file = pq.ParquetFile(path)
+        ids = file.read(["install_id"]).column(0).to_pylist()
+        assert ids == sorted(ids)
+        at = file.schema_arrow.get_field_index("install_id")
+        for k in range(file.num_row_groups):
+            seen = file.metadata.row_group(k).column(at).statistics
+            groups += 1
+            holding += seen.min <= install(1234) <= seen.max
+    assert groups >= 4 and holding == 1
+    found = store.events_by_install(install(1234))
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(install_id,{install(1234)})" in plan  # reaches the files
+    shown = spark.sql(f"DESCRIBE EXTENDED {store.name('telemetry_event')}").where("col_name = 'Storage Properties'").first()
+    assert "parquet.bloom.filter.enabled#install_id=true" in shown["data_type"]
+
+
 def test_reshard_finishes_between_the_renames(spark, store):
     ingest(store, batches(spark, (1, [event_line(n) for n in range(4)])), NOW)
     lifecycle.reshard(store, 4)
