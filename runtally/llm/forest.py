@@ -12,8 +12,8 @@ Equal vectors are one class: a vector that a third of all rows share is routed,
 compared once, and its rows are ranked only where the class is an answer. Leaves beyond
 ``SHARE`` classes are dealt out to several tasks; each task returns the best of its share.
 
-Defined results: null, empty, zero or non-finite vectors and rows without an id take no part,
-nor do vectors whose length is not the most frequent one (the smaller at a tie); ties go to
+Defined results: null, empty, zero or non-finite vectors and rows without an id take no part;
+vectors of one length are searched among themselves, a forest for each length; ties go to
 the smaller id; a repeated row counts once, and an id with different vectors asks once for each;
 rows with the query's id are no candidates; a query without candidates has no rows; an empty table gives an empty result. Other columns are ignored.
 """
@@ -133,14 +133,17 @@ def nearest(
 
     ``is_query`` is a condition on ``vec_id``. ``search`` is where the audit starts.
     """
-    spark = df.sparkSession
-    rows = valid(df, vec_id, embedding)
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    members = materialize(
-        rows.where(F.size("v") == lengths["n"]).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "vectors"
-    )
+    rows = valid(df, vec_id, embedding).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in sorted(r[0] for r in rows.select(F.size("v")).distinct().collect()):
+        out = out.unionAll(_nearest(rows.where(F.size("v") == width), is_query, k, trees, search, sample))
+    return out
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, trees: int, search: int, sample: int) -> DataFrame:
+    """``nearest`` among vectors (vec_id, v) of one length."""
+    spark = rows.sparkSession
+    members = materialize(rows, "vectors")
     classes = materialize(members.groupBy("v").agg(F.min("vec_id").alias("class")), "classes")
     picked = classes.orderBy(F.xxhash64("class"), "class").limit(sample).toPandas()
     points = np.stack(picked["v"].to_numpy())

@@ -16,8 +16,8 @@
 
 Equal vectors are one class and searched once. Centres are fitted on a bounded sample.
 
-Defined results: null, empty, zero or non-finite vectors link with nothing, nor do vectors
-whose length is not the most frequent one (the smaller at a tie); a row without an id links
+Defined results: null, empty, zero or non-finite vectors link with nothing; vectors of one
+length are compared among themselves, a search for each length; a row without an id links
 with nothing and has no component; repeated rows are vectors of their own; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -308,19 +308,26 @@ def near_duplicates(
     df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, overlap: int = 2
 ) -> DataFrame:
     """vec_id, n_links, component_id (the smallest id reachable), kept (it is its own)."""
-    spark = df.sparkSession
     rows = valid(df, vec_id, embedding)
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     every = df.select(F.col(vec_id).cast("long").alias("vec_id"))
-    if lengths is None:
-        own = every.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
-        return own.withColumn("kept", F.col("vec_id").isNotNull())
     # Exact products first: equal vectors stay equal, and tiny or huge ones have a norm.
     big = F.array_max(F.transform("v", F.abs))
     scaled = F.transform("v", lambda x: x / big)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = rows.where(F.size("v") == lengths["n"]).withColumn("v", scaled).withColumn("v", F.transform("v", lambda x: x / norm + F.lit(0.0)))
+    unit = rows.withColumn("v", scaled).withColumn("v", F.transform("v", lambda x: x / norm + F.lit(0.0)))
     members = materialize(unit, "units")
+    of_members = every.sparkSession.createDataFrame([], "vec_id long, n_links long, component_id long")
+    for width in sorted(r[0] for r in members.select(F.size("v")).distinct().collect()):
+        of_members = of_members.unionAll(_linked(members.where(F.size("v") == width), least, overlap))
+    # Rows that took no part: as many as the table has beyond the members, id by id.
+    rest = every.exceptAll(members.select("vec_id")).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
+    return of_members.unionAll(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(members: DataFrame, least: float, overlap: int) -> DataFrame:
+    """vec_id, n_links, component_id of unit vectors (vec_id, v) of one length."""
     classes = materialize(members.groupBy("v").agg(F.min("vec_id").alias("class"), F.count("*").alias("members")), "classes")
     count = classes.count()
     picked = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("v").toPandas()
@@ -354,9 +361,4 @@ def near_duplicates(
         )
     )
     facts = materialize(facts, "facts")
-    of_members = members.join(facts, "v").select("vec_id", "n_links", "component_id")
-    # Rows that took no part: as many as the table has beyond the members, id by id.
-    rest = every.exceptAll(members.select("vec_id")).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
-    )
-    return of_members.unionAll(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return members.join(facts, "v").select("vec_id", "n_links", "component_id")

@@ -177,3 +177,13 @@ def test_rare_links_are_audited_until_seen(spark, monkeypatch):
     want = links(placed)
     assert want.sum() >= 40 and not want[order[:1100]].any()
     assert (found_links(spark, placed) == want).all()
+
+
+def test_vectors_of_every_length_take_part(spark):
+    rows = [(i, [1.0, 0.1 * i, 0.0]) for i in range(1, 6)] + [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [2.0, -1.0]), (200, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: tuple(r)[1:] for r in graph.near_duplicates(df).select("vec_id", "n_links", "component_id").collect()}
+    assert (got[100], got[101], got[102], got[200]) == ((1, 100), (1, 100), (0, 102), (0, 200))
+    assert {got[i][1] for i in range(1, 6)} == {1} and len(got) == len(rows)
+    near = forest.nearest(df, F.col("vec_id") % 100 == 0)
+    assert [tuple(r) for r in near.collect()] == [(100, 1, 101, 0.0), (100, 2, 102, pytest.approx(10**0.5))]
