@@ -195,6 +195,52 @@ def percentiles_of_counts(counts: DataFrame, keys: list[str], metrics: list[str]
     return walked.groupBy(*keys).agg(*percentiles)
 
 
+def usage_daily_sql(rows: str, column: str, name: str) -> str:
+    """``step_family_daily`` and its like as a query over a relation that has a ``day``."""
+    used = f"SELECT day, explode({column}) AS ({name}, used) FROM {rows}"
+    return f"SELECT day, {name}, sum(used) AS n FROM ({used}) GROUP BY day, {name}"
+
+
+def run_daily_sql(rows: str) -> str:
+    """``run_daily`` as a query over a relation that has a ``day``, by the same steps."""
+    sums = {"events": "count(1)", "runs": "sum(run_count)", "scenarios": "sum(scenario_count)"}
+    sums |= {name: f"sum({name})" for name in VERDICT_COLUMNS} | {"distinct_installs": "count(DISTINCT install_id)"}
+    totals = ", ".join(f"{total} AS {name}" for name, total in sums.items())
+    pairs = ", ".join(f"named_struct('metric', '{m}', 'value', cast({m} AS bigint))" for m in TIMINGS)
+    percentiles = ", ".join(f"{_interpolated(m, p)} AS {m}_{p}" for m in TIMINGS for p in PROBABILITIES)
+    group = "PARTITION BY day, metric"
+    return f"""
+        WITH totals AS (SELECT day, {totals} FROM {rows} GROUP BY day),
+        counts AS (
+            SELECT day, metric, value, {_BUCKET} AS bucket, count(1) AS n
+            FROM (SELECT day, inline(array({pairs})) FROM {rows})
+            WHERE value IS NOT NULL
+            GROUP BY day, metric, value
+        ),
+        buckets AS (SELECT day, metric, bucket, sum(n) AS n FROM counts GROUP BY day, metric, bucket),
+        spans AS (
+            SELECT day, metric, bucket, sum(n) OVER ({group}) AS total,
+                sum(n) OVER ({group} ORDER BY bucket) AS upto, sum(n) OVER ({group} ORDER BY bucket) - n AS start
+            FROM buckets
+        ),
+        wanted AS (
+            SELECT day, metric, bucket, start,
+                filter({_wanted_ranks()}, r -> r.rank >= start AND r.rank < upto) AS ranks
+            FROM spans
+        ),
+        walked AS (
+            SELECT day, metric, value, n, ranks,
+                start + sum(n) OVER ({group}, bucket ORDER BY value) AS upto
+            FROM counts JOIN wanted USING (day, metric, bucket)
+            WHERE size(ranks) > 0
+        ),
+        found AS (
+            SELECT day, metric, value, inline(filter(ranks, r -> r.rank >= upto - n AND r.rank < upto)) FROM walked
+        ),
+        timing AS (SELECT day, {percentiles} FROM found GROUP BY day)
+        SELECT {", ".join(_RUN_DAILY)} FROM totals LEFT JOIN timing USING (day)"""
+
+
 def timing_trend(events: DataFrame) -> DataFrame:
     """Daily medians and their change; the ordered window runs over one row per day."""
     daily = timing_percentiles(events.select(_day(events), *TIMINGS), ["day"], TIMINGS)

@@ -115,6 +115,14 @@ class Fixture:
         ingest(store, self.raw.where(F.col("received_at") < EARLY_BEFORE), INGEST_AS_OF)
         return store
 
+    def elsewhere(self, query: str) -> DataFrame:
+        """The rows of a query that another session of the application runs."""
+        other = prepare(self.spark.newSession())
+        path = scratch_path(self.spark, "elsewhere")
+        rows = other.sql(query)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def few_installs(self) -> DataFrame:
         """Two in a hundred users, as (user_id, install_id)."""
         return self.runs.where(F.col("user_id") % 50 == 7).select("user_id", "install_id").distinct()
@@ -242,17 +250,24 @@ def write_ledger(f: Fixture) -> DataFrame:
 
 
 def read_views(f: Fixture) -> DataFrame:
-    f.store.register_views()
-    return f.spark.sql(
-        "SELECT f.day, f.family, f.n, r.events, r.distinct_installs FROM v_step_family_daily f "
-        "JOIN v_run_daily r ON f.day = r.day"
+    """The views that the store keeps, as another session finds them."""
+    f.store.create_views()
+    return f.elsewhere(
+        f"SELECT f.day, f.family, f.n, r.events, r.distinct_installs FROM {f.store.name('v_step_family_daily')} f "
+        f"JOIN {f.store.name('v_run_daily')} r ON f.day = r.day"
     )
 
 
+def read_views_percentiles(f: Fixture) -> DataFrame:
+    f.store.create_views()
+    return _rounded(f.elsewhere(f"SELECT * FROM {f.store.name('v_run_daily')}"))
+
+
 def read_views_pruned(f: Fixture) -> DataFrame:
-    f.store.register_views()
+    f.store.create_views()
     return f.spark.sql(
-        "SELECT * FROM v_step_provider_daily WHERE day BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-25'"
+        f"SELECT * FROM {f.store.name('v_step_provider_daily')} "
+        "WHERE day BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-25'"
     )
 
 
@@ -481,18 +496,45 @@ def stream_rollup(f: Fixture) -> DataFrame:
 
 
 def stream_dedup_window(f: Fixture) -> DataFrame:
-    batches = landing.read_batches(f.spark, f.raw_path, stream=True)
-    out = scratch_path(f.spark, "stream-dedup")
-    query = (
-        streams.dedup_within_window(batches)
-        .select("idempotency_key")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", scratch_path(f.spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start(out)
+    """Arrivals that the streamed dedup lets pass, over five micro-batches on one state.
+
+    After the originals come resends of their last arrivals a few hours later, which are inside
+    the window; 10 days on a third of the users send new keys, which moves the watermark on;
+    20 days on every key returns, its own having left the window; at last these are resent.
+    """
+    landed, out = scratch_path(f.spark, "stream-landed"), scratch_path(f.spark, "stream-dedup")
+    checkpoint = scratch_path(f.spark, "checkpoint")
+    arrivals = f.tagged.select("user_id", "idempotency_key", "received_at")
+    last = f.raw.agg(F.max("received_at")).first()[0]
+
+    def sent(rows: DataFrame, days: float, key: Column | None = None) -> DataFrame:
+        at = F.lit(last) + F.make_dt_interval(hours=F.lit(int(days * 24)))
+        return rows.select((F.col("idempotency_key") if key is None else key).alias("idempotency_key"), at.alias("received_at"))
+
+    fresh = F.sha2(F.concat("idempotency_key", F.lit("fresh")), 256)
+    recent = arrivals.where(F.col("received_at") > F.lit(last) - F.expr("INTERVAL 1 DAY"))
+    waves = [
+        arrivals.select("idempotency_key", "received_at"),
+        sent(recent, 0.25),
+        sent(arrivals.where("user_id % 3 = 0"), 10, fresh),
+        sent(arrivals, 20),
+        sent(arrivals, 20.5),
+    ]
+    for wave in waves:
+        wave.write.mode("append").parquet(landed)
+        stream = f.spark.readStream.schema(wave.schema).parquet(landed)
+        query = (
+            streams.dedup_within_window(stream, days=2)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(out)
+        )
+        query.awaitTermination()
+    passed = f.spark.read.schema("idempotency_key string, received_at timestamp").parquet(out)
+    return passed.groupBy("idempotency_key").agg(
+        F.count(F.lit(1)).alias("passed"), F.count_if(F.col("received_at") > F.lit(last)).alias("later")
     )
-    query.awaitTermination()
-    return f.spark.read.schema("idempotency_key string").parquet(out)
 
 
 def retry_semantics(f: Fixture) -> DataFrame:
@@ -600,11 +642,10 @@ def bootstrap_tables(f: Fixture) -> DataFrame:
     as_of = datetime(2024, 2, 1, tzinfo=timezone.utc)
     store = lifecycle.bootstrap(Store(f.spark, name, STORE_OPTIONS), as_of, scratch_path(f.spark, "boot"))
     ingest(store, f.raw, INGEST_AS_OF)
-    store.register_views()
     held = {
         "telemetry_event": store.events(), "ingest_batch": store.table("ingest_batch"),
         "partition_log": store.table("partition_log"), "default": store.partition("default"),
-        "v_run_daily": f.spark.table("v_run_daily"),
+        "v_run_daily": store.table("v_run_daily"),
     }
     rows = [df.agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("rows")) for table, df in held.items()]
     out = rows[0]
@@ -667,6 +708,7 @@ _FIXTURE_QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "write_ledger": write_ledger,
     "read_views": read_views,
     "read_views_pruned": read_views_pruned,
+    "read_views_percentiles": read_views_percentiles,
     "quarantine_sink": quarantine_sink,
     "check_media_type": _request_check(lambda: text.is_media_type(F.col("content_type"), INGEST_MEDIA_TYPE)),
     "check_idempotency_key": _request_check(lambda: text.is_hex_key(F.col("idempotency_key"))),

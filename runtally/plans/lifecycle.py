@@ -23,7 +23,7 @@ def bootstrap(store: Store, as_of: datetime, location: str | None = None) -> Sto
     store.create_tables(location)
     today = utc(as_of).date()
     ensure_partitions(store, today - timedelta(days=90), today + timedelta(days=7))
-    store.register_views()
+    store.create_views()
     return store
 
 

@@ -309,6 +309,7 @@ ORACLES: dict[str, str] = {
         SELECT f.day, f.family, f.n, d.events, d.distinct_installs FROM f JOIN d ON f.day = d.day""",
     "read_views_pruned": f"""WITH {_STORED} SELECT * FROM ({_PROVIDER_DAILY})
         WHERE day BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-25'""",
+    "read_views_percentiles": f"WITH {_STORED} {_DAILY}",
     "quarantine_sink": f"""WITH {_BATCHES} SELECT idempotency_key, received_at, 'rejected' AS status, 400 AS http_code,
         reason, bad_line AS line_no FROM judged WHERE reason IS NOT NULL""",
     "check_media_type": f"WITH {_REQUESTS} SELECT req_id, media_ok AS ok FROM posts",
@@ -453,7 +454,11 @@ ORACLES: dict[str, str] = {
           SELECT unnest(generate_series(DATE '2024-01-21', DATE '2024-01-31', INTERVAL 1 DAY)) AS d)""",
     "stream_ingest": f"WITH {_STORED} SELECT {_EVENT_COLUMNS}, part FROM stored",
     "stream_rollup": f"WITH {_STORED} {_DAILY}",
-    "stream_dedup_window": f"WITH {_BATCHES} SELECT DISTINCT idempotency_key FROM judged",
+    "stream_dedup_window": f"""WITH {_BATCHES}, visits AS (
+          SELECT DISTINCT idempotency_key, 0 AS later FROM judged
+          UNION ALL SELECT DISTINCT idempotency_key, 1 FROM judged
+          UNION ALL SELECT DISTINCT sha256(idempotency_key || 'fresh'), 1 FROM judged WHERE user_id % 3 = 0)
+        SELECT idempotency_key, count(*) AS passed, CAST(sum(later) AS BIGINT) AS later FROM visits GROUP BY 1""",
     "retry_semantics": f"""WITH {_BATCHES} SELECT 'telemetry_event' AS "table", count(*) AS rows FROM runs WHERE NOT {_LOST}
         UNION ALL SELECT 'ingest_batch', count(*) FROM ledger""",
     "ensure_partitions": f"""WITH {_STORED}, days AS (

@@ -178,9 +178,34 @@ class Store:
         """The recorded outcome of every batch arrival, once each."""
         return self.table("ingest_result").where(~F.col("replayed"))
 
+    def create_views(self) -> None:
+        """Dashboard views kept in the database, for every session that reads its catalog.
+
+        They read the tables as they are when queried, without erased rows; a condition on
+        ``day`` reads the partitions of those days and the default one. ``v_event`` is the
+        event table with the ``day`` that the others group by.
+        """
+        named = "to_timestamp(to_date(part, 'yyyyMMdd'))"
+        queries = {
+            "v_event": f"""
+                WITH kept AS (
+                    SELECT e.* FROM {self.name("telemetry_event")} e LEFT ANTI JOIN {self.name("erasure")} x
+                    ON e.install_id = x.install_id AND coalesce(e.generation, -1) <= x.upto
+                )
+                SELECT {named} AS day, * FROM kept WHERE part <> '{DEFAULT_PART}'
+                UNION ALL
+                SELECT date_trunc('day', event_timestamp) AS day, * FROM kept WHERE part = '{DEFAULT_PART}'"""
+        }
+        rows = self.name("v_event")
+        queries["v_run_daily"] = rollups.run_daily_sql(rows)
+        queries["v_step_family_daily"] = rollups.usage_daily_sql(rows, "step_families", "family")
+        queries["v_step_provider_daily"] = rollups.usage_daily_sql(rows, "step_providers", "provider")
+        for view, query in queries.items():
+            self.spark.sql(f"CREATE OR REPLACE VIEW {self.name(view)} AS {query}")
+
     def register_views(self, first: date | None = None, last: date | None = None) -> None:
-        """Dashboard views for SQL, over the whole store or a range of days; a condition on
-        ``day`` reads the partitions of those days and the default one."""
+        """The dashboard views as temporary ones of this session, over the whole store or a
+        range of days; a condition on ``day`` prunes as in ``create_views``."""
         for view, rollup in VIEWS.items():
             rollup(self.events_with_day(first, last, later=True)).createOrReplaceTempView(view)
 

@@ -40,9 +40,17 @@ def stream_ingest(
     return writer.start()
 
 
+#: Keeps the state of streamed operators on the executors' disks, so that it may outgrow memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def dedup_within_window(batches: DataFrame, days: int = 35) -> DataFrame:
     """Streaming twin of the ledger: a batch key counts once within the window.
 
-    State is bounded by the window; the ledger stays the authority.
+    A key is held for at least ``days`` after its first arrival and is let go once the watermark
+    (the latest arrival of earlier micro-batches, less ``days``) has passed that time; then it
+    counts anew. Arrivals older than the watermark are dropped. State is bounded by the window
+    and kept in RocksDB, which is set for the session's streams; the ledger stays the authority.
     """
+    batches.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return batches.withWatermark("received_at", f"{days} days").dropDuplicatesWithinWatermark(["idempotency_key"])
