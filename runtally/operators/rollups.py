@@ -121,6 +121,36 @@ def distinct_installs_approx(events: DataFrame, rsd: float = 0.02) -> DataFrame:
     )
 
 
+#: Sketches of 2^14 registers: a standard error of 0.8 % (1.04 / sqrt(2^14)) and at most 16 KB a day.
+SKETCH_SIZE = 14
+PERIODS = ["day", "week", "month", "quarter", "year"]
+
+
+def install_sketches_of(summed: DataFrame) -> DataFrame:
+    """A mergeable sketch of each day's installs, from partials."""
+    installs = summed.where("kind = 'install' AND n > 0")
+    return installs.groupBy("day").agg(F.hll_sketch_agg("name", SKETCH_SIZE).alias("sketch"))
+
+
+def _period(period: str) -> Column:
+    if period not in PERIODS:
+        raise ValueError(f"the period must be one of {', '.join(PERIODS)}, not {period}")
+    return F.date_trunc(period, "day").alias("start")
+
+
+def installs_of_sketches(sketches: DataFrame, period: str) -> DataFrame:
+    """Estimated distinct installs per period (weeks begin on Monday): an install that is seen on
+    many days counts once. One row per day is read, whatever the number of events."""
+    merged = sketches.groupBy(_period(period)).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("start", F.hll_sketch_estimate("sketch").alias("distinct_installs"))
+
+
+def installs_of_partials(partials: DataFrame, period: str) -> DataFrame:
+    """The exact count that ``installs_of_sketches`` estimates; shuffles each install once per period and task."""
+    installs = partials.where("kind = 'install'").groupBy(_period(period), "name").agg(F.sum("n").alias("n"))
+    return installs.where("n > 0").groupBy("start").agg(F.count(F.lit(1)).alias("distinct_installs"))
+
+
 # Order-preserving bucket of a bigint: its sign, bit length and ten leading bits. At most
 # about 58,000 buckets exist, each spanning under 0.2% of its values' size.
 _SIZE = "abs(greatest(value, -9223372036854775807))"

@@ -495,6 +495,21 @@ def stream_rollup(f: Fixture) -> DataFrame:
     return _rounded(f.streamed.table("run_daily").drop("rollup_day"))
 
 
+def distinct_installs_by_period(f: Fixture) -> DataFrame:
+    """Weeks and months after an erasure: the exact count, and whether the estimate from the daily
+    sketches is within four standard errors of it."""
+    store = f.queue_forgets(f.rolled("sketched"))
+    lifecycle.forget_drain(store, RETENTION_AS_OF)
+    out = None
+    for period in ("week", "month"):
+        guess = stored_rollups.distinct_installs(store, period).withColumnRenamed("distinct_installs", "_guess")
+        rows = stored_rollups.distinct_installs(store, period, exact=True).join(guess, "start", "left")
+        far = F.abs(F.col("_guess") - F.col("distinct_installs")) > F.greatest(F.lit(1.0), F.col("distinct_installs") * 0.032)
+        rows = rows.select(F.lit(period).alias("period"), "start", "distinct_installs", (~F.coalesce(far, F.lit(True))).alias("near"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 def stream_dedup_window(f: Fixture) -> DataFrame:
     """Arrivals that the streamed dedup lets pass, over five micro-batches on one state.
 
@@ -755,6 +770,7 @@ _FIXTURE_QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "v_step_provider_daily": lambda f: rollups.step_provider_daily(f.store.events()),
     "pctl_timing": pctl_timing,
     "distinct_installs": lambda f: rollups.distinct_installs(f.store.events()),
+    "distinct_installs_by_period": distinct_installs_by_period,
     "batch_summary": batch_summary,
     "ingest_result": ingest_result,
     "partition_inventory": partition_inventory,

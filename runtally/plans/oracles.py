@@ -401,6 +401,11 @@ ORACLES: dict[str, str] = {
         FROM stored GROUP BY 1""",
     "distinct_installs": f"""WITH {_STORED} SELECT date_trunc('day', event_timestamp) AS day,
         count(DISTINCT install_id) AS distinct_installs FROM stored GROUP BY 1""",
+    "distinct_installs_by_period": f"""WITH {_STORED}, left_over AS (SELECT * FROM stored WHERE NOT {_ERASED})
+        SELECT 'week' AS period, CAST(date_trunc('week', event_timestamp) AS TIMESTAMP) AS start,
+          count(DISTINCT install_id) AS distinct_installs, TRUE AS near FROM left_over GROUP BY 2
+        UNION ALL SELECT 'month', CAST(date_trunc('month', event_timestamp) AS TIMESTAMP),
+          count(DISTINCT install_id), TRUE FROM left_over GROUP BY 2""",
     "batch_summary": f"""WITH {_BATCHES} SELECT idempotency_key, '00000000-0000-4000-8000-' || padded AS install_id,
         CAST(n_lines AS INTEGER) AS line_count, received_at FROM judged WHERE reason IS NULL""",
     "ingest_result": f"""WITH {_BATCHES}, added AS (

@@ -29,6 +29,7 @@ ROLLUPS = {
     "run_daily": rollups.run_daily_of,
     "step_family_daily": lambda partials: rollups.usage_daily_of(partials, "family"),
     "step_provider_daily": lambda partials: rollups.usage_daily_of(partials, "provider"),
+    "install_sketch": rollups.install_sketches_of,
 }
 
 
@@ -144,6 +145,17 @@ def refresh(store: Store, days: list[date]) -> None:
     _drop(store, "rollup_partial", [day for day in days if day not in filled])
 
 
+def distinct_installs(store: Store, period: str, exact: bool = False) -> DataFrame:
+    """(start, distinct_installs) per day, week, month, quarter or year of the stored days.
+
+    Estimated from the daily sketches, or counted from the partials. Erased installs are in
+    neither once their erasure was drained.
+    """
+    if exact:
+        return rollups.installs_of_partials(store.table("rollup_partial"), period)
+    return rollups.installs_of_sketches(store.table("install_sketch"), period)
+
+
 def compact(store: Store) -> int:
     """Add up the partials of each day that lie in several files; returns the days rewritten."""
     rows = store.table("rollup_partial")

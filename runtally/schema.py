@@ -133,4 +133,5 @@ TABLES = {
     ),
     "step_family_daily": ("day timestamp, family string, n bigint, rollup_day string", ["rollup_day"]),
     "step_provider_daily": ("day timestamp, provider string, n bigint, rollup_day string", ["rollup_day"]),
+    "install_sketch": ("day timestamp, sketch binary, rollup_day string", ["rollup_day"]),
 }

@@ -5,11 +5,13 @@ from datetime import date
 
 import numpy as np
 import pytest
-from conftest import NOW, batches, event_line
+from conftest import NOW, batches, event_line, install
 from pyspark.sql import functions as F
 
 from runtally.operators import reports, rollups
+from runtally.plans import lifecycle, stored_rollups
 from runtally.plans.ingest import ingest
+from runtally.session import prepare
 
 
 def exact(values, p):
@@ -78,6 +80,59 @@ def test_views(spark, store):
     assert [r["events"] for r in spark.table("v_run_daily").collect()] == [1]
 
 
+def test_kept_views(spark, store):
+    """Another session reads the views without a call; they follow the tables and erasures."""
+    store.create_views()
+    lines = [event_line(n, f"2026-06-{20 + n % 4}T0{n % 7}:00:00Z", startup=n * n) for n in range(40)]
+    lines += [event_line(n, "2020-01-01T00:00:00Z") for n in range(3)]
+    ingest(store, batches(spark, (1, lines)), NOW)
+    kept = {
+        "v_run_daily": rollups.run_daily,
+        "v_step_family_daily": rollups.step_family_daily,
+        "v_step_provider_daily": rollups.step_provider_daily,
+    }
+
+    def check():
+        other = prepare(spark.newSession())
+        for view, rollup in kept.items():
+            found, right = other.table(store.name(view)), rollup(store.events())
+            assert found.schema.names == right.schema.names
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, right.collect()))
+
+    check()
+    store.request_forget(spark.createDataFrame([(install(5), NOW), (install(8), NOW)], "install_id string, requested_at timestamp"))
+    lifecycle.forget_drain(store, NOW)
+    assert store.events().count() == 41
+    check()
+    found = spark.sql(f"SELECT * FROM {store.name('v_run_daily')} WHERE day = TIMESTAMP '2026-06-21'")
+    assert [r["day"].day for r in found.collect()] == [21]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    scans = [s.split("]")[0] for s in plan.split("PartitionFilters: [")[1:]]
+    dated = [s for s in scans if "to_date" in s or "gettimestamp" in s or "2026-06-21" in s]
+    assert dated and all("part#" in s for s in dated)
+    # an old definition is replaced, not an error
+    store.create_views()
+
+
+def test_installs_over_periods(spark, store):
+    day = [20, 21, 22, 23, 29]  # a Saturday, a Sunday, the next Monday and Tuesday, and the Monday after
+    lines = [event_line(n, f"2026-06-{day[k]}T01:00:00Z") for n in range(60) for k in range(5) if (n + k) % 2 or n < 10]
+    ingest(store, batches(spark, (1, lines)), NOW, with_rollups=True)
+    count = lambda period, exact: {
+        (r["start"].month, r["start"].day): r["distinct_installs"]
+        for r in stored_rollups.distinct_installs(store, period, exact).collect()
+    }
+    assert count("week", True) == {(6, 15): 60, (6, 22): 60, (6, 29): 35}
+    assert count("month", True) == {(6, 1): 60}
+    for period in ("day", "week", "month"):
+        assert count(period, False) == pytest.approx(count(period, True), rel=0.032)
+    store.request_forget(spark.createDataFrame([(install(n), NOW) for n in range(20)], "install_id string, requested_at timestamp"))
+    lifecycle.forget_drain(store, NOW)
+    assert count("month", True) == {(6, 1): 40} and count("month", False) == pytest.approx({(6, 1): 40}, rel=0.032)
+    with pytest.raises(ValueError, match="period"):
+        stored_rollups.distinct_installs(store, "decade")
+
+
 def test_approximate_installs_are_close(spark, store):
     lines = [event_line(n, "2026-06-28T00:00:00Z") for n in range(400)]
     ingest(store, batches(spark, (1, lines)), NOW)

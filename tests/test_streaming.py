@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pytest
 from conftest import NOW, batches, event_line, install
 
 from runtally.operators import rollups
@@ -83,6 +84,45 @@ def test_dedup_within_window(spark, tmp_path):
     assert sorted(r["body"] for r in kept) == ["a", "b", "c"]
 
 
+def test_keys_leave_the_window_and_return(spark, tmp_path):
+    source = str(tmp_path / "in")
+
+    def run():
+        stream = dedup_within_window(landing.read_batches(spark, source, stream=True), days=2)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+        query = writer.trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        return query.lastProgress
+
+    days = [(0, 1), (0.5, 1), (5, 2), (9, 1), (9.5, 1), (3, 3)]  # the last is older than the watermark
+    for n, (after, key) in enumerate(days):
+        land(spark, source, (key, f"body {n}", NOW + timedelta(days=after)))
+        last = run()
+    kept = spark.read.schema("body string").parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["body"] for r in kept) == ["body 0", "body 2", "body 3"]
+    state = last["stateOperators"][0]
+    assert state["numRowsTotal"] == 1 and any(name.startswith("rocksdb") for name in state["customMetrics"])
+
+
+def test_loaded_files_are_archived(spark, store, tmp_path):
+    source, archive = tmp_path / "landing", tmp_path / "archive"
+
+    def run():
+        stream = landing.read_batches(spark, str(source), stream=True, max_bytes=1 << 20, archive=str(archive))
+        stream_ingest(store, stream, str(tmp_path / "ck"), NOW, with_rollups=False).awaitTermination()
+
+    land(spark, str(source), (1, event_line(1)))
+    first = {p.name for p in source.glob("*.parquet")}
+    run()
+    land(spark, str(source), (2, event_line(2)))
+    run()
+    assert {p.name for p in archive.rglob("*.parquet")} == first
+    assert len(list(source.glob("*.parquet"))) == 1
+    assert sorted(r["install_id"] for r in store.events().collect()) == [install(1), install(2)]
+    with pytest.raises(ValueError, match="files or by bytes"):
+        landing.read_batches(spark, str(source), stream=True, max_files=1, max_bytes=1 << 20)
+
+
 def test_body_files(spark, store, tmp_path):
     folder = tmp_path / "drop"
     folder.mkdir()
