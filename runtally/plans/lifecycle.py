@@ -24,6 +24,7 @@ def bootstrap(store: Store, as_of: datetime, location: str | None = None) -> Sto
     today = utc(as_of).date()
     ensure_partitions(store, today - timedelta(days=90), today + timedelta(days=7))
     store.create_views()
+    store.register_views()  # the short names, in this session
     return store
 
 
