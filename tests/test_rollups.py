@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from datetime import date
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -9,7 +9,7 @@ from conftest import NOW, batches, event_line, install
 from pyspark.sql import functions as F
 
 from runtally.operators import reports, rollups
-from runtally.plans import lifecycle, stored_rollups
+from runtally.plans import catalog, lifecycle, stored_rollups
 from runtally.plans.ingest import ingest
 from runtally.session import prepare
 
@@ -149,6 +149,16 @@ def test_taxonomy_audit_and_ranking(spark, store):
     assert reports.events_by_install(store.events(), "00000000-0000-4000-8000-000000000002").count() == 1
 
 
+def test_taxonomy_query_reports_every_stored_family(spark, tmp_path):
+    at = datetime(2024, 1, 12, 9)
+    kinds = ["view", "click", "purchase", "error", "signup"]
+    rows = [(i, at, user, kind, 1.0, '{"k": 1}') for i, (user, kind) in enumerate((u, k) for u in (1, 2) for k in kinds)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    found = {tuple(r) for r in catalog.QUERIES["audit_taxonomy"](spark, str(tmp_path)).collect()}
+    assert found == {(kind, 2, 2) for kind in kinds}
+
+
 def test_rollups_scan_only_what_they_need(spark, store):
     plan = rollups.step_family_daily(store.events())._jdf.queryExecution().executedPlan().toString()
     schema = plan.split("ReadSchema: ")[1].split("\n")[0]
