@@ -6,6 +6,7 @@ import pytest
 from conftest import NOW, batches, event_line, install
 
 from runtally.operators import rollups
+from runtally.plans.ingest import ingest
 from runtally.sources import landing
 from runtally.streaming.ingest import dedup_within_window, stream_ingest
 
@@ -134,3 +135,18 @@ def test_body_files(spark, store, tmp_path):
     stream_ingest(store, stream, str(tmp_path / "ck"), NOW, with_rollups=False).awaitTermination()
     assert sorted(r["install_id"] for r in store.events().collect()) == [install(1), install(2)]
     assert [r["http_code"] for r in store.table("batch_verdict").collect()] == [415]
+
+
+def test_one_landed_file_is_judged_on_all_cores(spark, store, tmp_path, monkeypatch):
+    source, tasks = str(tmp_path / "in"), []
+    land(spark, source, *[(i, event_line(i)) for i in range(50)])
+
+    def judged(local, rows, *rest):
+        tasks.append(rows.rdd.getNumPartitions())
+        return ingest(local, rows, *rest)
+
+    monkeypatch.setattr("runtally.streaming.ingest.ingest", judged)
+    stream = landing.read_batches(spark, source, stream=True, max_files=1)
+    stream_ingest(store, stream, str(tmp_path / "ck"), NOW, with_rollups=False).awaitTermination()
+    assert tasks == [spark.sparkContext.defaultParallelism]
+    assert store.events().count() == 50
