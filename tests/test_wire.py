@@ -195,3 +195,25 @@ def test_timestamps(spark, sent, instant):
     assert (row["fault"] is None) == (instant is not None)
     if instant:
         assert row["event"]["event_timestamp"] == instant
+
+
+def test_lines_of_the_frozen_form_give_what_the_whole_chain_gives(spark):
+    frozen = [
+        LINE_ONE, LINE_TWO, swap("06-28", "02-30"), swap("T12", "T25"), swap("+00:00", "+14:00"), swap("+00:00", "Z"),
+        swap('"http":3,"db', '"http":3,"http":9,"db'), swap('{"http":3,"db-assert":1,"custom":1}', "{}"),
+        swap('"startupMs":1234', '"startupMs":999999999999999999'), swap("5555", "ABCD"),
+        swap('{"http":3,', "{" + "".join(f'"k{i}":{i},' for i in range(20000))),
+    ]
+    others = [
+        "{not", "null", "", None, LINE_ONE + " x", LINE_ONE + "," + LINE_TWO, swap('"1.0.0"', '"1.0.\\u0030"'), swap("1.0.0", "é"),
+        swap('"pass":5,', ""), swap('"pass":5', '"pass":05'), swap('"runCount":1', '"runCount":3000000000'), swap("2026", "0000"), swap(".NET", "\x01" * 19),
+        swap('"http":3', '"http,x:y":3'),
+        swap("+00:00", "+14:30"), swap("+00:00", ""), swap(".789", ".7891234"), swap(":1}", ":null}"), swap('"runCount":1,', ""),
+        swap('"startupMs":1234', '"startupMs":12345678901234567890'), swap('"runCount":1', '"runCount":1,"runCount":1'),
+    ]
+    df = spark.createDataFrame([(frozen + others,), ([],), (None,), (others,)], "l array<string>")
+    for row in df.select(wire.checked_lines("l").alias("new"), F.expr(wire._checked_by_chain("l")).alias("old")).collect():
+        assert row["new"] == row["old"]
+    lines = spark.createDataFrame([(line,) for line in frozen + others], "l string")
+    told = [row[0] for row in lines.select(F.expr(f"l rlike r'{wire._frozen_line()}'")).collect()]
+    assert told == [True] * len(frozen) + [None if line is None else False for line in others]
