@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from runtally.llm.components import components
 from runtally.llm.words import bounded_batches, mixed, portions, shingles, texts_words
-from runtally.session import materialize
+from runtally.session import delete_path, materialize, scratch_path
 
 #: A shingle in at least so many documents of one Arrow batch counts as common, and so many
 #: of the most common ones are put last. Both shape the order only; any order gives all links.
@@ -45,7 +45,7 @@ COMMON, ORDERED = 16, 1 << 17
 #: Longs of the bitmap that a posting of the exact round carries.
 SKETCH = 4
 #: Characters of text whose words are hashed at once.
-PORTION = 2 << 20
+PORTION = 1 << 19
 
 
 def _sets(texts: pa.Array, width: int):
@@ -184,11 +184,30 @@ def similar_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, or its own)."""
-    bounded_batches(docs.sparkSession)
-    signed = materialize(signatures(docs, doc_id, text, width, percent), "signatures")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    folder = scratch_path(spark, "jaccard")
+    try:
+        return _similar(docs, doc_id, text, width, percent, folder)
+    except BaseException:
+        delete_path(spark, folder)
+        raise
+
+
+def _similar(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, folder: str) -> DataFrame:
+    """``similar_documents`` with its intermediate results in ``folder``: each is deleted once all that
+    read it are stored, so that they do not add up on disk; what the result reads stays."""
+    keep = lambda df, name: materialize(df, name, folder)
+
+    def drop(*names: str) -> None:
+        for name in names:
+            delete_path(docs.sparkSession, f"{folder}/{name}")
+
+    signed = keep(signatures(docs, doc_id, text, width, percent), "signatures")
+    digests = keep(signed.select("doc_id", "n", "sig_a", "sig_b"), "digests")
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
     key = F.xxhash64("n", "prefix")
-    classes = materialize(
+    classes = keep(
         sets.groupBy("n", "sig_a", "sig_b").agg(
             F.min("doc_id").alias("class"), F.count("*").alias("docs"), F.min(key).alias("prefix_key")
         ),
@@ -199,26 +218,27 @@ def similar_documents(
 
     sizes = facts.select("node", "n").distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The linked ones of (a, b) class pairs, a < b.
+    def verified(pairs: DataFrame, stage: str) -> DataFrame:
+        """The linked ones of (a, b) class pairs, a < b; reads what is kept as ``stage``.
 
         Sizes alone rule out most pairs; bitmaps travel for the nodes of the others only.
         """
         pairs = pairs.distinct()
         for end in "ab":
             pairs = pairs.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
-        fitting = materialize(pairs.where(_sizes_fit("n_a", "n_b", percent)), "fitting")
+        fitting = keep(pairs.where(_sizes_fit("n_a", "n_b", percent)), f"{stage}/fitting")
         ends = fitting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = materialize(facts.join(ends, "node", "leftsemi"), "bitmaps")
+        known = keep(facts.join(ends, "node", "leftsemi"), f"{stage}/bitmaps")
         near = fitting
         for end in "ab":
             near = near.join(known.select(*(F.col(c).alias(x) for c, x in (("node", end), ("n", f"n_{end}"), ("bits", f"bits_{end}")))), [end, f"n_{end}"])
         # 100 s >= percent (na + nb - s) with s = (na + nb - d) / 2 bounds the difference d
         room = (F.col("n_a") + F.col("n_b")) * (100 - percent)
         near = near.where(_different("bits_a", "bits_b") * (100 + percent) <= room)
-        near = materialize(near.select("a", "b", "n_a", "n_b").distinct(), "candidates")
+        near = keep(near.select("a", "b", "n_a", "n_b").distinct(), f"{stage}/candidates")
+        drop(f"{stage}/fitting", f"{stage}/bitmaps")
         nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = materialize(full_sets(docs, materialize(nodes, "nodes"), doc_id, text, width), "sets")
+        texts = keep(full_sets(docs, keep(nodes, f"{stage}/nodes"), doc_id, text, width), f"{stage}/sets")
         left = near.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         shared = F.size(F.array_intersect("left", "right"))
@@ -226,7 +246,7 @@ def similar_documents(
 
     # Groups of classes with one size and prefix; the first class stands for the group.
     grouped = classes.groupBy("n", "prefix_key").agg(F.min("class").alias("group"))
-    member = materialize(
+    member = keep(
         classes.join(grouped, ["n", "prefix_key"]).select("class", "n", "group"), "members"
     )
     leaders = member.where("class = group").select(F.col("class").alias("doc_id"))
@@ -238,34 +258,37 @@ def similar_documents(
         .where("pivot <> last")
         .select("shingle", "pivot")
     )
-    postings = materialize(exploded.join(several, "shingle"), "postings")
+    postings = keep(exploded.join(several, "shingle"), "postings")
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     star_pairs = (
         postings.where("group <> pivot")
         .select(*ordered("group", "pivot"))
         .unionAll(member.where("class <> group").select(*ordered("group", "class")))
     )
-    links = materialize(verified(star_pairs), "star-links")
-    found = materialize(components(links), "star-components")
+    links = keep(verified(star_pairs, "star"), "star-links")
+    drop("star")
+    found = keep(components(links), "star-components")
 
     # Exact round: what shares a shingle and is not in one component yet.
     owned = member.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn(
         "component", F.coalesce("component", "class")
     )
-    owned = materialize(owned, "owned")
+    owned = keep(owned, "owned")
     spans = owned.groupBy("group").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.count("*").alias("sets")
     )
     places = postings.select("shingle", "group", "pos")
     within = places.join(spans.select("group", "low", "high"), "group")
     mixed_shingles = within.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h")
-    left_open = materialize(places.join(mixed_shingles.select("shingle"), "shingle", "leftsemi"), "left-open")
+    left_open = keep(places.join(mixed_shingles.select("shingle"), "shingle", "leftsemi"), "left-open")
+    drop("postings", "star-components")
     # Sizes and bitmaps meet the narrow postings last; a group of several sets has no one bitmap.
     groups = spans.join(left_open.select("group").distinct(), "group", "leftsemi")
     sketches = facts.select(F.col("node").alias("group"), _folded("bits").alias("bits")).dropDuplicates(["group"])
     alone = groups.where("sets = 1").select("group").join(sketches, "group")
-    described = materialize(groups.join(alone, "group", "left"), "groups")
-    open_postings = materialize(left_open.join(described, "group"), "open")
+    described = keep(groups.join(alone, "group", "left"), "groups")
+    open_postings = keep(left_open.join(described, "group"), "open")
+    drop("left-open", "groups")
     one, two = open_postings.alias("x"), open_postings.alias("y")
     room = (F.col("x.n") + F.col("y.n")) * (100 - percent)
     near = F.coalesce(_different("x.bits", "y.bits") * (100 + percent) <= room, F.lit(True))
@@ -287,16 +310,18 @@ def similar_documents(
     class_pairs = (
         group_pairs.join(firsts, "g").join(seconds, "h").where("ka <> kb AND (g <> h OR ca < cb)")
     ).select(*ordered("ca", "cb"))
-    more = verified(class_pairs)
-    component = components(materialize(links.unionAll(more), "links"))
+    more = verified(class_pairs, "exact")
+    drop("signatures", "open", "members", "owned")
+    every = keep(links.unionAll(more), "links")
+    drop("exact", "star-links")
+    component = keep(components(every), "components")
+    drop("links")
     by_set = (
         classes.join(component.select(F.col("node").alias("class"), "component"), "class", "left")
         .select("n", "sig_a", "sig_b", F.coalesce("component", "class").alias("component_id"), "docs", "class")
         .where("docs > 1 OR component_id <> class")
         .select("n", "sig_a", "sig_b", "component_id")
     )
-    rows = signed.select("doc_id", "n", "sig_a", "sig_b").join(
-        by_set, ["n", "sig_a", "sig_b"], "left"
-    )
+    rows = digests.join(by_set, ["n", "sig_a", "sig_b"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

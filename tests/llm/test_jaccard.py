@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 
 from runtally.llm import jaccard
 from runtally.llm.components import components
+from runtally.session import shared_dir
 
 
 def brute(rows, width, percent):
@@ -76,3 +78,14 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     assert {got[i] for i in range(100, 161)} == {100}
     assert {got[i] for i in [5, *range(200, 260)]} == {5}
     assert got[301] == 300 and 9 not in got
+
+
+def test_only_what_the_result_reads_stays_on_disk(spark):
+    rows = [(i, " ".join(f"w{(i // 3) * 40 + k + (i % 3 == 2) * (k == 7) * 1000}" for k in range(40))) for i in range(30)]
+    folders = lambda: set(Path(shared_dir(spark), "runtally").glob("jaccard-*"))
+    before = folders()
+    result = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=75)
+    (made,) = folders() - before
+    held = {path.parent.relative_to(made).as_posix() for path in made.rglob("*.parquet")}
+    assert held == {"digests", "classes", "components"}
+    assert sorted(map(tuple, result.collect())) == sorted(brute(rows, 4, 75))
