@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runtally.llm.words import portions
+from runtally.llm.words import portions, trimmed
 
 BITS, LONGEST, SWITCH, SMOOTHING = 16, 4, 12.0, 0.5
 #: A language is a candidate for a script that at least this share of its words is in.
@@ -196,7 +196,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 )
 
     known = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).where(F.col(lang).isNotNull())
-    sums = known.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = known.mapInArrow(trimmed(counted), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # One row per language: bounded by languages x 2^BITS.
     rows = (
         sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).toPandas().sort_values("lang")
@@ -280,7 +280,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", spans: bool = True)
             old = [batch.column(names.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*old, *made], names=[*kept, *schema.names])
 
-    return docs.mapInArrow(work, T.StructType([*(docs.schema[c] for c in kept), *schema.fields]))
+    return docs.mapInArrow(trimmed(work), T.StructType([*(docs.schema[c] for c in kept), *schema.fields]))
 
 
 def predict(model: Model, texts: list[str | None], spans: bool) -> list[pa.Array]:

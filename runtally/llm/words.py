@@ -7,8 +7,10 @@ the hashes of its words in order.
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; the allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
+def trimmed(work: Callable) -> Callable:
+    """``work`` for ``mapInArrow``; what it freed goes back at the task's end, as a worker stays
+    alive beside the executor's next stages, which may need no Python at all."""
+
+    def whole(batches):
+        yield from work(batches)
+        give_back()
+
+    return whole
+
+
 def portions(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
     """The texts in order, in lists of about ``size`` characters; one text may exceed it."""
     held, length = [], 0
