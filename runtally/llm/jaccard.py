@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runtally.llm.components import components
-from runtally.llm.words import bounded_batches, mixed, portions, shingles, texts_words
-from runtally.session import delete_path, materialize, scratch_path
+from runtally.llm.words import bounded_batches, mixed, portions, shingles, texts_words, trimmed
+from runtally.session import delete_path, materialize, scratch_path, tidy_shuffles
 
 #: A shingle in at least so many documents of one Arrow batch counts as common, and so many
 #: of the most common ones are put last. Both shape the order only; any order gives all links.
@@ -67,7 +67,7 @@ def common_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray,
                 [pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "docs"]
             )
 
-    seen = docs.select(F.col(text).cast("string")).mapInArrow(work, "shingle long, docs long")
+    seen = docs.select(F.col(text).cast("string")).mapInArrow(trimmed(work), "shingle long, docs long")
     top = seen.groupBy("shingle").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "shingle").limit(ORDERED)
     rows = top.toPandas()
     values = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, percent: int
             )
 
     plain = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    return plain.mapInArrow(work, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, bits array<long>")
+    return plain.mapInArrow(trimmed(work), "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, bits array<long>")
 
 
 def parities(found: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width:
             )
 
     plain = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return plain.join(nodes, "node", "leftsemi").mapInArrow(work, "node long, shingles array<long>")
+    return plain.join(nodes, "node", "leftsemi").mapInArrow(trimmed(work), "node long, shingles array<long>")
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -188,7 +188,8 @@ def similar_documents(
     bounded_batches(spark)
     folder = scratch_path(spark, "jaccard")
     try:
-        return _similar(docs, doc_id, text, width, percent, folder)
+        with tidy_shuffles(spark):
+            return _similar(docs, doc_id, text, width, percent, folder)
     except BaseException:
         delete_path(spark, folder)
         raise
@@ -252,13 +253,17 @@ def _similar(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
     leaders = member.where("class = group").select(F.col("class").alias("doc_id"))
     prefixes = sets.select("doc_id", "prefix").join(leaders, "doc_id", "leftsemi")
     exploded = prefixes.select(F.posexplode("prefix").alias("pos", "shingle"), F.col("doc_id").alias("group"))
-    several = (
+    # A query of its own: all prefix shingles are shuffled here and again in the join behind it, and
+    # of the two only one lies on disk at a time.
+    several = keep(
         exploded.groupBy("shingle")
         .agg(F.min("group").alias("pivot"), F.max("group").alias("last"))
         .where("pivot <> last")
-        .select("shingle", "pivot")
+        .select("shingle", "pivot"),
+        "several",
     )
     postings = keep(exploded.join(several, "shingle"), "postings")
+    drop("several")
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     star_pairs = (
         postings.where("group <> pivot")

@@ -1,11 +1,12 @@
 import random
+import time
 from pathlib import Path
 
 import pytest
 
-from runtally.llm import jaccard
+from runtally.llm import jaccard, words
 from runtally.llm.components import components
-from runtally.session import shared_dir
+from runtally.session import shared_dir, tidy_shuffles
 
 
 def brute(rows, width, percent):
@@ -89,3 +90,40 @@ def test_only_what_the_result_reads_stays_on_disk(spark):
     held = {path.parent.relative_to(made).as_posix() for path in made.rglob("*.parquet")}
     assert held == {"digests", "classes", "components"}
     assert sorted(map(tuple, result.collect())) == sorted(brute(rows, 4, 75))
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_do_not_add_up(spark):
+    """Each step's shuffles go when it is stored; the setting is as before, also after a failure."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    rnd = random.Random(5)
+    rows = [(i, text) for i, text in enumerate(t for _ in range(4) for t in family(rnd, 5, 40, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffle_files(spark)
+    found = jaccard.similar_documents(docs, width=4, percent=85)
+    until = time.time() + 30
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(key) == setting
+    # read lazily, and more than once
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, found.collect())) == sorted(brute(rows, 4, 85))
+    with pytest.raises(ValueError):
+        with tidy_shuffles(spark):
+            raise ValueError
+    assert spark.conf.get(key) == setting
+
+
+def test_worker_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(len(calls)))
+    steps = words.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(steps) == 2 and next(steps) == 3 and not calls
+    assert next(steps, None) is None and calls == [0]
+    monkeypatch.undo()
+    words.give_back()
