@@ -39,11 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runtally.llm.words import bounded_batches, mixed, texts_words
-from runtally.session import scratch_path
+from runtally.llm.words import bounded_batches, mixed, texts_words, trimmed, trimmed_group
+from runtally.session import scratch_path, tidy_shuffles
 
 #: Counts up to K are discounted. Bytes of text per batch; one text may exceed it.
-K, BATCH = 5, 4 << 20
+K, BATCH = 5, 2 << 20
 #: Buckets for each shuffle partition: a partition takes up one after the other.
 SPLIT = 3
 
@@ -162,7 +162,7 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append((k, number, payload))
             yield _rows(rows, ["bucket", "batch", "payload"], [pa.int32(), pa.int64(), pa.binary()])
 
-    return docs.mapInArrow(work, "bucket int, batch long, payload binary")
+    return docs.mapInArrow(trimmed(work), "bucket int, batch long, payload binary")
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]):
@@ -207,7 +207,7 @@ def tally(asked: DataFrame) -> DataFrame:
         types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), longs, longs]
         return pa.Table.from_batches([_rows(rows, names, types)])
 
-    return asked.groupBy("bucket").applyInArrow(work, _TALLY)
+    return asked.groupBy("bucket").applyInArrow(trimmed_group(work), _TALLY)
 
 
 def discounts(times: np.ndarray) -> np.ndarray:
@@ -343,9 +343,9 @@ def settle(docs: DataFrame, answers: DataFrame, buckets: int, model: Model) -> D
             )
         return pa.table(columns, names=list(out))
 
-    planned = docs.mapInArrow(plans, "batch long, bucket int, payload binary")
+    planned = docs.mapInArrow(trimmed(plans), "batch long, bucket int, payload binary")
     both = planned.unionAll(answers.select("batch", "bucket", "payload"))
-    return both.groupBy("batch").applyInArrow(work, _SETTLED)
+    return both.groupBy("batch").applyInArrow(trimmed_group(work), _SETTLED)
 
 
 def lm_scores(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -362,7 +362,8 @@ def lm_scores(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: str = "
         F.col(text).cast("string").alias("text"),
         F.coalesce(F.expr(learn), F.lit(False)).alias("train"),
     )
-    tally(ask(plain, buckets)).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/counts")
+    with tidy_shuffles(spark):
+        tally(ask(plain, buckets)).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/counts")
     counted = spark.read.schema(_TALLY).parquet(f"{path}/counts")
     # Two short rows per bucket.
     stats = counted.where("kind = 'stats'").select("order", "counts").toPandas()
@@ -371,9 +372,10 @@ def lm_scores(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: str = "
     ]
     model = Model(*times)
     settled_at = f"{path}/settled"
-    settle(plain, counted.where("kind = 'answer'"), buckets, model).write.partitionBy("kind").option(
-        "compression", "zstd"
-    ).parquet(settled_at)
+    with tidy_shuffles(spark):
+        settle(plain, counted.where("kind = 'answer'"), buckets, model).write.partitionBy("kind").option(
+            "compression", "zstd"
+        ).parquet(settled_at)
     settled = spark.read.schema(_SETTLED).parquet(settled_at)
     sums = settled.where("kind = 'context'").groupBy("context").agg(
         F.max("times").alias("times"), F.sum("kept").alias("kept"), F.sum("covered").alias("covered")

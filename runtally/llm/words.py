@@ -104,6 +104,17 @@ def trimmed(work: Callable) -> Callable:
     return whole
 
 
+def trimmed_group(work: Callable) -> Callable:
+    """The same for a function of ``applyInArrow``, after each group."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = work(table)
+        give_back()
+        return out
+
+    return whole
+
+
 def portions(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
     """The texts in order, in lists of about ``size`` characters; one text may exceed it."""
     held, length = [], 0

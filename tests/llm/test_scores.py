@@ -1,12 +1,14 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runtally.llm import katz, language, pieces, toxicity
+from runtally.llm import katz, language, pieces, toxicity, words
 
 
 # --- toxicity ---------------------------------------------------------------------------
@@ -167,6 +169,26 @@ def test_katz_as_brute_force(spark, monkeypatch):
         assert mine[5:] == pytest.approx(want[5:], abs=1e-8)
 
 
+def test_katz_gives_memory_back_after_tasks_and_groups(spark, monkeypatch):
+    calls, kind = [], type(spark.createDataFrame([], "a int"))
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    tasks, groups = [], []
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, work, schema: tasks.append(work) or spark.createDataFrame([], schema))
+    made = type(spark.createDataFrame([], "a int").groupBy("a"))
+    monkeypatch.setattr(made, "applyInArrow", lambda grouped, work, schema: groups.append(work))
+    docs = spark.createDataFrame([], "doc_id long, text string, train boolean")
+    katz.tally(katz.ask(docs, 2))
+    answers = spark.createDataFrame([], "batch long, bucket int, payload binary")
+    katz.settle(docs, answers, 2, katz.Model(np.zeros(katz.K + 4, np.int64), np.zeros(katz.K + 4, np.int64)))
+    for work in tasks:
+        assert list(work(iter([]))) == []
+    assert len(calls) == len(tasks) == len(groups) == 2
+    none = katz._packed(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint16), np.empty(0, np.uint32))
+    groups[0](pa.table({"bucket": pa.array([0], pa.int32()), "batch": pa.array([7]), "payload": pa.array([none])}))
+    assert len(calls) == 3
+
+
 def test_katz_without_training_rows_and_without_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in katz.lm_scores(docs, "doc_id < 0").collect()}
