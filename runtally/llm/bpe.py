@@ -34,9 +34,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from runtally.llm.words import trimmed
+
 #: Characters per chunk of a text, symbols per window beyond the lookahead, words remembered
-#: per Python worker, letters after which a word is streamed instead of remembered.
-CHUNK, BLOCK, REMEMBERED, STREAMED = 1 << 16, 256, 1 << 19, 64
+#: per task, letters after which a word is streamed instead of remembered.
+CHUNK, BLOCK, REMEMBERED, STREAMED = 1 << 16, 256, 1 << 18, 64
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space of the pattern; characters that only str.split() takes for white space.
@@ -201,6 +203,10 @@ class Words:
         self.words = _Remembered(self._word)
         self.stretches = _Remembered(self._stretch)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.stretches.clear()
+
     def _word(self, word: str) -> tuple[int, ...]:
         data = word.encode()
         if len(data) <= STREAMED:  # within any window: the transducer would merge it at its end
@@ -384,24 +390,22 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``ids``, the token ids of the text column."""
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
-    def ids(batch):
-        merges, words = _loaded(content.value)
+    def ids(batch, merges, words):
         column = batch.column(text)
         return [pa.array([encode_text(merges, x.as_py(), words) for x in column], pa.list_(pa.int32()))]
 
-    return _adding(df, ids, T.StructType().add("ids", T.ArrayType(T.IntegerType())))
+    return _adding(df, content, ids, T.StructType().add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, pieces: bool = True) -> DataFrame:
     """Add ``decoded``, the text of the ``ids`` column (null ids: the empty text)."""
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
-    def decoded(batch):
-        merges, _ = _loaded(content.value)
+    def decoded(batch, merges, _):
         column = batch.column("ids")
         return [pa.array([decode_ids(merges, x.as_py() or [], pieces) for x in column], pa.string())]
 
-    return _adding(df, decoded, T.StructType().add("decoded", T.StringType()))
+    return _adding(df, content, decoded, T.StructType().add("decoded", T.StringType()))
 
 
 def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -409,8 +413,7 @@ def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     decimal ids joined by one space) and ``decoded_sha256``; ids and texts stay in the task."""
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
-    def digest(batch):
-        merges, words = _loaded(content.value)
+    def digest(batch, merges, words):
         counts, of_ids, of_texts = [], [], []
         for x in batch.column(text):
             ids = encode_text(merges, x.as_py(), words)
@@ -420,18 +423,25 @@ def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         return [pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_texts)]
 
     added = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return _adding(df, digest, added)
+    return _adding(df, content, digest, added)
 
 
-def _adding(df: DataFrame, columns, added: T.StructType) -> DataFrame:
-    """``df`` with the columns that the function makes of each Arrow batch."""
+def _adding(df: DataFrame, content, columns, added: T.StructType) -> DataFrame:
+    """``df`` with the columns that the function makes of each Arrow batch with a tokenizer.
+
+    The words a task remembers go at its end: the worker may stand idle beside other stages.
+    """
     kept = [c for c in df.columns if c not in added.names]
 
     def work(batches):
-        for batch in batches:
-            made = columns(batch)
-            old = [batch.column(batch.schema.names.index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*old, *made], names=[*kept, *added.names])
+        merges, words = _loaded(content.value)
+        try:
+            for batch in batches:
+                made = columns(batch, merges, words)
+                old = [batch.column(batch.schema.names.index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*old, *made], names=[*kept, *added.names])
+        finally:
+            words.forget()
 
     schema = T.StructType([*(df.schema[c] for c in kept), *added.fields])
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(trimmed(work), schema)

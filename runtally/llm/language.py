@@ -53,7 +53,7 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Code points hashed at once; characters of text whose words advance together.
-_SLICE, PORTION = 1 << 18, 3 << 20
+_SLICE, PORTION = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -94,3 +95,16 @@ def test_tables(spark, library):
     assert got == sorted(want)
     assert bpe.encode(docs.limit(0), PATH).count() == 0
     assert bpe.digests(docs.limit(0), PATH).columns == ["doc_id", "text", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_task_forgets_its_words_at_the_end(spark, monkeypatch):
+    merges_words = bpe._loaded(bpe.load(PATH))
+    tasks = []
+    monkeypatch.setattr(type(spark.createDataFrame([], "a int")), "mapInArrow", lambda df, work, schema: tasks.append(work) or df)
+    bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words, some more", None]})
+    steps = tasks[0](iter([batch]))
+    assert next(steps).column("n_tokens").to_pylist()[1] == 0
+    assert merges_words[1].stretches and merges_words[1].words
+    assert next(steps, None) is None
+    assert not merges_words[1].stretches and not merges_words[1].words
